@@ -43,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so a lost executor cannot change it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer partitions than there are cores, as one small file does.
+
+    Meant for rows that are about to be cached and read many times; large tables come in many partitions
+    and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
