@@ -19,6 +19,7 @@ from tabkit.sources import report as R
 
 CLS, REG = "Classification", "Regression"
 BINARY, CLASSES, REGRESSION = f"({SCORED_BINARY_SQL})", f"({SCORED_CLASSES_SQL})", f"({SCORED_REGRESSION_SQL})"
+_LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _ORDER_HASH = "md5('42|' || o_orderkey)"
 
 
@@ -167,8 +168,9 @@ CHECKS = {
         f"SELECT o_orderkey FROM ({_MARKED}) WHERE NOT is_test",
     ),
     "random_split": (
-        lambda s, d: M.assign_split(load(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], 0.3, seed=7).select("l_orderkey", "l_linenumber", "is_test"),
-        """SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber))
+        lambda s, d: M.assign_split(load(s, d, "lineitem"), _LINE_KEY, 0.3, seed=7).select(*_LINE_KEY, "is_test"),
+        """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           row_number() OVER (ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey))
            <= round(count(*) OVER () * 0.3) AS is_test FROM lineitem""",
     ),
     "hash_split": (

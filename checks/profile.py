@@ -271,9 +271,9 @@ CHECKS = {
         + ") WHERE unique_ratio > 0.5",
     ),
     "pair_sample": (
-        lambda s, d: P.pair_sample(load(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
+        lambda s, d: P.pair_sample(load(s, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]),
         """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem
-           ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber) LIMIT 1000""",
+           ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey) LIMIT 1000""",
     ),
     "target_distribution": (
         lambda s, d: P.target_distribution(orders_nulls(s, d), "o_orderpriority"),

@@ -2,7 +2,8 @@
 
 Rows are ordered by a seeded hash of their key, so membership does not depend on partitions or on the run.
 The exact variants compute one hash threshold per class and part; assigning rows is then a comparison, and
-the table itself is neither sorted nor shuffled.
+the table itself is neither sorted nor shuffled. Keys should be unique: rows with the same key always end up
+on the same side, so repeated keys make the sizes approximate.
 """
 
 from __future__ import annotations

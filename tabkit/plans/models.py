@@ -232,7 +232,7 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
         depth = self.get("max_depth")
         return {
             "maxDepth": SPARK_MAX_DEPTH if depth is None else min(depth, SPARK_MAX_DEPTH),
-            "minInstancesPerNode": self.get("min_samples_leaf"), "maxMemoryInMB": 1024, "seed": SEED,
+            "minInstancesPerNode": self.get("min_samples_leaf"), "seed": SEED,
         }
 
     def _fit(self, dataset: DataFrame) -> Model:
