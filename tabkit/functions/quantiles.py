@@ -1,11 +1,12 @@
 """Exact quantiles with linear interpolation, at any table size.
 
-Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer. That is fine
-while the table is small, and the size is checked before it is used. Beyond that size the wanted order
-statistics are found by narrowing: a small random sample only *proposes* cut points, an exact count per
-interval decides in which interval each wanted rank lies, and the intervals shrink until the rows left
-in them are few enough to rank. Every pass is a scan with map-side combined counts; no pass sorts or
-shuffles the rows, and what reaches the driver is bounded by ``resolve_rows``.
+Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer, which a large
+column does not fit. Here values are counted first, copies before the shuffle, and the counts are ranked in
+a window per column. That window is used only while the rows to rank, which are counted, are few enough.
+Beyond that the wanted order statistics are found by narrowing: a small random sample only *proposes* cut
+points, an exact count per interval decides in which interval each wanted rank lies, and the intervals
+shrink until few enough rows are left in them. Every pass is a scan with map-side combined counts; no pass
+sorts or shuffles the table, and only the wanted values, interval counts and the sample reach the driver.
 """
 
 from __future__ import annotations
@@ -17,14 +18,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabkit.functions.kinds import as_double
 
-SMALL_CELLS = 8_000_000
-SAMPLE_ROWS = 100_000
-RESOLVE_ROWS = 200_000
+RANKED_ROWS = 1_000_000
+SAMPLE_ROWS = 200_000
 
 
 @dataclass
@@ -43,9 +43,8 @@ def quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     exact: bool = True,
-    small_cells: int = SMALL_CELLS,
+    ranked_rows: int = RANKED_ROWS,
     sample_rows: int = SAMPLE_ROWS,
-    resolve_rows: int = RESOLVE_ROWS,
 ) -> dict[str, list[float | None]]:
     """Quantiles of each column over its non-null values; ``None`` where a column has no value."""
     columns, probs = list(columns), [float(p) for p in probs]
@@ -56,16 +55,14 @@ def quantiles(
     )
     if exact:
         counts = list(data.agg(*[F.count(c).alias(c) for c in data.columns]).first())
-        if sum(counts) > small_cells:
-            values = _narrow(data, counts, probs, sample_rows, resolve_rows)
-            return {c: values[i] for i, c in enumerate(columns)}
-    summary = F.percentile if exact else F.percentile_approx
-    row = data.agg(*[summary(c, probs).alias(c) for c in data.columns]).first()
+        values = _order_statistics(data, counts, probs, sample_rows, ranked_rows)
+        return {c: values[i] for i, c in enumerate(columns)}
+    row = data.agg(*[F.percentile_approx(c, probs).alias(c) for c in data.columns]).first()
     return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
 
 
-def _narrow(
-    data: DataFrame, counts: list[int], probs: list[float], sample_rows: int, resolve_rows: int
+def _order_statistics(
+    data: DataFrame, counts: list[int], probs: list[float], sample_rows: int, ranked_rows: int
 ) -> list[list[float | None]]:
     found: dict[int, dict[int, float]] = defaultdict(dict)
     active: dict[int, list[_Interval]] = {}
@@ -76,8 +73,8 @@ def _narrow(
     sampled, seed = sample_rows, 0
     while active:
         total = sum(part.count for parts in active.values() for part in parts)
-        if total <= resolve_rows:
-            _resolve(_long(data, active), active, found)
+        if total <= ranked_rows:
+            _rank(_long(data, active), active, found)
             break
         sample = _long(data, active).sample(fraction=min(1.0, sampled / total), seed=seed).toPandas()
         seed += 1
@@ -101,29 +98,26 @@ def _narrow(
 
 
 def _long(data: DataFrame, active: dict[int, list[_Interval]]) -> DataFrame:
-    """(column number, value) of the rows inside the active intervals."""
-    pairs = []
+    """(column number, interval number, value) of the rows inside the active intervals."""
+    args = []
     for i, parts in active.items():
-        value = F.col(f"c{i}")
-        inside = F.lit(False)
-        for part in parts:
+        value, place = F.col(f"c{i}"), F.lit(None).cast("int")
+        for j, part in enumerate(parts):
             below = F.lit(True) if math.isinf(part.high) else value < part.high
-            inside = inside | ((value >= part.low) & below)
-        pairs += [F.lit(i), F.when(inside, value)]
-    return data.select(F.stack(F.lit(len(active)), *pairs).alias("i", "v")).where(F.col("v").isNotNull())
+            place = F.when((value >= part.low) & below, j).otherwise(place)
+        args += [F.lit(i), place, value]
+    return data.select(F.stack(F.lit(len(active)), *args).alias("i", "j", "v")).where(F.col("j").isNotNull())
 
 
-def _resolve(long: DataFrame, active, found) -> None:
-    """Rank the few rows left; their number was checked."""
-    rest = long.groupBy("i", "v").count().toPandas()
-    for i, parts in active.items():
-        mine = rest[rest["i"] == i].sort_values("v")
-        values, weights = mine["v"].to_numpy(), mine["count"].to_numpy()
-        for part in parts:
-            keep = (values >= part.low) & ((values < part.high) | math.isinf(part.high))
-            upto = part.start + np.cumsum(weights[keep])
-            for rank in part.ranks:
-                found[i][rank] = float(values[keep][np.searchsorted(upto, rank, side="right")])
+def _rank(long: DataFrame, active, found) -> None:
+    """Rank the rows left, whose number was checked, and fetch only the values at the wanted ranks."""
+    wanted = [(i, j, r - p.start, r) for i, parts in active.items() for j, p in enumerate(parts) for r in p.ranks]
+    places = long.sparkSession.createDataFrame(wanted, "i int, j int, place long, rank long")
+    upto = F.sum("n").over(Window.partitionBy("i", "j").orderBy("v"))
+    ranked = long.groupBy("i", "j", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    hit = (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))
+    for r in ranked.join(F.broadcast(places), ["i", "j"]).where(hit).select("i", "rank", "v").collect():
+        found[r["i"]][r["rank"]] = r["v"]
 
 
 def _cut_points(sample, active) -> dict[int, list[float]]:
@@ -140,7 +134,7 @@ def _cut_points(sample, active) -> dict[int, list[float]]:
                 continue
             for rank in part.ranks:
                 share = (rank - part.start + 0.5) / part.count
-                margin = 3 * math.sqrt(share * (1 - share) / m) + 2 / m
+                margin = 2 * math.sqrt(share * (1 - share) / m) + 2 / m
                 for at in (share - margin, share + margin):
                     v = float(inside[min(m - 1, max(0, round(at * m)))])
                     points.update((v, float(np.nextafter(v, math.inf))))

@@ -27,9 +27,16 @@ def row_hash(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when its counted size allows it; otherwise leave the choice to Spark."""
-    return F.broadcast(df) if df.count() <= limit else df
+def settled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A per-group table ready to be joined.
+
+    Fetched once and broadcast as plain rows when it has at most ``limit`` rows, so that later uses do not
+    compute it again; a larger one stays distributed and Spark chooses the join.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def hash_cutoffs(
@@ -69,7 +76,7 @@ def hash_cutoffs(
     nth = Window.partitionBy(*groups, "p", "cut").orderBy("h")
     n_cuts = len(cuts(F.lit(1)))
     return (
-        prefixed.join(small_side(located), same)
+        prefixed.join(settled(located), same)
         .withColumn("rn", F.row_number().over(nth))
         .where(F.col("rn") == F.col("nth"))
         .groupBy(*groups)
@@ -83,7 +90,7 @@ def attach(df: DataFrame, table: DataFrame, groups: Sequence[str], columns: Sequ
     condition = F.lit(True)
     for g in groups:
         condition = condition & col(g).eqNullSafe(F.col(f"_{g}"))
-    return df.join(small_side(right), condition, "left").drop(*[f"_{g}" for g in groups])
+    return df.join(settled(right), condition, "left").drop(*[f"_{g}" for g in groups])
 
 
 def with_position(df: DataFrame, order: Sequence[str], name: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:

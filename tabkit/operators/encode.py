@@ -112,11 +112,11 @@ def factorize(df: DataFrame, columns: str | Sequence[str], order_key: str | Sequ
     order = [order_key] if isinstance(order_key, str) else list(order_key)
     source, codes = df, {}
     for i, c in enumerate(columns):
-        first = F.min(F.struct(*[col(k).alias(f"k{j}") for j, k in enumerate(order)])).alias("first")
+        place = col(order[0]) if len(order) == 1 else F.struct(*[col(k).alias(f"k{j}") for j, k in enumerate(order)])
         seen = (
             source.where(col(c).isNotNull())
             .groupBy(col(c).cast("string").alias("value"))
-            .agg(first, F.count(F.lit(1)).alias("n"))
+            .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         )
         dictionary = with_position(seen, ["first"], "code").select("value", "code", "n")
         df = join_dictionary(df, col(c).cast("string"), dictionary, f"_code{i}")

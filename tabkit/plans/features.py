@@ -100,7 +100,7 @@ class TablePrepModel(Model, _PrepParams, DefaultParamsReadable, DefaultParamsWri
 
 
 def check_categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> None:
-    """One-hot dictionaries live on the driver and widen the vector, so their size is checked first."""
+    """Dictionaries of categories and classes live on the driver and widen vectors, so their size is checked first."""
     if not columns:
         return
     row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()

@@ -24,12 +24,16 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReader, MLWriter
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
+    MLWritable, MLWriter,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.operators.knn import knn_classify
 from tabkit.operators.target import CLASSIFICATION, REGRESSION
+from tabkit.session import cut_lineage
 
 SEED = 42
 SPARK_MAX_DEPTH = 30
@@ -143,7 +147,7 @@ class _KnnReader(MLReader):
         return model
 
 
-class KnnModel(Model, _Vectors):
+class KnnModel(Model, _Vectors, MLReadable, MLWritable):
     """Keeps the training points as a distributed table; scoring is an exact nearest-neighbour search."""
 
     neighbours = Param(Params._dummy(), "neighbours", "k", TypeConverters.toInt)
@@ -163,28 +167,20 @@ class KnnModel(Model, _Vectors):
     def write(self) -> MLWriter:
         return _KnnWriter(self)
 
-    def save(self, path: str) -> None:
-        self.write().save(path)
-
     @classmethod
     def read(cls) -> MLReader:
         return _KnnReader()
 
-    @classmethod
-    def load(cls, path: str) -> KnnModel:
-        return cls.read().load(path)
-
     def _transform(self, dataset: DataFrame) -> DataFrame:
         if dataset.isStreaming:
             raise ValueError("nearest neighbours cannot score a stream; use another model")
-        # Equal vectors get equal answers: search each distinct vector once, under a number of its own.
-        vectors = dataset.select(vector_to_array(F.col(self.get("featuresCol"))).alias("vec")).distinct()
-        numbered = vectors.withColumn("qid", F.xxhash64("vec"))
+        # Each row gets a number that is kept on reliable storage; every row is one query, so copies spread evenly.
+        numbered = cut_lineage(dataset.withColumn("_qid", F.monotonically_increasing_id()))
+        queries = numbered.select(F.col("_qid").alias("qid"), vector_to_array(F.col(self.get("featuresCol"))).alias("vec"))
         found = knn_classify(
-            numbered, self.points, self.get("neighbours"), self.get("metric"), self.get("weights")
+            queries, self.points, self.get("neighbours"), self.get("metric"), self.get("weights")
         ).withColumnRenamed("prediction", self.get("predictionCol"))
-        keyed = dataset.withColumn("_qid", F.xxhash64(vector_to_array(F.col(self.get("featuresCol")))))
-        return keyed.join(found, F.col("_qid") == F.col("qid"), "left").drop("_qid", "qid")
+        return numbered.join(found, F.col("_qid") == F.col("qid"), "left").drop("_qid", "qid")
 
 
 class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWritable):

@@ -15,16 +15,16 @@ from typing import Any
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IndexToString, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from tabkit.functions.kinds import as_double, col
 from tabkit.operators.compare import main_metric
 from tabkit.operators.evaluate import classification_metrics, regression_metrics
-from tabkit.operators.split import assign_folds, split, with_target
+from tabkit.operators.split import assign_folds, assign_split, with_target
 from tabkit.operators.target import CLASSIFICATION, analyze_target
-from tabkit.plans.features import FEATURES, feature_names, feature_stages
+from tabkit.plans.features import FEATURES, check_categories, feature_names, feature_stages
 from tabkit.plans.models import NamedEstimator, combinations, get_estimator, param_grid, sample_combinations
 from tabkit.session import ensure_checkpoint_dir, use_all_cores
 
@@ -34,6 +34,7 @@ RUNS_SCHEMA = (
 )
 FAST_FOLDS = {"XGBoost": 3}
 LABEL = "label"
+IS_TEST = "_is_test"
 _SCORED = [LABEL, "prediction"]
 
 
@@ -62,6 +63,11 @@ class Training:
     scored: dict[str, DataFrame]
     train: DataFrame
     test: DataFrame
+    cached: DataFrame
+
+    def release(self) -> None:
+        """Free the cached rows once train, test and scored tables are no longer read."""
+        self.cached.unpersist()
 
 
 def detect_problem(df: DataFrame, target: str) -> str:
@@ -76,6 +82,7 @@ def with_label(df: DataFrame, target: str, problem_type: str) -> tuple[DataFrame
     rows = with_target(df, target)
     if problem_type != CLASSIFICATION:
         return rows.withColumn(LABEL, as_double(target)), None
+    check_categories(rows, [target])
     text = rows.withColumn("_target", col(target).cast("string"))
     indexer = StringIndexer(inputCol="_target", outputCol=LABEL, stringOrderType="alphabetAsc").fit(text)
     return indexer.transform(text).drop("_target"), list(indexer.labels)
@@ -90,7 +97,7 @@ def _parallel(task: Callable, items: Sequence, parallelism: int) -> list:
     if parallelism <= 1:
         return [task(item) for item in items]
     with ThreadPool(min(parallelism, len(items))) as pool:
-        return pool.map(inheritable_thread_target(task), items)
+        return pool.map(inheritable_thread_target(SparkSession.active())(task), items)
 
 
 def fold_scores(
@@ -156,8 +163,8 @@ def train(
     problem_type = problem_type or detect_problem(df, target)
     labelled, classes = with_label(df, target, problem_type)
     stratify = LABEL if problem_type == CLASSIFICATION else None
-    train_rows, test_rows = split(labelled, key, test_frac, seed, stratify)
-    train_rows, test_rows = train_rows.persist(), test_rows.persist()
+    marked = assign_split(labelled, key, test_frac, seed, stratify, name=IS_TEST).persist()
+    train_rows, test_rows = marked.where(~F.col(IS_TEST)).drop(IS_TEST), marked.where(F.col(IS_TEST)).drop(IS_TEST)
     options = {} if max_categories is None else {"max_categories": max_categories}
     stages = feature_stages(train_rows, target, [*key, LABEL, *exclude], **options)
     estimators = {}
@@ -200,7 +207,7 @@ def train(
             for name, scores in zip(names, found):
                 trained[name].run.update(cv_scores=scores, cv_mean=float(np.mean(scores)), cv_std=float(np.std(scores)))
     runs = spark.createDataFrame([tuple(r[c.split()[0]] for c in _run_columns()) for r in rows], RUNS_SCHEMA)
-    return Training(runs, trained, scored, train_rows, test_rows)
+    return Training(runs, trained, scored, train_rows, test_rows, marked)
 
 
 def _run_columns() -> list[str]:

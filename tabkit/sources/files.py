@@ -24,13 +24,13 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], nan_as_null: bo
 def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
     """The first encoding that decodes every byte.
 
-    Spark replaces undecodable bytes by U+FFFD instead of failing, so UTF-8 is checked by a search for that
-    character over all lines. Every byte string is valid Latin-1, so later entries are never reached.
+    The CSV reader replaces undecodable bytes instead of failing, so UTF-8 is checked on the raw lines, as a
+    scan that ends at the first broken one. Every byte string is valid Latin-1: later entries are not reached.
     """
     for encoding in encodings:
         if _JAVA_NAMES.get(encoding.lower()) != "UTF-8":
             return encoding
-        broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1)
+        broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
         if broken.isEmpty():
             return encoding
     raise ValueError("could not read the file with any supported encoding")

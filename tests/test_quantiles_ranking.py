@@ -23,7 +23,7 @@ def mixed(spark):
     return spark.createDataFrame(rows, "heavy double, wide double, const double, k long, none double").cache()
 
 
-@pytest.mark.parametrize("limits", [dict(), dict(small_cells=10, sample_rows=500, resolve_rows=300)])
+@pytest.mark.parametrize("limits", [dict(), dict(sample_rows=500, ranked_rows=300)])
 def test_quantiles_match_numpy(mixed, limits):
     got = quantiles(mixed, mixed.columns, PROBS, **limits)
     pdf = mixed.toPandas()
