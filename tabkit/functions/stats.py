@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,23 +60,46 @@ def _typed(field: T.StructField, fingerprints: bool) -> tuple[Column, Column, Co
     return whole, fraction, text
 
 
+def _slots(field: T.StructField) -> tuple[str, ...]:
+    """Which of the three typed columns hold the value; a decimal uses its exact text and its size."""
+    kind = kind_of(field.dataType)
+    if is_floating(field.dataType):
+        return ("fraction",)
+    if kind == TEXT:
+        return ("text",)
+    if kind == NUMERIC and not is_integral(field.dataType):
+        return ("fraction", "text")
+    return ("whole",)
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, fingerprints: bool = False) -> DataFrame:
     """``(i, whole, fraction, text, n)``: the rows per column number and value, nulls included.
 
-    One scan and one shuffle serve every distinct count, mode and share of all columns. Copies of a value
-    are counted before the shuffle, so a value that fills a third of the table travels once per task.
+    Columns of one value type share a scan and a shuffle with keys of that type, so a columnar table is read
+    once in total, and every distinct count, mode and share follows from the result. Copies of a value are
+    counted before the shuffle: a value that fills a third of the table travels once per task.
     ``fingerprints`` replaces long texts by a digest: enough to count them, much less to move.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     if columns is not None:
         fields.sort(key=lambda f: list(columns).index(f.name))
-    if not fields:
-        return df.sparkSession.createDataFrame([], "i int, whole long, fraction double, text string, n long")
-    args: list[Column] = [F.lit(len(fields))]
+    types = {"whole": "long", "fraction": "double", "text": "string"}
+    by_slots: dict[tuple[str, ...], list] = {}
     for i, f in enumerate(fields):
-        args += [F.lit(i), *_typed(f, fingerprints)]
-    long = df.select(F.stack(*args).alias("i", "whole", "fraction", "text"))
-    return long.groupBy("i", "whole", "fraction", "text").agg(F.count(F.lit(1)).alias("n"))
+        by_slots.setdefault(_slots(f), []).append((i, dict(zip(types, _typed(f, fingerprints)))))
+    parts = []
+    for slots, members in by_slots.items():
+        args = [x for i, typed in members for x in (F.lit(i), *[typed[s] for s in slots])]
+        long = df.select(F.stack(F.lit(len(members)), *args).alias("i", *slots))
+        counted = long.groupBy("i", *slots).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(
+            counted.select(
+                "i", *[F.col(s) if s in slots else F.lit(None).cast(t).alias(s) for s, t in types.items()], "n"
+            )
+        )
+    if not parts:
+        return df.sparkSession.createDataFrame([], "i int, whole long, fraction double, text string, n long")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def present() -> Column:

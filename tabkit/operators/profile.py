@@ -51,7 +51,7 @@ def table_overview(df: DataFrame) -> DataFrame:
 def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column: counts, distinct values and the facts the hygiene rules need.
 
-    Exact: the value counts of all columns in one scan and one shuffle. Otherwise one aggregate with
+    Exact: from the value counts of all columns, every column read once. Otherwise one aggregate with
     HyperLogLog distinct counts and no shuffle of values.
     """
     if exact:

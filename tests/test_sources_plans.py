@@ -110,9 +110,13 @@ def test_split_and_folds_do_not_shuffle_the_table(table):
         assert "hashpartitioning" not in text and "Window" not in text and text.count("FileScan") == 1
 
 
-def test_value_counts_combine_before_the_shuffle(table):
+def test_value_counts_read_each_column_once_and_combine_before_the_shuffle(spark, table):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     text = plan(P.column_profile(table("lineitem")))
-    assert text.count("FileScan") == 1 and "partial_count" in text
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    read = [c for schema in re.findall(r"ReadSchema: struct<([^>]*)>", text) for c in re.findall(r"(\w+):", schema)]
+    assert sorted(read) == sorted(table("lineitem").columns)
+    assert text.count("partial_count") >= 3
 
 
 def test_no_python_functions_in_the_table_operators(spark, table):
