@@ -20,6 +20,7 @@ from tabkit.session import cut_lineage
 ONE_TASK_ROWS = 1_000_000
 BROADCAST_ROWS = 200_000
 ROWS_PER_BUCKET = 200_000
+MAX_PREFIX_DIGITS = 5
 
 
 def row_hash(keys: Sequence[str], seed: int) -> Column:
@@ -52,7 +53,7 @@ def hash_cutoffs(
     prefix first, so only the rows of the prefix that holds a rank are ever ordered, and a group with a
     third of all rows is spread over all its prefixes.
     """
-    digits = min(8, max(1, math.ceil(math.log(max(1.0, rows / ROWS_PER_BUCKET), 16)) + 1))
+    digits = min(MAX_PREFIX_DIGITS, max(1, math.ceil(math.log(max(1.0, rows / ROWS_PER_BUCKET), 16))))
     prefixed = hashed.withColumn("p", F.substring("h", 1, digits))
     by_prefix = prefixed.groupBy(*groups, "p").agg(F.count(F.lit(1)).alias("cnt"))
     in_group = Window.partitionBy(*groups)

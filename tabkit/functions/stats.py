@@ -14,6 +14,7 @@ from tabkit.functions.kinds import (
 )
 
 LONG_TEXT = 64
+TIED_DIGESTS = 100_000
 
 
 def adjusted_skewness(x: Column) -> Column:
@@ -38,6 +39,12 @@ def skew_class(skewness: Column) -> Column:
     )
 
 
+def fingerprint(text: Column) -> Column:
+    """The text itself, or for a long one its digest and length."""
+    digest = F.concat(F.lit("md5:"), F.md5(text), F.lit(":"), F.octet_length(text).cast("string"))
+    return F.when(F.octet_length(text) > LONG_TEXT, digest).otherwise(text)
+
+
 def _typed(field: T.StructField, fingerprints: bool) -> tuple[Column, Column, Column]:
     """The value of a column in the slot of its type: whole number, fraction or text."""
     c, kind = col(field.name), kind_of(field.dataType)
@@ -53,8 +60,7 @@ def _typed(field: T.StructField, fingerprints: bool) -> tuple[Column, Column, Co
     elif kind == TEXT:
         text = c.cast("string")
         if fingerprints:
-            digest = F.concat(F.lit("md5:"), F.md5(text), F.lit(":"), F.octet_length(text).cast("string"))
-            text = F.when(F.octet_length(text) > LONG_TEXT, digest).otherwise(text)
+            text = fingerprint(text)
     elif kind == NESTED:
         whole = F.when(c.isNotNull(), F.lit(1).cast("long"))
     return whole, fraction, text
@@ -113,3 +119,40 @@ def number() -> Column:
 
 def finite_or_null(name: str) -> Column:
     return F.nanvl(as_double(name), F.lit(None).cast("double"))
+
+
+def most_frequent(df: DataFrame, columns: Sequence[str]) -> list[dict]:
+    """Per column: values, distinct values, the most frequent value (smallest on ties) and its rows.
+
+    Long texts are counted by digest. Only for a column that has any are its texts looked up in a second
+    scan, which keeps the smallest text among the most frequent digests; texts are never shuffled.
+    """
+    counted = value_counts(df, columns, fingerprints=True)
+    is_digest = F.col("text").rlike(r"^md5:[0-9a-f]{32}:\d+$")
+    best = F.min(F.when(present(), F.struct((-F.col("n")).alias("n"), "whole", "fraction", "text")))
+    rows = counted.groupBy("i").agg(
+        F.sum(F.when(present(), F.col("n"))).alias("n_values"),
+        F.count(F.when(present(), 1)).alias("unique"),
+        best.alias("top"),
+        F.coalesce(F.bool_or(is_digest), F.lit(False)).alias("long"),
+    ).collect()
+    found = [{"n_values": 0, "unique": 0, "top": None, "n": 0} for _ in columns]
+    for r in rows:
+        top = r["top"]
+        if top is None:
+            continue
+        value = next(v for v in (top["text"], top["whole"], top["fraction"]) if v is not None)
+        if r["long"]:
+            value = _smallest_text(df, columns[r["i"]], counted.where(F.col("i") == r["i"]), -top["n"])
+        found[r["i"]] = {"n_values": r["n_values"], "unique": r["unique"], "top": value, "n": -top["n"]}
+    return found
+
+
+def _smallest_text(df: DataFrame, column: str, counted: DataFrame, n: int) -> str:
+    texts = df.select(col(column).cast("string").alias("t"))
+    if n > 1:
+        ties = counted.where(F.col("n") == n).select(F.col("text").alias("k"))
+        few = ties.count() <= TIED_DIGESTS
+        texts = texts.withColumn("k", fingerprint(F.col("t")))
+        texts = texts.join(F.broadcast(ties) if few else ties, "k", "left_semi")
+    return texts.agg(F.min("t")).first()[0]

@@ -17,7 +17,7 @@ from tabkit.functions.kinds import (
 )
 from tabkit.functions.quantiles import quantiles
 from tabkit.functions.rules import findings
-from tabkit.functions.stats import finite_or_null, present, value_counts
+from tabkit.functions.stats import finite_or_null, most_frequent
 from tabkit.operators.profile import column_stats, histogram
 
 # Names that suggest an identifier, searched anywhere in the column name, case-insensitive. Fixed values.
@@ -93,25 +93,9 @@ def _columns_with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Most frequent value per column, the smallest on ties; ``None`` without any value.
-
-    The counts of all columns come from one shuffle; only one row per column reaches the driver, as text,
-    and goes back to the column's own type when it is used.
-    """
-    if not columns:
-        return {}
-    counted = value_counts(df.select(*[col(c) for c in columns]), columns)
-    best = (
-        counted.where(present())
-        .groupBy("i")
-        .agg(F.min(F.struct((-F.col("n")).alias("n"), "whole", "fraction", "text")).alias("top"))
-        .collect()
-    )
-    found: dict[str, object] = dict.fromkeys(columns)
-    for r in best:
-        top, name = r["top"], columns[r["i"]]
-        found[name] = next(v for v in (top["text"], top["whole"], top["fraction"]) if v is not None)
-    return found
+    """Most frequent value per column, the smallest on ties; ``None`` without any value."""
+    columns = list(columns)
+    return {c: f["top"] for c, f in zip(columns, most_frequent(df, columns))} if columns else {}
 
 
 def _mode_literal(df: DataFrame, name: str, value: object) -> Column:

@@ -17,7 +17,7 @@ from tabkit.functions.kinds import (
 from tabkit.functions.quantiles import quantiles
 from tabkit.functions.ranking import hash_cutoffs, row_hash
 from tabkit.functions.rules import findings, percent
-from tabkit.functions.stats import finite_or_null, number, present, value_counts
+from tabkit.functions.stats import finite_or_null, most_frequent, number, present, value_counts
 
 NATIVE_CORRELATION_PAIRS = 16
 
@@ -202,21 +202,15 @@ def numeric_describe(
 def categorical_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per text column: distinct values, most frequent value (the smallest on ties) and its frequency."""
     columns = list(columns) if columns is not None else text_columns(df)
-    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column_name string")
     text = df.select(*[col(c).cast("string").alias(c) for c in columns])
-    best = value_counts(text).groupBy("i").agg(
-        F.sum(F.when(present(), F.col("n"))).alias("n_values"),
-        F.count(F.when(present(), 1)).alias("unique_values"),
-        F.min(F.when(present(), F.struct((-F.col("n")).alias("n"), "text"))).alias("top"),
-    )
-    return names.join(F.broadcast(best), F.col("position") == F.col("i"), "left").select(
-        "position",
-        "column_name",
-        F.coalesce("n_values", F.lit(0)).alias("n_values"),
-        F.coalesce("unique_values", F.lit(0)).alias("unique_values"),
-        F.col("top.text").alias("most_frequent"),
-        F.coalesce(-F.col("top.n"), F.lit(0)).alias("frequency"),
+    rows = [
+        (i, c, f["n_values"], f["unique"], f["top"], f["n"])
+        for i, (c, f) in enumerate(zip(columns, most_frequent(text, columns)))
+    ]
+    schema = (
+        "position int, column_name string, n_values long, unique_values long, most_frequent string, frequency long"
     )
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def categorical_describe(df: DataFrame, column: str) -> DataFrame:

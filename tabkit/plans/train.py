@@ -151,11 +151,13 @@ def train(
     exclude: Sequence[str] = (),
     parallelism: int = 1,
     max_categories: int | None = None,
+    cache: bool = True,
 ) -> Training:
     """Split, fit every model, evaluate on the test rows, cross-validate on the training rows.
 
     ``key`` identifies rows: it decides their place in the split and is not a feature. ``folds=None`` skips
-    cross-validation; boosted trees use three folds.
+    cross-validation; boosted trees use three folds. ``cache=False`` reads the source again for every pass
+    instead of keeping its rows; the feature vectors a model iterates over are always kept while it is fitted.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -163,7 +165,9 @@ def train(
     problem_type = problem_type or detect_problem(df, target)
     labelled, classes = with_label(df, target, problem_type)
     stratify = LABEL if problem_type == CLASSIFICATION else None
-    marked = assign_split(labelled, key, test_frac, seed, stratify, name=IS_TEST).persist()
+    marked = assign_split(labelled, key, test_frac, seed, stratify, name=IS_TEST)
+    if cache:
+        marked = marked.persist()
     train_rows, test_rows = marked.where(~F.col(IS_TEST)).drop(IS_TEST), marked.where(F.col(IS_TEST)).drop(IS_TEST)
     options = {} if max_categories is None else {"max_categories": max_categories}
     stages = feature_stages(train_rows, target, [*key, LABEL, *exclude], **options)

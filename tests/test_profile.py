@@ -144,3 +144,12 @@ def test_adjusted_moments_match_pandas(spark):
     found = T.target_statistics(spark.createDataFrame([(v,) for v in values], "t double"), "t", digits=10).first()
     assert found["skewness"] == pytest.approx(pd.Series(values).skew())
     assert found["kurtosis"] == pytest.approx(pd.Series(values).kurtosis())
+
+
+def test_mode_of_long_texts_is_the_text_itself(spark):
+    a, b = "a" * 200, "b" * 200
+    twice = spark.createDataFrame([(b,), (b,), (a,), (a,), ("c",), ("c",), ("d",)], "t string")
+    found = rows(P.categorical_stats(twice))[0]
+    assert (found["most_frequent"], found["frequency"], found["unique_values"]) == (a, 2, 4)
+    once = spark.createDataFrame([(b,), (a,), ("zz",)], "t string")
+    assert rows(P.categorical_stats(once))[0]["most_frequent"] == a
