@@ -28,16 +28,20 @@ def row_hash(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
 
 
+def fetched(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
+    """A table of short rows as plain local rows, or ``None`` when it has more than ``limit``."""
+    rows = df.limit(limit + 1).collect()
+    return None if len(rows) > limit else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def settled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A per-group table ready to be joined.
 
-    Fetched once and broadcast as plain rows when it has at most ``limit`` rows, so that later uses do not
-    compute it again; a larger one stays distributed and Spark chooses the join.
+    Fetched once and broadcast as plain rows when it is small, so that later uses do not compute it again;
+    a larger one stays distributed and Spark chooses the join.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    local = fetched(df, limit)
+    return df if local is None else F.broadcast(local)
 
 
 def hash_cutoffs(

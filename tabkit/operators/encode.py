@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.functions.kinds import NESTED, as_double, col, kinds, numeric_columns, text_columns
-from tabkit.functions.ranking import BROADCAST_ROWS, with_position
-from tabkit.functions.stats import finite_or_null
+from tabkit.functions.ranking import BROADCAST_ROWS, fetched, with_position
+from tabkit.functions.stats import fingerprint, finite_or_null
+from tabkit.session import cut_lineage
 
+BROADCAST_BYTES = 64 << 20
+SORTED_TEXTS = 100_000
 HOT_VALUES = 1000
 SALTS = 1024
 
@@ -20,13 +23,15 @@ def join_dictionary(
 ) -> DataFrame:
     """Left join ``dictionary(value, code, n)`` and name the code.
 
-    A small dictionary is broadcast. A large one is split: its most frequent values are broadcast, so the
-    rows of a hot value never meet in one task; the rest join by shuffle. Rows already coded travel under
-    salts that match nothing; the salt comes from the row itself, so a repeated task places rows alike.
+    A small dictionary, by its rows and its bytes, is broadcast. A large one is split: its most frequent
+    values are broadcast, so the rows of a hot value never meet in one task; the rest join by shuffle. Rows
+    already coded travel under salts that match nothing; the salt comes from the row itself, so a repeated
+    task places rows alike.
     """
     keyed = df.withColumn("_v", column)
-    size = dictionary.count()
-    if size <= broadcast_rows:
+    length = F.octet_length(F.concat(F.col("value").cast("string"), F.col("code").cast("string")))
+    size, volume = dictionary.agg(F.count(F.lit(1)), F.sum(length)).first()
+    if size <= broadcast_rows and (volume or 0) <= BROADCAST_BYTES:
         found = dictionary.select(F.col("value").alias("_w"), F.col("code").alias(name))
         return keyed.join(F.broadcast(found), F.col("_v") == F.col("_w"), "left").drop("_v", "_w")
     hot = dictionary.orderBy(F.desc("n"), "value").limit(HOT_VALUES)
@@ -35,22 +40,35 @@ def join_dictionary(
     salt = F.pmod(F.xxhash64(*[col(c) for c in df.columns if kinds(df)[c] != NESTED]), F.lit(SALTS))
     settled = F.col("_hot").isNotNull() | F.col("_v").isNull()
     keyed = keyed.withColumn("_s", F.when(settled, salt + 1).otherwise(0))
-    keyed = keyed.withColumn("_v", F.when(~settled, F.col("_v")).otherwise(F.lit("")))
+    keyed = keyed.withColumn("_v", F.when(~settled, F.col("_v")))
     cold = dictionary.select(F.col("value").alias("_w"), F.col("code").alias("_cold"), F.lit(0).cast("long").alias("_z"))
     joined = keyed.join(cold, (F.col("_v") == F.col("_w")) & (F.col("_s") == F.col("_z")), "left")
     return joined.withColumn(name, F.coalesce("_hot", "_cold")).drop("_v", "_w", "_hot", "_cold", "_s", "_z")
 
 
+def _coded(seen: DataFrame, order: str) -> DataFrame:
+    """``(value, code, n)`` with codes in the given order and long values as digests, computed once.
+
+    The digests keep a dictionary row short, so a dictionary below the row limit is small in bytes too.
+    """
+    placed = with_position(seen, [order], "code", one_task_rows=SORTED_TEXTS)
+    placed = placed.select(fingerprint(F.col("value")).alias("value"), "code", "n")
+    local = fetched(placed)
+    return cut_lineage(placed) if local is None else local
+
+
 def _replace(df: DataFrame, codes: dict[str, str]) -> DataFrame:
     order = [col(codes[c]).alias(c) if c in codes else col(c) for c in df.columns if c not in codes.values()]
     return df.select(*order)
 
 
 def label_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code, n): distinct texts in sorted order -> 0..k-1; null counts as the text 'nan'."""
+    """(value, code, n): distinct texts in sorted order -> 0..k-1; null counts as the text 'nan'.
+
+    ``value`` is the fingerprint of the text.
+    """
     text = F.coalesce(col(column).cast("string"), F.lit("nan"))
-    distinct = df.groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return with_position(distinct, ["value"], "code")
+    return _coded(df.groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("n")), "value")
 
 
 def label_encode(df: DataFrame, columns: Sequence[str] | None = None, target: str | None = None) -> DataFrame:
@@ -60,7 +78,7 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None, target: st
     source = df
     for i, c in enumerate(c for c in columns if c != target and c in df.columns):
         text = F.coalesce(col(c).cast("string"), F.lit("nan"))
-        df = join_dictionary(df, text, label_dictionary(source, c), f"_code{i}")
+        df = join_dictionary(df, fingerprint(text), label_dictionary(source, c), f"_code{i}")
         codes[c] = f"_code{i}"
     return _replace(df, codes)
 
@@ -118,8 +136,7 @@ def factorize(df: DataFrame, columns: str | Sequence[str], order_key: str | Sequ
             .groupBy(col(c).cast("string").alias("value"))
             .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         )
-        dictionary = with_position(seen, ["first"], "code").select("value", "code", "n")
-        df = join_dictionary(df, col(c).cast("string"), dictionary, f"_code{i}")
+        df = join_dictionary(df, fingerprint(col(c).cast("string")), _coded(seen, "first"), f"_code{i}")
         df = df.withColumn(f"_code{i}", F.coalesce(F.col(f"_code{i}"), F.lit(-1).cast("long")))
         codes[c] = f"_code{i}"
     return _replace(df, codes)

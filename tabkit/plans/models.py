@@ -253,7 +253,7 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
                 numTrees=self.get("n_estimators"), featureSubsetStrategy="sqrt", **self._tree(), **columns
             )
         elif name == "Support Vector Machine (SVM)":
-            svm = lambda c: LinearSVC(regParam=1.0 / (self.get("C") * n), standardization=False, **c)
+            svm = lambda c: LinearSVC(regParam=1.0 / (self.get("C") * n), standardization=False, tol=1e-3, **c)
             return self._with_kernel(dataset, lambda c: svm(c) if classes <= 2 else OneVsRest(classifier=svm(c), parallelism=min(classes, 4), **c))
         elif name == "K-Nearest Neighbors (KNN)":
             points = dataset.select(
