@@ -34,21 +34,24 @@ def _best(queries: pd.DataFrame, points: pd.DataFrame, k: int, metric: str, chun
     """The nearest points of each query within one block, ordered by distance and label, up to weight ``k``."""
     labels, weights = points["label"].to_numpy(), points["w"].to_numpy()
     matrix = np.stack(points["vec"].to_numpy())
-    rows = []
+    found: dict[str, list[np.ndarray]] = {"qid": [], "dist": [], "label": [], "w": []}
     for start in range(0, len(queries), chunk):
         part = queries.iloc[start : start + chunk]
         d = _distances(np.stack(part["vec"].to_numpy()), matrix, metric)
-        near = np.arange(d.shape[1])
-        for i, qid in enumerate(part["qid"].to_numpy()):
-            if d.shape[1] > k:
-                near = np.flatnonzero(d[i] <= np.partition(d[i], k - 1)[k - 1])
-            order = near[np.lexsort((labels[near], d[i][near]))]
-            before = np.cumsum(weights[order]) - weights[order]
-            order = order[before < k]
-            rows.append(
-                pd.DataFrame({"qid": qid, "dist": d[i][order], "label": labels[order], "w": weights[order]})
-            )
-    return pd.concat(rows) if rows else pd.DataFrame({"qid": [], "dist": [], "label": [], "w": []})
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+        query, point = np.nonzero(d <= limit[:, None])
+        dist = d[query, point]
+        order = np.lexsort((labels[point], dist, query))
+        query, point, dist = query[order], point[order], dist[order]
+        upto = np.cumsum(weights[point])
+        first = np.searchsorted(query, np.arange(len(part)))
+        start_weight = (upto - weights[point])[first]
+        keep = upto - weights[point] - start_weight[query] < k
+        for name, values in (
+            ("qid", part["qid"].to_numpy()[query]), ("dist", dist), ("label", labels[point]), ("w", weights[point]),
+        ):
+            found[name].append(values[keep])
+    return pd.DataFrame({name: np.concatenate(parts) for name, parts in found.items()})
 
 
 def _to_cells(points: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
