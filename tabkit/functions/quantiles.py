@@ -99,14 +99,19 @@ def _order_statistics(
 
 def _long(data: DataFrame, active: dict[int, list[_Interval]]) -> DataFrame:
     """(column number, interval number, value) of the rows inside the active intervals."""
-    args = []
+    args, located = [], data
     for i, parts in active.items():
-        value, place = F.col(f"c{i}"), F.lit(None).cast("int")
-        for j, part in enumerate(parts):
-            below = F.lit(True) if math.isinf(part.high) else value < part.high
-            place = F.when((value >= part.low) & below, j).otherwise(place)
-        args += [F.lit(i), place, value]
-    return data.select(F.stack(F.lit(len(active)), *args).alias("i", "j", "v")).where(F.col("j").isNotNull())
+        value = F.col(f"c{i}")
+        edges = sorted({-math.inf, math.inf, *(p.low for p in parts), *(p.high for p in parts)})
+        if len(edges) == 2:
+            place = F.lit(0)
+        else:
+            located = Bucketizer(splits=edges, inputCol=f"c{i}", outputCol=f"p{i}", handleInvalid="keep").transform(located)
+            at = {part.low: j for j, part in enumerate(parts)}
+            numbers = F.array(*[F.lit(at.get(low)).cast("int") for low in edges[:-1]])
+            place = F.get(numbers, F.col(f"p{i}").cast("int"))
+        args += [F.lit(i), F.when(value.isNotNull(), place), value]
+    return located.select(F.stack(F.lit(len(active)), *args).alias("i", "j", "v")).where(F.col("j").isNotNull())
 
 
 def _rank(long: DataFrame, active, found) -> None:
