@@ -20,7 +20,8 @@ of that target's positives (one half without any labels). Columns that bear the
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,33 +30,34 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Matrices
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabkit.llm.common import appended, arrow_schema, extended, slices, stored, without
 
-LABELLED = 16_000
-UNLABELLED = 8_000
+LABELLED = 8_000
+UNLABELLED = 4_000
 ROUNDS = 2
 #: Share of the unlabelled rows that a view may label per class and round.
 TAUGHT = 0.05
 CONFIDENCE = 0.95
-#: Words of the text view: those in at least this many sampled texts, the most frequent ones.
-MIN_TEXTS = 10
-WORDS = 1 << 13
+#: Words of the text view: of those in at least this many training texts, the most telling ones.
+MIN_TEXTS = 5
+WORDS = 1 << 11
 STEMS = (4, 5)
 HASHED = 1 << 12
 #: One in this many labelled rows calibrates instead of training.
 HELD_OUT = 4
-ITERATIONS = 20
+ITERATIONS = {"__text": 15, "__meta": 8}
 #: Strength of the absolute (L1) penalty, which keeps the few words that matter.
 PENALTY = 2e-3
 #: Partitions of the bounded sample: few, so that a gradient is summed in one step.
 SAMPLE_PARTS = 4
 
 _TEXT, _META = "__text", "__meta"
+_VIEWS = (_TEXT, _META)
 
 
 def look(text: str | None) -> tuple[set[str], list[float]]:
@@ -128,10 +130,16 @@ def _margins(df: DataFrame, text_col: str, weights: dict[str, list[float]], shap
     return df.mapInArrow(run, schema)
 
 
+def _together(work: Callable, over: Sequence) -> list:
+    """Fits that do not need one another run at the same time: each alone is a row of small jobs."""
+    with ThreadPoolExecutor(len(over)) as pool:
+        return list(pool.map(inheritable_thread_target(work), over))
+
+
 def _regression(view: str) -> LogisticRegression:
     return LogisticRegression(
         featuresCol=view, labelCol="label", rawPredictionCol=f"{view}_raw", probabilityCol="", predictionCol="",
-        maxIter=ITERATIONS, regParam=PENALTY, elasticNetParam=1.0,
+        maxIter=ITERATIONS[view], regParam=PENALTY, elasticNetParam=1.0,
     )
 
 
@@ -144,14 +152,24 @@ def _chance(margin: Column) -> Column:
     return 1 / (1 + F.exp(-margin))
 
 
-def _platt(rows: DataFrame, columns: list[str]) -> tuple[list[float], float]:
-    """Weights, none below zero, and offset that turn margins into log odds."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="x").transform(rows)
-    fitted = LogisticRegression(
-        featuresCol="x", labelCol="label", maxIter=20, regParam=1e-4, standardization=False,
-        lowerBoundsOnCoefficients=Matrices.dense(1, len(columns), [0.0] * len(columns)),
-    ).fit(vectors)
-    return [float(c) for c in fitted.coefficients], float(fitted.intercept)
+def _platt(margins: np.ndarray, labels: np.ndarray) -> tuple[list[float], float]:
+    """Weights, none below zero, and offset that turn margins into log odds: Newton's method on the held-out
+    rows, of which there are ``labelled / HELD_OUT`` at most."""
+    used = list(range(margins.shape[1]))
+    while True:
+        x, w = np.column_stack([margins[:, used], np.ones(len(labels))]), np.zeros(len(used) + 1)
+        for _ in range(50):
+            chance = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            bend = (x * (chance * (1 - chance))[:, None]).T @ x + 1e-3 * len(labels) ** 0.5 * np.eye(len(w))
+            step = np.linalg.solve(bend, x.T @ (labels - chance) - 1e-3 * len(labels) ** 0.5 * w)
+            w += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-9:
+                break
+        if (w[:-1] >= 0).all():
+            weights = np.zeros(margins.shape[1])
+            weights[used] = w[:-1]
+            return weights.tolist(), float(w[-1])
+        used = [column for column, weight in zip(used, w[:-1], strict=True) if weight > 0]
 
 
 @dataclass
@@ -198,22 +216,22 @@ def _co_train(sample: DataFrame, target: str, unlabelled_rows: int) -> CoTrained
     lessons = {_TEXT: base, _META: base}
     models: dict[str, LogisticRegressionModel] = {}
     for number in range(ROUNDS):
-        models = {view: _regression(view).fit(lessons[view]) for view in (_TEXT, _META)}
+        models = dict(zip(_VIEWS, _together(lambda view: _regression(view).fit(lessons[view]), _VIEWS), strict=True))
         if number + 1 < ROUNDS and unlabelled_rows:
-            taught = {view: _teach(models[view], view, unlabelled, unlabelled_rows) for view in models}
-            lessons = {
-                _TEXT: stored(base.union(taught[_META]), "lessons-text"), _META: stored(base.union(taught[_TEXT]), "lessons-meta")
-            }
+            taught = {view: _teach(models[view], view, unlabelled, unlabelled_rows) for view in _VIEWS}
+            lessons = {view: base.union(taught[other]) for view, other in (_VIEWS, _VIEWS[::-1])}
+            lessons = dict(zip(_VIEWS, _together(lambda view: stored(lessons[view], "lessons"), _VIEWS), strict=True))
     held = labelled.filter("__held")
     for model in models.values():
         held = model.transform(held)
-    held = stored(held.select("label", *[_margin(view).alias(view[2:]) for view in models]), "calibration").repartition(1)
+    rows = held.select("label", *[_margin(view).alias(view) for view in _VIEWS]).collect()
+    labels, odds = np.array([row["label"] for row in rows]), {}
     calibration = {}
-    for view in models:
-        slopes, offset = _platt(held, [view[2:]])
-        calibration[view] = (slopes[0], offset)
-        held = held.withColumn(f"{view[2:]}_odds", slopes[0] * F.col(view[2:]) + offset)
-    return CoTrained(target, models, calibration, _platt(held, [f"{view[2:]}_odds" for view in models]))
+    for view in _VIEWS:
+        margins = np.array([[row[view]] for row in rows])
+        slopes, offset = _platt(margins, labels)
+        calibration[view], odds[view] = (slopes[0], offset), slopes[0] * margins[:, 0] + offset
+    return CoTrained(target, models, calibration, _platt(np.column_stack([odds[view] for view in _VIEWS]), labels))
 
 
 @dataclass
@@ -259,7 +277,7 @@ def fit(
     marks = {"__row": F.xxhash64("__id", "size_col"), "__held": F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(HELD_OUT)) == 0}
     seen = _looked(_metadata(picked.withColumns(marks), "source_col", "lang_col", "size_col"), "text_col")
     sample = stored(seen.repartition(SAMPLE_PARTS, "__id"), "sample")
-    vocabulary = _vocabulary(sample)
+    vocabulary = _vocabulary(sample, targets)
     stages = [
         CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__words", outputCol="__counts"),
         VectorAssembler(inputCols=["__counts", "__made_of"], outputCol=_TEXT), _hasher(),
@@ -267,10 +285,21 @@ def fit(
     vectors = PipelineModel(stages).transform(sample.withColumn("__made_of", array_to_vector("__shape")))
     kept = stored(vectors.select("__row", "__held", "__unlabelled", *targets, _TEXT, _META), "sample-vectors")
     rows = kept.filter("__unlabelled").count()
-    return QualityModel(vocabulary, [_co_train(kept, t, rows) for t in targets], columns)
-
-
-def _vocabulary(sample: DataFrame) -> list[str]:
-    """The words of the text view, at most ``WORDS``. It cannot be empty: a word that no text has stands in."""
-    counts = sample.select(F.explode("__words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_TEXTS)
-    return [row["w"] for row in counts.orderBy(F.desc("n"), "w").limit(WORDS).collect()] or ["\x00"]
+    return QualityModel(vocabulary, _together(lambda target: _co_train(kept, target, rows), targets), columns)
+
+
+def _vocabulary(sample: DataFrame, targets: list[str]) -> list[str]:
+    """The ``WORDS`` words of the training rows whose share of positive texts is farthest from that of all texts,
+    in standard deviations, for any target. It cannot be empty: a word that no text has stands in."""
+    trained = sample.filter("NOT __held AND NOT __unlabelled")
+    rows = trained.agg(F.count("*"), *[F.sum(F.col(t).cast("long")) for t in targets]).first()
+    shares = [(n or 0) / rows[0] if rows[0] else 0.0 for n in rows[1:]]
+    words = trained.select(F.explode("__words").alias("w"), *targets).groupBy("w").agg(
+        F.count("*").alias("n"), *[F.sum(F.col(t).cast("long")).alias(f"n{i}") for i, t in enumerate(targets)]
+    ).filter(F.col("n") >= MIN_TEXTS)
+    apart = [
+        F.abs(F.coalesce(f"n{i}", F.lit(0)) - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p)) if 0 < p < 1 else F.lit(0.0)
+        for i, p in enumerate(shares)
+    ]
+    chosen = words.select("w", "n", F.greatest(*apart, F.lit(0.0)).alias("apart")).orderBy(F.desc("apart"), F.desc("n"), "w")
+    return [row["w"] for row in chosen.limit(WORDS).collect()] or ["\x00"]
