@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tabkit.llm.common import appended, arrow_schema, extended, slices, without
 
 #: Pre-tokens whose ids a Python worker remembers; beyond, it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Pre-tokens that share an arena, so that its lists stay in the processor's cache.
 ARENA = 10_000
 WORD_BITS = 64
