@@ -50,11 +50,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digest of what they decode to and whether that is the text."""
-    ranks = queries._tokenizer()
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, "ids", ranks)
+    narrow = docs.select("doc_id", "lang", "source", "text")
+    decoded = bpe.encode(narrow, "text", queries._tokenizer(), public_tokenizers.PATTERN, bytes_col="decoded")
     round_trip = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return decoded.select("doc_id", "lang", "source", *queries._digests(decoded), round_trip.alias("round_trip"), "ids")
+    return decoded.select("doc_id", "lang", "source", *queries._digests(), round_trip.alias("round_trip"), "ids")
 
 
 STAGES = [

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tabkit.llm.common import appended, arrow_schema, extended, slices, without
 
 #: Pre-tokens whose ids a Python worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Pre-tokens that share an arena, so that its lists stay in the processor's cache.
 ARENA = 10_000
 WORD_BITS = 64
@@ -209,25 +209,45 @@ def _encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(df: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str, *, ids_col: str = "ids") -> DataFrame:
-    """Add the packed token ids of each text. One narrow pass: rows neither move nor meet one another.
+def encode(
+    df: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str, *, ids_col: str = "ids", bytes_col: str | None = None,
+) -> DataFrame:
+    """Add the packed token ids of each text, and in ``bytes_col``, if named, what they decode to.
 
-    ``ranks`` is a vocabulary, whose size does not depend on the data; it is broadcast once.
+    One narrow pass: rows neither move nor meet one another. ``ranks`` is a vocabulary, whose size does not depend
+    on the data; it is broadcast once.
     """
-    rows = without(df, [ids_col])
-    schema = extended(rows, [T.StructField(ids_col, T.BinaryType())])
+    added = [T.StructField(name, T.BinaryType()) for name in (ids_col, bytes_col) if name]
+    rows = without(df, [f.name for f in added])
+    schema = extended(rows, added)
     types, shared = arrow_schema(schema), df.sparkSession.sparkContext.broadcast((ranks, pattern))
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, *shared.value)
+        tokens = token_bytes(shared.value[0]) if bytes_col else []
         for batch in batches:
             for part, texts in slices(batch, text_col):
-                yield appended(part, [pa.array(encoder.encode(texts), pa.binary())], types)
+                packed = encoder.encode(texts)
+                columns = [packed, decoded(packed, tokens)] if bytes_col else [packed]
+                yield appended(part, columns, types)
 
     return rows.mapInArrow(run, schema)
 
 
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def decoded(packed: Iterable[bytes | None], tokens: list[bytes]) -> list[bytes]:
+    """What packed ids stand for."""
+    return [b"".join(map(tokens.__getitem__, np.frombuffer(p, "<u4").tolist())) if p else b"" for p in packed]
+
+
 def decode(df: DataFrame, ids_col: str, ranks: dict[bytes, int], *, bytes_col: str = "decoded") -> DataFrame:
     """Add the bytes that the packed ids of each row stand for."""
     rows = without(df, [bytes_col])
@@ -235,12 +255,9 @@ def decode(df: DataFrame, ids_col: str, ranks: dict[bytes, int], *, bytes_col: s
     types, shared = arrow_schema(schema), df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = [b""] * (max(shared.value.values()) + 1)
-        for token, rank in shared.value.items():
-            tokens[rank] = token
+        tokens = token_bytes(shared.value)
         for batch in batches:
             for part, packed in slices(batch, ids_col):
-                texts = [b"".join(map(tokens.__getitem__, np.frombuffer(p, "<u4").tolist())) if p else b"" for p in packed]
-                yield appended(part, [pa.array(texts, pa.binary())], types)
+                yield appended(part, [decoded(packed, tokens)], types)
 
     return rows.mapInArrow(run, schema)

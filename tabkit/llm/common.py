@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tabkit.session import ensure_checkpoint_dir
 
 #: Characters of text that a Python task turns into words at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_SPACE = " \t\n\x0b\x0c\r"

@@ -44,7 +44,7 @@ def _tokenizer() -> dict[bytes, int]:
     return bpe.read_ranks(public_tokenizers.path(RANKS))
 
 
-def _digests(encoded: DataFrame) -> list:
+def _digests() -> list:
     return [
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -52,10 +52,8 @@ def _digests(encoded: DataFrame) -> list:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = _tokenizer()
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded.select("doc_id", "ids"), "ids", ranks)
-    return decoded.select("doc_id", *_digests(decoded))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, "text", _tokenizer(), public_tokenizers.PATTERN, bytes_col="decoded").select("doc_id", *_digests())
 
 
 TARGETS = ["quality", "toxic"]
