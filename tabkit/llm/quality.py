@@ -1,37 +1,35 @@
 """Quality by co-training: a text classifier and a metadata classifier teach each other, then score together.
 
-The text view holds which words and symbol runs a text has and how its characters are made up; the metadata view
-holds source, language and size. Both are logistic regressions. They start from labelled rows; in each round
-every view labels the unlabelled rows that it is most sure of, and the other view learns from them as well. A
-view only teaches where it is confident: a fixed share of rows per class and round, above ``confidence``. Labelled
-rows that took no part in training calibrate each view (Platt scaling) and then weigh the two calibrated views.
-Every document is scored by both. One such pair of views is made per target.
+The text view holds which words and word beginnings a text has and what its characters are; the metadata view holds
+source, language and size. Both are logistic regressions with an absolute (L1) penalty. They start from labelled
+rows; in each round every view labels the unlabelled rows that it is most sure of, and the other view learns from
+them as well. A view only teaches where it is confident: a fixed share of rows per class and round, above
+``CONFIDENCE``. Labelled rows that took no part in training calibrate each view (Platt scaling) and then weigh the
+two calibrated views. Every document is scored by both. One such pair of views is made per target.
 
 Fitting uses a bounded sample, ``labelled`` rows with and ``unlabelled`` rows without a label, chosen by a hash of
-their ids; all else covers all rows. Sampled ids are broadcast, bounded by the same two parameters. Scoring is a
-narrow pass over whole texts.
-
-Defined cases: a null or empty text has no words; null source, language and size are values of their own. A row
-without an id is scored like any other and never sampled. A repeated label row counts once per label, a document
-with contradicting labels once for each. Where the sample lacks one of the two classes, the score is the share
-of that target's positives (one half without any labels). Columns that bear the name of a result are replaced.
+their ids; sampled ids are broadcast, bounded by the same two parameters. Words are counted and chosen by Spark;
+each target is then fitted in a task of its own on the sample's term numbers, a few megabytes whatever the
+input. All else covers all rows: scoring is a narrow pass over whole texts.
+
+Defined cases: a null or empty text has no words; null source, language and size are values of their own, and
+values that the sample lacks weigh nothing. A row without an id is scored like any other and never sampled. A
+repeated label row counts once, a document with contradicting labels once for each; a null label is none. Where
+the sample lacks one of the two classes, the score is the share of that target's positives (one half without any
+labels). Columns that bear the name of a result are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +37,7 @@ from tabkit.llm.common import appended, arrow_schema, extended, slices, stored,
 
 LABELLED = 8_000
 UNLABELLED = 4_000
-ROUNDS = 2
+ROUNDS = 3
 #: Share of the unlabelled rows that a view may label per class and round.
 TAUGHT = 0.05
 CONFIDENCE = 0.95
@@ -47,17 +45,11 @@ CONFIDENCE = 0.95
 MIN_TEXTS = 5
 WORDS = 1 << 11
 STEMS = (4, 5)
-HASHED = 1 << 12
 #: One in this many labelled rows calibrates instead of training.
 HELD_OUT = 4
-ITERATIONS = {"__text": 15, "__meta": 8}
-#: Strength of the absolute (L1) penalty, which keeps the few words that matter.
+ITERATIONS = 200
+#: Strength of the absolute penalty, which keeps the few words that matter.
 PENALTY = 2e-3
-#: Partitions of the bounded sample: few, so that a gradient is summed in one step.
-SAMPLE_PARTS = 4
-
-_TEXT, _META = "__text", "__meta"
-_VIEWS = (_TEXT, _META)
 
 
 def look(text: str | None) -> tuple[set[str], list[float]]:
@@ -84,72 +76,91 @@ _SIGNS = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def _metadata(df: DataFrame, source_col: str, lang_col: str, size_col: str) -> DataFrame:
-    size = F.log1p(F.greatest(F.coalesce(F.col(size_col).cast("double"), F.lit(0.0)), F.lit(0.0)))
-    rows = df.withColumn("__size", size).withColumn("__band", F.floor(2 * F.col("__size")).cast("string"))
-    return rows.withColumns({"__source": F.coalesce(F.col(source_col), F.lit("")), "__lang": F.coalesce(F.col(lang_col), F.lit(""))})
-
+def described(source: str | None, lang: str | None, size: float | None) -> tuple[list[str], float]:
+    """The metadata view of a row: source, language and order of size as categories, and the size."""
+    scale = math.log1p(max(size or 0, 0))
+    return [f"source={source or ''}", f"lang={lang or ''}", f"size={int(2 * scale)}"], scale
 
-def _hasher() -> FeatureHasher:
-    return FeatureHasher(inputCols=["__source", "__lang", "__band", "__size"], outputCol=_META, numFeatures=HASHED)
 
-
-def _looked(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` without its text, with the words and the shape of it."""
-    added = [T.StructField("__words", T.ArrayType(T.StringType())), T.StructField("__shape", T.ArrayType(T.DoubleType()))]
-    schema = extended(df.drop(text_col), added)
+def _looked(df: DataFrame) -> DataFrame:
+    """The sample without its texts, with the words and the shape of them."""
+    added = [T.StructField("words", T.ArrayType(T.StringType())), T.StructField("shape", T.ArrayType(T.DoubleType()))]
+    schema = extended(df.drop("text"), added)
     types = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, text_col):
+            for part, texts in slices(batch, "text"):
                 seen = [look(text) for text in texts]
-                yield appended(part.drop_columns([text_col]), [[sorted(terms) for terms, _ in seen], [shape for _, shape in seen]], types)
+                yield appended(part.drop_columns(["text"]), [[sorted(terms) for terms, _ in seen], [shape for _, shape in seen]], types)
 
     return df.mapInArrow(run, schema)
 
 
-def _margins(df: DataFrame, text_col: str, weights: dict[str, list[float]], shapes: list[list[float]], offsets: list[float]) -> DataFrame:
-    """``df`` with the text view's margin for each target. ``weights`` is as large as the vocabulary at most."""
-    schema = extended(df, [T.StructField("__margins", T.ArrayType(T.DoubleType()))])
-    types, shared = arrow_schema(schema), df.sparkSession.sparkContext.broadcast((weights, shapes, offsets))
+def _termed(sample: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """The sample with the numbers of its chosen words in place of all words."""
+    schema = extended(sample.drop("words"), [T.StructField("terms", T.ArrayType(T.IntegerType()))])
+    types, shared = arrow_schema(schema), sample.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, shapes, offsets = shared.value
-        shapes, offsets, known = np.array(shapes), np.array(offsets), weights.keys()
+        number = shared.value
         for batch in batches:
-            for part, texts in slices(batch, text_col):
-                margins = []
-                for words, shape in map(look, texts):
-                    margin = offsets + shapes @ np.array(shape)
-                    for word in sorted(words & known):
-                        margin = margin + weights[word]
-                    margins.append(margin.tolist())
-                yield appended(part, [margins], types)
-
-    return df.mapInArrow(run, schema)
-
-
-def _together(work: Callable, over: Sequence) -> list:
-    """Fits that do not need one another run at the same time: each alone is a row of small jobs."""
-    with ThreadPoolExecutor(len(over)) as pool:
-        return list(pool.map(inheritable_thread_target(work), over))
-
-
-def _regression(view: str) -> LogisticRegression:
-    return LogisticRegression(
-        featuresCol=view, labelCol="label", rawPredictionCol=f"{view}_raw", probabilityCol="", predictionCol="",
-        maxIter=ITERATIONS[view], regParam=PENALTY, elasticNetParam=1.0,
-    )
-
-
-def _margin(view: str) -> Column:
-    return F.get(vector_to_array(F.col(f"{view}_raw")), F.lit(1))
-
-
-
-def _chance(margin: Column) -> Column:
-    return 1 / (1 + F.exp(-margin))
+            terms = [[number[w] for w in words if w in number] for words in batch.column("words").to_pylist()]
+            yield appended(batch.drop_columns(["words"]), [terms], types)
+
+    return sample.mapInArrow(run, schema)
+
+
+class View:
+    """Rows of one view: numbers of the terms that a row has, and dense values."""
+
+    def __init__(self, terms: list, dense: np.ndarray, width: int) -> None:
+        self.terms, self.dense, self.width = terms, dense, width
+
+    def _flat(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = [len(self.terms[i]) for i in at]
+        rows = np.repeat(np.arange(len(at)), sizes)
+        return rows, np.concatenate([np.asarray(self.terms[i], np.int64) for i in at]) if len(at) else rows
+
+    def fit(self, at: np.ndarray, labels: np.ndarray) -> dict:
+        """Logistic regression on the rows ``at``, by accelerated proximal gradient steps on scaled columns."""
+        rows, columns = self._flat(at)
+        share = np.bincount(columns, minlength=self.width) / len(at)
+        spread = np.sqrt(share * (1 - share))
+        scale = np.divide(1, spread, out=np.zeros(self.width), where=spread > 0)
+        mean, deviation = self.dense[at].mean(axis=0), self.dense[at].std(axis=0)
+        deviation[deviation == 0] = np.inf
+        dense = np.column_stack([(self.dense[at] - mean) / deviation, np.ones(len(at))])
+
+        def forward(w: np.ndarray) -> np.ndarray:
+            return np.bincount(rows, weights=(w[:self.width] * scale)[columns], minlength=len(at)) + dense @ w[self.width:]
+
+        def backward(r: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.bincount(columns, weights=r[rows], minlength=self.width) * scale, dense.T @ r])
+
+        probe = np.ones(self.width + dense.shape[1])
+        for _ in range(15):
+            probe = backward(forward(probe))
+            norm = np.linalg.norm(probe)
+            probe /= norm
+        step = 1 / (1.1 * norm / (4 * len(at)))
+        threshold = np.full(len(probe), step * PENALTY)
+        threshold[-1] = 0  # the offset is not held down
+        w = ahead = np.zeros(len(probe))
+        momentum = 1.0
+        for _ in range(ITERATIONS):
+            chance = 1 / (1 + np.exp(-np.clip(forward(ahead), -30, 30)))
+            moved = ahead - step * backward(chance - labels) / len(at)
+            new = np.sign(moved) * np.maximum(np.abs(moved) - threshold, 0)
+            following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+            ahead, w, momentum = new + (momentum - 1) / following * (new - w), new, following
+        values = w[self.width:-1] / deviation
+        return {"terms": (w[:self.width] * scale).tolist(), "dense": values.tolist(), "offset": float(w[-1] - values @ mean)}
+
+    def margin(self, model: dict, at: np.ndarray) -> np.ndarray:
+        rows, columns = self._flat(at)
+        weights = np.asarray(model["terms"])[columns] if len(columns) else np.empty(0)
+        return np.bincount(rows, weights=weights, minlength=len(at)) + self.dense[at] @ np.asarray(model["dense"]) + model["offset"]
 
 
 def _platt(margins: np.ndarray, labels: np.ndarray) -> tuple[list[float], float]:
@@ -172,91 +183,98 @@ def _platt(margins: np.ndarray, labels: np.ndarray) -> tuple[list[float], float]
         used = [column for column, weight in zip(used, w[:-1], strict=True) if weight > 0]
 
 
-@dataclass
-class CoTrained:
-    """The two views of one target and how they are weighed; or a constant where there was one class only."""
-
-    target: str
-    views: dict[str, LogisticRegressionModel]
-    calibration: dict[str, tuple[float, float]]
-    weights: tuple[list[float], float]
-    constant: float | None = None
-
-    def score(self, df: DataFrame, margin: Column | None) -> DataFrame:
-        """Add the score: the chance by both calibrated views. ``margin`` is the text view's."""
-        name = f"{self.target}_score"
-        if self.constant is not None:
-            return df.withColumn(name, F.lit(self.constant))
-        margins = {_TEXT: margin, _META: _margin(_META)}
-        odds = F.lit(self.weights[1])
-        for weight, view in zip(self.weights[0], self.views, strict=True):
-            slope, offset = self.calibration[view]
-            odds = odds + weight * (slope * margins[view] + offset)
-        return self.views[_META].transform(df).withColumn(name, _chance(odds)).drop(f"{_META}_raw")
-
-
-def _teach(model: LogisticRegressionModel, view: str, unlabelled: DataFrame, rows: int) -> DataFrame:
-    """The pseudo-labels of one view: its most confident rows of either class."""
-    scored = model.transform(unlabelled).withColumn("chance", _chance(_margin(view)))
-    most = max(1, int(rows * TAUGHT))
-    sure = scored.filter(F.col("chance") >= CONFIDENCE).orderBy(F.desc("chance"), "__row").limit(most)
-    sure_not = scored.filter(F.col("chance") <= 1 - CONFIDENCE).orderBy("chance", "__row").limit(most)
-    return sure.withColumn("label", F.lit(1.0)).union(sure_not.withColumn("label", F.lit(0.0))).select("__row", "label", _TEXT, _META)
-
-
-def _co_train(sample: DataFrame, target: str, unlabelled_rows: int) -> CoTrained:
-    """Rounds of fitting and mutual teaching for one target, then calibration on held-out rows."""
-    labelled = sample.filter(F.col(target).isNotNull()).select("__row", "__held", F.col(target).cast("double").alias("label"), _TEXT, _META)
-    unlabelled = sample.filter("__unlabelled").select("__row", _TEXT, _META)
-    sizes = {(r["__held"], r["label"]): r["count"] for r in labelled.groupBy("__held", "label").count().collect()}
-    if any(sizes.get((held, label), 0) == 0 for held in (False, True) for label in (0.0, 1.0)):
-        rows, ones = sum(sizes.values()), sum(n for (_, label), n in sizes.items() if label == 1.0)
-        return CoTrained(target, {}, {}, ([], 0.0), ones / rows if rows else 0.5)
-    base = labelled.filter("NOT __held").drop("__held")
-    lessons = {_TEXT: base, _META: base}
-    models: dict[str, LogisticRegressionModel] = {}
-    for number in range(ROUNDS):
-        models = dict(zip(_VIEWS, _together(lambda view: _regression(view).fit(lessons[view]), _VIEWS), strict=True))
-        if number + 1 < ROUNDS and unlabelled_rows:
-            taught = {view: _teach(models[view], view, unlabelled, unlabelled_rows) for view in _VIEWS}
-            lessons = {view: base.union(taught[other]) for view, other in (_VIEWS, _VIEWS[::-1])}
-            lessons = dict(zip(_VIEWS, _together(lambda view: stored(lessons[view], "lessons"), _VIEWS), strict=True))
-    held = labelled.filter("__held")
-    for model in models.values():
-        held = model.transform(held)
-    rows = held.select("label", *[_margin(view).alias(view) for view in _VIEWS]).collect()
-    labels, odds = np.array([row["label"] for row in rows]), {}
-    calibration = {}
-    for view in _VIEWS:
-        margins = np.array([[row[view]] for row in rows])
-        slopes, offset = _platt(margins, labels)
-        calibration[view], odds[view] = (slopes[0], offset), slopes[0] * margins[:, 0] + offset
-    return CoTrained(target, models, calibration, _platt(np.column_stack([odds[view] for view in _VIEWS]), labels))
+def _taught(margin: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pseudo-labels of a view over unlabelled rows: its most confident ones of either class."""
+    most, limit = max(1, int(len(rows) * TAUGHT)), math.log(CONFIDENCE / (1 - CONFIDENCE))
+    order = np.argsort(margin, kind="stable")
+    low, high = order[:most], order[::-1][:most]
+    low, high = low[margin[low] <= -limit], high[margin[high] >= limit]
+    return rows[np.concatenate([low, high])], np.concatenate([np.zeros(len(low)), np.ones(len(high))])
+
+
+def co_train(sample: pd.DataFrame, vocabulary: int) -> dict:
+    """The pair of views of one target, fitted on its part of the bounded sample."""
+    sample = sample.sort_values(["row", "label"], kind="stable", ignore_index=True)
+    labels, held = sample["label"].to_numpy(np.float64), sample["held"].to_numpy(bool)
+    known = ~np.isnan(labels)
+    base, check, free = np.flatnonzero(known & ~held), np.flatnonzero(known & held), np.flatnonzero(~known)
+    if any(len(set(labels[rows].tolist())) < 2 for rows in (base, check)):
+        return {"constant": float(labels[known].mean()) if known.any() else 0.5}
+    metadata = [described(*row) for row in zip(sample["source"], sample["lang"], sample["size"], strict=True)]
+    categories = {c: i for i, c in enumerate(sorted({c for i in base for c in metadata[i][0]}))}
+    views = {
+        "text": View(sample["terms"].tolist(), np.stack(sample["shape"].to_numpy()), vocabulary),
+        "meta": View([[categories[c] for c in names if c in categories] for names, _ in metadata], np.array([[size] for _, size in metadata]), len(categories)),
+    }
+    lessons = {name: (base, labels[base]) for name in views}
+    models = {name: view.fit(*lessons[name]) for name, view in views.items()}
+    for _ in range(ROUNDS - 1):
+        taught = {name: _taught(view.margin(models[name], free), free) for name, view in views.items()}
+        for name, other in (("text", "meta"), ("meta", "text")):
+            rows, pseudo = taught[other]
+            models[name] = views[name].fit(np.concatenate([base, rows]), np.concatenate([labels[base], pseudo]))
+    odds = []
+    for name, view in views.items():
+        margins = view.margin(models[name], check)[:, None]
+        slopes, offset = _platt(margins, labels[check])
+        models[name] |= {"slope": slopes[0], "shift": offset}
+        odds.append(slopes[0] * margins[:, 0] + offset)
+    weights, offset = _platt(np.column_stack(odds), labels[check])
+    return {"views": models, "categories": categories, "weights": weights, "offset": offset}
 
 
 @dataclass
 class QualityModel:
+    """``models``: what ``co_train`` made for each target."""
+
     vocabulary: list[str]
-    targets: list[CoTrained]
+    models: dict[str, dict]
     columns: dict[str, str]
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """Every document with ``<target>_score``, a probability, for each target."""
-        rows = without(docs, [f"{t.target}_score" for t in self.targets])
-        rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if not c.startswith("__")])
-        fitted = [t for t in self.targets if t.constant is None]
-        scored, margins = rows, {}
-        if fitted:
-            views = [t.views[_TEXT] for t in fitted]
-            coefficients = np.array([v.coefficients.toArray() for v in views])
-            size = len(self.vocabulary)
-            weights = {w: coefficients[:, i].tolist() for i, w in enumerate(self.vocabulary) if coefficients[:, i].any()}
-            scored = _margins(rows, self.columns["text_col"], weights, coefficients[:, size:].tolist(), [v.intercept for v in views])
-            scored = _hasher().transform(_metadata(scored, *(self.columns[k] for k in ("source_col", "lang_col", "size_col"))))
-            margins = {t.target: F.get("__margins", F.lit(i)) for i, t in enumerate(fitted)}
-        for target in self.targets:
-            scored = target.score(scored, margins.get(target.target))
-        return scored.select(*[F.col(f"`{c}`") for c in rows.columns], *[f"{t.target}_score" for t in self.targets])
+        """Every document with ``<target>_score``, a probability, for each target. One narrow pass."""
+        names = [f"{target}_score" for target in self.models]
+        rows = without(docs, names)
+        schema = extended(rows, [T.StructField(name, T.DoubleType()) for name in names])
+        types, columns = arrow_schema(schema), self.columns
+        shared = docs.sparkSession.sparkContext.broadcast((self.vocabulary, list(self.models.values())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorers = [Scorer(shared.value[0], model) for model in shared.value[1]]
+            known = set().union(*[s.words for s in scorers])
+            for batch in batches:
+                for part, texts in slices(batch, columns["text"]):
+                    metadata = zip(*[part.column(columns[c]).to_pylist() for c in ("source", "lang", "size")], strict=True)
+                    scores = []
+                    for text, row in zip(texts, metadata, strict=True):
+                        terms, shape = look(text)
+                        names, size = described(*row)
+                        told = sorted(terms & known)
+                        scores.append([scorer.score(told, shape, names, size) for scorer in scorers])
+                    yield appended(part, [[s[i] for s in scores] for i in range(len(scorers))], types)
+
+        return rows.mapInArrow(run, schema)
+
+
+class Scorer:
+    """One target's model as lookups."""
+
+    def __init__(self, vocabulary: list[str], model: dict) -> None:
+        self.constant, self.words, self.model = model.get("constant"), {}, model
+        if self.constant is None:
+            text, meta = model["views"]["text"], model["views"]["meta"]
+            self.words = {w: v for w, v in zip(vocabulary, text["terms"], strict=True) if v}
+            self.names = {name: meta["terms"][i] for name, i in model["categories"].items()}
+
+    def score(self, words: list[str], shape: list[float], names: list[str], size: float) -> float:
+        if self.constant is not None:
+            return self.constant
+        text, meta = self.model["views"]["text"], self.model["views"]["meta"]
+        told = text["offset"] + sum(w * x for w, x in zip(text["dense"], shape, strict=True)) + sum(self.words.get(w, 0.0) for w in words)
+        known = meta["offset"] + meta["dense"][0] * size + sum(self.names.get(n, 0.0) for n in names)
+        (by_text, by_meta), offset = self.model["weights"], self.model["offset"]
+        odds = offset + by_text * (text["slope"] * told + text["shift"]) + by_meta * (meta["slope"] * known + meta["shift"])
+        return 1 / (1 + math.exp(-min(max(odds, -30), 30)))
 
 
 def fit(
@@ -265,36 +283,41 @@ def fit(
     labelled: int = LABELLED, unlabelled: int = UNLABELLED,
 ) -> QualityModel:
     """Co-train one pair of views per target; ``labels`` has the id and a 0/1 column per target."""
-    columns = {"text_col": text_col, "source_col": source_col, "lang_col": lang_col, "size_col": size_col}
-    known = labels.select(F.col(id_col).alias("__id"), *targets).filter("__id IS NOT NULL").distinct()
-    some = known.orderBy(F.xxhash64("__id"), "__id", *targets).limit(labelled).withColumn("__unlabelled", F.lit(False))
-    ids = docs.select(F.col(id_col).alias("__id")).filter("__id IS NOT NULL").join(known.select("__id"), "__id", "left_anti").distinct()
-    others = ids.orderBy(F.xxhash64("__id"), "__id").limit(unlabelled)
-    others = others.select("__id", *[F.lit(None).cast(known.schema[t].dataType).alias(t) for t in targets], F.lit(True).alias("__unlabelled"))
+    columns = {"text": text_col, "source": source_col, "lang": lang_col, "size": size_col}
+    marks = [F.col(t).cast("double").alias(f"y{i}") for i, t in enumerate(targets)]
+    known = labels.select(F.col(id_col).alias("id"), *marks).filter("id IS NOT NULL").distinct()
+    some = known.orderBy(F.xxhash64("id"), *known.columns).limit(labelled)
+    ids = docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").join(known.select("id"), "id", "left_anti").distinct()
+    others = ids.orderBy(F.xxhash64("id"), "id").limit(unlabelled)
+    others = others.select("id", *[F.lit(None).cast("double").alias(c) for c in known.columns[1:]])
     chosen = stored(some.union(others), "sample-ids")
-    narrow = docs.select(F.col(id_col).alias("__doc"), *[F.col(c).alias(k) for k, c in columns.items()])
-    picked = narrow.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).drop("__doc")
-    marks = {"__row": F.xxhash64("__id", "size_col"), "__held": F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(HELD_OUT)) == 0}
-    seen = _looked(_metadata(picked.withColumns(marks), "source_col", "lang_col", "size_col"), "text_col")
-    sample = stored(seen.repartition(SAMPLE_PARTS, "__id"), "sample")
-    vocabulary = _vocabulary(sample, targets)
-    stages = [
-        CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__words", outputCol="__counts"),
-        VectorAssembler(inputCols=["__counts", "__made_of"], outputCol=_TEXT), _hasher(),
-    ]
-    vectors = PipelineModel(stages).transform(sample.withColumn("__made_of", array_to_vector("__shape")))
-    kept = stored(vectors.select("__row", "__held", "__unlabelled", *targets, _TEXT, _META), "sample-vectors")
-    rows = kept.filter("__unlabelled").count()
-    return QualityModel(vocabulary, _together(lambda target: _co_train(kept, target, rows), targets), columns)
+    narrow = docs.select(
+        F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"),
+        F.col(lang_col).cast("string").alias("lang"), F.col(size_col).cast("double").alias("size"),
+    )
+    picked = narrow.join(F.broadcast(chosen), F.col("doc") == F.col("id")).withColumn("row", F.xxhash64("id", "text")).drop("doc")
+    held = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(HELD_OUT)) == 0
+    sample = stored(_looked(picked.withColumn("held", held).drop("id")), "sample")
+    vocabulary = _vocabulary(sample, [f"y{i}" for i in range(len(targets))])
+    by_target = F.explode(F.array(*[F.struct(F.lit(i).alias("target"), F.col(f"y{i}").alias("label")) for i in range(len(targets))]))
+    lessons = _termed(sample, vocabulary).select("row", "held", "source", "lang", "size", "shape", "terms", by_target.alias("t"))
+    size = len(vocabulary)
+
+    def train(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"target": [part["target"].iloc[0]], "model": [json.dumps(co_train(part, size))]})
+
+    grouped = lessons.select("*", "t.target", "t.label").drop("t").groupBy("target")
+    trained = {row["target"]: json.loads(row["model"]) for row in grouped.applyInPandas(train, "target int, model string").collect()}
+    return QualityModel(vocabulary, {t: trained.get(i, {"constant": 0.5}) for i, t in enumerate(targets)}, columns)
 
 
 def _vocabulary(sample: DataFrame, targets: list[str]) -> list[str]:
     """The ``WORDS`` words of the training rows whose share of positive texts is farthest from that of all texts,
     in standard deviations, for any target. It cannot be empty: a word that no text has stands in."""
-    trained = sample.filter("NOT __held AND NOT __unlabelled")
+    trained = sample.filter(F.coalesce(*targets).isNotNull() & ~F.col("held"))
     rows = trained.agg(F.count("*"), *[F.sum(F.col(t).cast("long")) for t in targets]).first()
     shares = [(n or 0) / rows[0] if rows[0] else 0.0 for n in rows[1:]]
-    words = trained.select(F.explode("__words").alias("w"), *targets).groupBy("w").agg(
+    words = trained.select(F.explode("words").alias("w"), *targets).groupBy("w").agg(
         F.count("*").alias("n"), *[F.sum(F.col(t).cast("long")).alias(f"n{i}") for i, t in enumerate(targets)]
     ).filter(F.col("n") >= MIN_TEXTS)
     apart = [
