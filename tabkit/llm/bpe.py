@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -27,8 +26,8 @@ from pyspark.sql import types as T
 
 from tabkit.llm.common import appended, arrow_schema, extended, slices, without
 
-#: Pre-tokens whose ids a Python worker remembers; beyond, it starts anew.
-REMEMBERED = 250_000
+#: Pre-tokens whose ids a task remembers; beyond, it starts anew.
+REMEMBERED = 400_000
 #: Pre-tokens that share an arena, so that its lists stay in the processor's cache.
 ARENA = 10_000
 WORD_BITS = 64
@@ -198,17 +197,6 @@ class Encoder:
         return [b"".join(map(known, parts)) for parts in cut]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """This worker's encoder of a call: a worker that runs several tasks keeps what it remembers."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks, pattern)
-    return _ENCODERS[key]
-
-
 def encode(
     df: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str, *, ids_col: str = "ids", bytes_col: str | None = None,
 ) -> DataFrame:
@@ -221,10 +209,9 @@ def encode(
     rows = without(df, [f.name for f in added])
     schema = extended(rows, added)
     types, shared = arrow_schema(schema), df.sparkSession.sparkContext.broadcast((ranks, pattern))
-    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(key, *shared.value)
+        encoder = Encoder(*shared.value)  # of this task: idle workers hold no memory
         tokens = token_bytes(shared.value[0]) if bytes_col else []
         for batch in batches:
             for part, texts in slices(batch, text_col):

@@ -21,7 +21,6 @@ name of a result are replaced.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from itertools import repeat
@@ -204,17 +203,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_AUTOMATA: dict[str, Automaton] = {}
-
-
-def _automaton(key: str, items: list, window: int) -> Automaton:
-    """Built once per worker from the block's items."""
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = Automaton([(item, words_of(text)) for item, text in items], window)
-    return _AUTOMATA[key]
-
-
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
     """The items in blocks of about ``block_bytes`` of text, one block on the driver at a time."""
     rows = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).filter("length(text) > 0")
@@ -258,10 +246,10 @@ def _pass(rows: DataFrame, added: list[T.StructField], block: list, text_col: st
     """Scan the documents for one block of items, adding to what earlier blocks found."""
     names = [f.name for f in added]
     schema = rows.schema if again else extended(rows, added)
-    types, shared, key = arrow_schema(schema), rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+    types, shared = arrow_schema(schema), rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, shared.value, window)
+        automaton = Automaton([(item, words_of(text)) for item, text in shared.value], window)
         for batch in batches:
             for part, texts in slices(batch, text_col):
                 found = find(automaton, texts)
