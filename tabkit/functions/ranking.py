@@ -139,10 +139,13 @@ def running_totals(
     else:
         slices = min(4096, max(2, n // one_task_rows * 2))
         drawn = df.select(F.col(key).cast("double").alias("k")).sample(min(1.0, slices * 50 / n), seed=seed).toPandas()
-        inner = np.unique(np.quantile(drawn["k"], np.linspace(0, 1, slices + 1)[1:-1])) if len(drawn) else np.array([0.0])
+        drawn = drawn["k"].dropna()
+        inner = np.unique(np.quantile(drawn, np.linspace(0, 1, slices + 1)[1:-1])) if len(drawn) else np.array([0.0])
         splits = [-math.inf, *[float(x) for x in inner], math.inf]
         keyed = df.withColumn("_k", F.col(key).cast("double"))
-        sliced = Bucketizer(splits=splits, inputCol="_k", outputCol="_slice").transform(keyed).drop("_k")
+        cut = Bucketizer(splits=splits, inputCol="_k", outputCol="_slice", handleInvalid="keep").transform(keyed)
+        # a null key comes last in descending order, so it has the lowest slice
+        sliced = cut.withColumn("_slice", F.when(F.col("_k").isNull(), F.lit(-1.0)).otherwise(F.col("_slice"))).drop("_k")
         totals = sliced.groupBy("_slice").agg(*[F.sum(c).alias(c) for c in sorted(wanted)])
         totals = totals.orderBy(F.desc("_slice")).collect()
         starts = {}

@@ -46,12 +46,12 @@ def join_dictionary(
     return joined.withColumn(name, F.coalesce("_hot", "_cold")).drop("_v", "_w", "_hot", "_cold", "_s", "_z")
 
 
-def _coded(seen: DataFrame, order: str) -> DataFrame:
+def _coded(seen: DataFrame, *order: str) -> DataFrame:
     """``(value, code, n)`` with codes in the given order and long values as digests, computed once.
 
     The digests keep a dictionary row short, so a dictionary below the row limit is small in bytes too.
     """
-    placed = with_position(seen, [order], "code", one_task_rows=SORTED_TEXTS)
+    placed = with_position(seen, list(order), "code", one_task_rows=SORTED_TEXTS)
     placed = placed.select(fingerprint(F.col("value")).alias("value"), "code", "n")
     local = fetched(placed)
     return cut_lineage(placed) if local is None else local
@@ -136,7 +136,7 @@ def factorize(df: DataFrame, columns: str | Sequence[str], order_key: str | Sequ
             .groupBy(col(c).cast("string").alias("value"))
             .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         )
-        df = join_dictionary(df, fingerprint(col(c).cast("string")), _coded(seen, "first"), f"_code{i}")
+        df = join_dictionary(df, fingerprint(col(c).cast("string")), _coded(seen, "first", "value"), f"_code{i}")
         df = df.withColumn(f"_code{i}", F.coalesce(F.col(f"_code{i}"), F.lit(-1).cast("long")))
         codes[c] = f"_code{i}"
     return _replace(df, codes)

@@ -17,7 +17,7 @@ from tabkit.functions.ranking import running_totals
 from tabkit.operators.profile import histogram
 from tabkit.operators.target import box_stats
 
-MATRIX_CLASSES = 20
+MATRIX_CLASSES = 1000
 
 
 def pair_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -93,26 +93,31 @@ def classification_report(
 
 
 def confusion_matrix(
-    df: DataFrame, label: str = "label", prediction: str = "prediction", max_classes: int = MATRIX_CLASSES
+    df: DataFrame, label: str = "label", prediction: str = "prediction", dense: bool = True, max_classes: int = MATRIX_CLASSES
 ) -> DataFrame:
-    """(label, prediction, n). Up to ``max_classes`` classes all pairs are listed, also those with 0 rows."""
+    """(label, prediction, n): all pairs of classes, also those with 0 rows, or with ``dense=False`` only the
+    pairs that occur. A dense table of more than ``max_classes`` classes is refused. Null is a class."""
     pairs = pair_counts(df, label, prediction)
+    if not dense:
+        return pairs
     classes = pairs.select(F.explode(F.array("label", "prediction")).alias("c")).distinct()
     found = [r["c"] for r in classes.limit(max_classes + 1).collect()]
     if len(found) > max_classes:
-        return pairs
+        raise ValueError(f"more than {max_classes} classes: ask for dense=False or raise max_classes")
     field = pairs.schema["label"].dataType.simpleString()
     grid = df.sparkSession.createDataFrame([(c,) for c in found], f"label {field}").withColumn(
         "prediction", F.explode(F.array(*[F.lit(c).cast(field) for c in found]))
     )
-    return grid.join(F.broadcast(pairs), ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    counted = pairs.select(F.col("label").alias("_l"), F.col("prediction").alias("_p"), "n")
+    same = F.col("label").eqNullSafe(F.col("_l")) & F.col("prediction").eqNullSafe(F.col("_p"))
+    return grid.join(F.broadcast(counted), same, "left").select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """R2, MAE, MSE and RMSE in one aggregate; R2 is null when the label does not vary."""
-    y, error = as_double(label), as_double(label) - as_double(prediction)
+    """R2, MAE, MSE and RMSE in one aggregate, over the rows that have both values; R2 is null when the label
+    does not vary."""
+    error = as_double(label) - as_double(prediction)
+    y = F.when(error.isNotNull(), as_double(label))
     mse = F.avg(error * error)
     return df.agg(
         (1 - F.try_divide(mse, F.var_pop(y))).alias("r2_score"),

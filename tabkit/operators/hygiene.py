@@ -44,7 +44,7 @@ def detect_unwanted(df: DataFrame, target: str | None = None, exact: bool = True
     integral = F.col("column_name").isin([f.name for f in df.schema.fields if is_integral(f.dataType)])
     numeric, text = F.col("kind") == NUMERIC, F.col("kind") == TEXT
     distinct = numeric & (n > 0) & (unique == n)
-    span = F.col("high") - F.col("low")
+    span = F.col("span")
     consecutive = F.col("whole_steps") & (span == n - 1)
     pattern = "(?i)(" + "|".join(ID_NAME_PATTERNS) + ")"
 

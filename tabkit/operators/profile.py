@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.functions.kinds import (
-    BOOLEAN, DATETIME, NESTED, NUMERIC, TEXT, as_double, col, columns_of, kind_of, kinds, numeric_columns,
+    BOOLEAN, DATETIME, NESTED, NUMERIC, TEXT, as_double, col, columns_of, is_integral, kind_of, kinds, numeric_columns,
     require_columns, text_columns,
 )
 from tabkit.functions.quantiles import quantiles
@@ -64,6 +64,10 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
             F.count(F.when(present(), 1)).alias("unique"),
             F.min(number()).alias("low"),
             F.max(number()).alias("high"),
+            F.coalesce(
+                (F.max("whole").cast("decimal(38,0)") - F.min("whole").cast("decimal(38,0)")).cast("double"),
+                F.max("fraction") - F.min("fraction"),
+            ).alias("span"),
             (F.coalesce(F.max(fraction) - F.min(fraction), F.lit(0.0)) == 0).alias("whole_steps"),
             F.bool_and(date_like).alias("date_like"),
         )
@@ -74,6 +78,7 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
         def facts(f):
             numeric = kind_of(f.dataType) == NUMERIC
             value = as_double(f.name)
+            exact_type = col(f.name).cast("decimal(38,0)") if is_integral(f.dataType) else value
             steps = F.pmod(value, F.lit(1.0))
             return F.struct(
                 F.count(F.lit(1)).alias("n"),
@@ -81,6 +86,7 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
                 unique(f).alias("unique"),
                 (F.min(value) if numeric else F.lit(None).cast("double")).alias("low"),
                 (F.max(value) if numeric else F.lit(None).cast("double")).alias("high"),
+                ((F.max(exact_type) - F.min(exact_type)).cast("double") if numeric else F.lit(None).cast("double")).alias("span"),
                 ((F.max(steps) == F.min(steps)) if numeric else F.lit(True)).alias("whole_steps"),
                 (
                     F.bool_and(col(f.name).rlike(r"^\d{4}-\d{2}-\d{2}"))
@@ -107,6 +113,7 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
             (F.coalesce("n", F.lit(0)) - F.coalesce("non_null", F.lit(0))).alias("missing_values"),
             "low",
             "high",
+            "span",
             "whole_steps",
             "date_like",
         )

@@ -32,7 +32,10 @@ def save_model(spark: SparkSession, trained: Trained, registry: str) -> str:
 
 
 def list_models(spark: SparkSession, registry: str) -> DataFrame:
-    """All entries, newest first."""
+    """All entries, newest first; none in a registry without entries."""
+    entries = spark._jvm.org.apache.hadoop.fs.Path(f"{registry}/entries")
+    if not entries.getFileSystem(spark._jsc.hadoopConfiguration()).exists(entries):
+        return spark.createDataFrame([], REGISTRY_SCHEMA)
     return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{registry}/entries").orderBy(F.desc("saved_at"), F.desc("id"))
 
 

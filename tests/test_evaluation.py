@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabkit.functions.ranking import running_totals
 from tabkit.operators import compare as K
 from tabkit.operators import evaluate as V
 from tabkit.operators import split as M
@@ -32,10 +33,33 @@ def test_class_that_is_never_predicted(spark):
     assert matrix == {("a", "a"): 1, ("a", "b"): 0, ("b", "a"): 1, ("b", "b"): 0}
 
 
-def test_matrix_sums_to_the_rows_and_is_sparse_beyond_the_limit(spark):
+def test_matrix_has_one_shape_at_any_number_of_classes(spark):
     df = spark.range(300).select((F.col("id") % 30).alias("label"), (F.col("id") % 29).alias("prediction"))
     found = V.confusion_matrix(df)
-    assert found.agg(F.sum("n")).first()[0] == 300 and found.where("n = 0").count() == 0
+    assert found.agg(F.sum("n")).first()[0] == 300 and found.count() == 900
+    sparse = V.confusion_matrix(df, dense=False)
+    assert sparse.agg(F.sum("n")).first()[0] == 300 and sparse.where("n = 0").count() == 0
+    with pytest.raises(ValueError, match="classes"):
+        V.confusion_matrix(df, max_classes=20)
+
+
+def test_matrix_counts_null_as_a_class(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), (None, "a")], "label string, prediction string")
+    found = {(r["label"], r["prediction"]): r["n"] for r in V.confusion_matrix(df).collect()}
+    assert found == {("a", "a"): 0, ("a", None): 2, (None, "a"): 1, (None, None): 0}
+
+
+def test_r2_leaves_out_rows_without_a_prediction(spark):
+    rows = [(1.0, 1.5), (2.0, 2.5), (1000.0, None)]
+    found = V.regression_metrics(spark.createDataFrame(rows, "label double, prediction double")).first()
+    assert found["r2_score"] == 0.0
+
+
+def test_running_totals_place_a_null_key_alike_on_both_paths(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.5, 2), (0.1, 3), (None, 4)], "k double, n long")
+    for limit in (1_000_000, 1):
+        found = {r["k"]: r["s"] for r in running_totals(df, "k", {"n": "s"}, one_task_rows=limit).collect()}
+        assert found == {0.9: 1, 0.5: 3, 0.1: 6, None: 10}
 
 
 def test_r2_without_variance(spark):
