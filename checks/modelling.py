@@ -150,6 +150,28 @@ def _csv_round_trip(spark, d):
     return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("digest"))
 
 
+def _csv_missing_markers(spark, d):
+    """Numbers and texts with markers of missing values, read back with inferred types."""
+    path = scratch(spark, "csv")
+    price = F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 'NA' WHEN o_orderkey % 7 = 1 THEN 'n/a' ELSE CAST(o_totalprice AS STRING) END")
+    priority = F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'None' ELSE o_orderpriority END")
+    files.write_csv(load(spark, d, "orders").select("o_orderkey", price.alias("price"), priority.alias("priority")), path)
+    back = files.read_csv(spark, path)
+    return back.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "price", "priority", F.typeof("price").alias("price_type"))
+
+
+_CSV_MISSING_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 1 THEN o_totalprice END AS price,
+CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS priority, 'double' AS price_type FROM orders"""
+
+
+def _csv_quoted_breaks(spark, d):
+    """Whole texts with quotes and line breaks, which the reader finds by itself."""
+    path = scratch(spark, "csv")
+    rows = load(spark, d, "documents").select("doc_id", F.concat("text", F.lit('\n"a, b"\n'), "lang").alias("text"))
+    files.write_csv(rows, path)
+    return files.read_csv(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("digest"))
+
+
 def _report_round_trip(spark, d):
     """The overview of a table, written as a report and read back."""
     from tabkit.operators.profile import table_overview
@@ -340,6 +362,11 @@ CHECKS = {
     "stream_score": (_stream_score, _PREDICTED),
     "csv_score": (_csv_score, _PREDICTED),
     "csv_round_trip": (_csv_round_trip, "SELECT doc_id, lang, source, n_chars, md5(text) AS digest FROM documents"),
+    "csv_missing_markers": (_csv_missing_markers, _CSV_MISSING_SQL),
+    "csv_quoted_breaks": (
+        _csv_quoted_breaks,
+        """SELECT doc_id, md5(text || chr(10) || '"a, b"' || chr(10) || lang) AS digest FROM documents""",
+    ),
     "report_round_trip": (
         _report_round_trip,
         "SELECT count(*) AS n_rows, 6 AS n_columns, 0::BIGINT AS missing_cells, 0 AS columns_with_missing FROM orders",

@@ -199,6 +199,10 @@ CHECKS = {
         lambda s, d: P.duplicate_count(load(s, d, "lineitem")),
         "SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows",
     ),
+    "duplicate_count_nested": (
+        lambda s, d: P.duplicate_count(load(s, d, "embeddings").withColumn("vec_id", F.floor(F.col("vec_id") / 2)).drop("label")),
+        "SELECT count(*) - count(DISTINCT (vec_id // 2, embedding)) AS duplicate_rows FROM embeddings",
+    ),
     "dtype_distribution": (
         lambda s, d: P.dtype_distribution(load(s, d, "lineitem")),
         """SELECT CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'

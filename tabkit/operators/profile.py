@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabkit.functions.kinds import (
     BOOLEAN, DATETIME, NESTED, NUMERIC, TEXT, as_double, col, columns_of, is_integral, kind_of, kinds, numeric_columns,
@@ -127,19 +128,23 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def _groupable(df: DataFrame) -> list[str]:
-    return columns_of(df, NUMERIC, TEXT, BOOLEAN, DATETIME)
+def _comparable(field: T.StructField) -> Column:
+    """A column as something that can be grouped: a map by its sorted entries, what holds maps as JSON, others as they are."""
+    value, kind = col(field.name), field.dataType.simpleString()
+    if isinstance(field.dataType, T.MapType) and "map<" not in kind[4:]:
+        return F.array_sort(F.map_entries(value))
+    return F.to_json(F.struct(value)) if "map<" in kind or "variant" in kind else value
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows; null equals null.
+    """Rows beyond the first of each group of equal rows, binary and nested columns included; null equals null.
 
     Rows are first counted by a 64-bit hash, which moves eight bytes per row. Equal rows share a hash, so
     a table without repeated hashes has no duplicates and is done. Otherwise only rows with a repeated
     hash are compared in full.
     """
-    names = _groupable(df)
-    rows = df.select(*[col(c) for c in names])
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.select(*[_comparable(f).alias(c) for f, c in zip(df.schema.fields, names)])
     absent = F.concat(*[F.when(col(c).isNull(), "0").otherwise("1") for c in names]) if names else F.lit("")
     hashed = rows.withColumn("_h", F.xxhash64(absent, *[col(c) for c in names]))
     repeated = hashed.groupBy("_h").count().where("count > 1").select("_h")
@@ -241,10 +246,12 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 def histogram(df: DataFrame, columns: str | Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width bins over the non-null values of each column, empty bins included.
 
-    The last bin is closed; a constant column gets a range of width one around its value.
+    The last bin is closed; a constant column gets a range of width one around its value. Infinities have no
+    place on such bins and are left out.
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
-    data = df.select(*[finite_or_null(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    values = [finite_or_null(c) for c in columns]
+    data = df.select(*[F.when(F.abs(v) < float("inf"), v).alias(f"c{i}") for i, v in enumerate(values)])
     ends = data.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in data.columns for f in (F.min, F.max)]).first()
     args, edges = [], []
     for i, name in enumerate(columns):
@@ -404,14 +411,17 @@ def high_cardinality(df: DataFrame, ratio: float = 0.5, exact: bool = True) -> D
 
 
 def pair_sample(df: DataFrame, key: Sequence[str], n: int = 1000, max_cols: int = 5, seed: int = 42) -> DataFrame:
-    """``n`` pseudo-random rows of the first numeric columns; the same rows for the same seed and keys."""
+    """``n`` pseudo-random rows of the first numeric columns; the same rows for the same seed and keys.
+
+    Of rows that share the last key in the sample, those with the smallest values fill it up.
+    """
     columns = numeric_columns(df)[:max_cols]
     rows = df.count()
-    hashed = df.withColumn("h", row_hash(key, seed))
+    hashed = df.select(*[col(c) for c in columns], row_hash(key, seed).alias("_h"))
     if rows > n:
-        cut = hash_cutoffs(hashed.select("h"), [], lambda size: [F.lit(n)], rows).first()["t0"]
-        hashed = hashed.where(F.col("h") <= F.lit(cut))
-    return hashed.select(*[col(c) for c in columns])
+        cut = hash_cutoffs(hashed.select(F.col("_h").alias("h")), [], lambda size: [F.lit(n)], rows).first()["t0"]
+        hashed = hashed.where(F.col("_h") <= F.lit(cut)).orderBy("_h", *[col(c) for c in columns]).limit(n)
+    return hashed.drop("_h")
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:

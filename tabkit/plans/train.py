@@ -24,7 +24,7 @@ from tabkit.operators.compare import main_metric
 from tabkit.operators.evaluate import classification_metrics, regression_metrics
 from tabkit.operators.split import assign_folds, assign_split, with_target
 from tabkit.operators.target import CLASSIFICATION, analyze_target
-from tabkit.plans.features import FEATURES, check_categories, feature_names, feature_stages
+from tabkit.plans.features import FEATURES, MAX_CATEGORIES, check_categories, feature_names, feature_stages
 from tabkit.plans.models import NamedEstimator, combinations, get_estimator, param_grid, sample_combinations
 from tabkit.session import ensure_checkpoint_dir, use_all_cores
 
@@ -77,12 +77,14 @@ def detect_problem(df: DataFrame, target: str) -> str:
     return row["problem_type"]
 
 
-def with_label(df: DataFrame, target: str, problem_type: str) -> tuple[DataFrame, list[str] | None]:
+def with_label(
+    df: DataFrame, target: str, problem_type: str, max_categories: int = MAX_CATEGORIES
+) -> tuple[DataFrame, list[str] | None]:
     """Add the numeric label; classes are coded in sorted order over all rows with a target."""
     rows = with_target(df, target)
     if problem_type != CLASSIFICATION:
         return rows.withColumn(LABEL, as_double(target)), None
-    check_categories(rows, [target])
+    check_categories(rows, [target], max_categories)
     text = rows.withColumn("_target", col(target).cast("string"))
     indexer = StringIndexer(inputCol="_target", outputCol=LABEL, stringOrderType="alphabetAsc").fit(text)
     return indexer.transform(text).drop("_target"), list(indexer.labels)
@@ -150,7 +152,7 @@ def train(
     params: dict[str, dict[str, Any]] | None = None,
     exclude: Sequence[str] = (),
     parallelism: int = 1,
-    max_categories: int | None = None,
+    max_categories: int = MAX_CATEGORIES,
     cache: bool = True,
 ) -> Training:
     """Split, fit every model, evaluate on the test rows, cross-validate on the training rows.
@@ -163,14 +165,13 @@ def train(
     ensure_checkpoint_dir(spark)
     key = [key] if isinstance(key, str) else list(key)
     problem_type = problem_type or detect_problem(df, target)
-    labelled, classes = with_label(df, target, problem_type)
+    labelled, classes = with_label(df, target, problem_type, max_categories)
     stratify = LABEL if problem_type == CLASSIFICATION else None
     marked = assign_split(labelled, key, test_frac, seed, stratify, name=IS_TEST)
     if cache:
         marked = marked.persist()
     train_rows, test_rows = marked.where(~F.col(IS_TEST)).drop(IS_TEST), marked.where(F.col(IS_TEST)).drop(IS_TEST)
-    options = {} if max_categories is None else {"max_categories": max_categories}
-    stages = feature_stages(train_rows, target, [*key, LABEL, *exclude], **options)
+    stages = feature_stages(train_rows, target, [*key, LABEL, *exclude], max_categories=max_categories)
     estimators = {}
     for name in models:
         estimator = get_estimator(name, problem_type, **(params or {}).get(name, {}))
@@ -231,6 +232,7 @@ def search(
     grid: dict[str, list] | None = None,
     exclude: Sequence[str] = (),
     parallelism: int = 2,
+    max_categories: int = MAX_CATEGORIES,
 ) -> DataFrame:
     """Cross-validated search over parameter settings: one row per setting, the best first.
 
@@ -242,8 +244,8 @@ def search(
     problem_type = problem_type or detect_problem(df, target)
     grid = grid if grid is not None else param_grid(model, problem_type)
     settings = combinations(grid) if method == "grid" else sample_combinations(grid, n_iter, seed)
-    labelled, _ = with_label(df, target, problem_type)
-    stages = feature_stages(labelled, target, [*key, LABEL, *exclude])
+    labelled, _ = with_label(df, target, problem_type, max_categories)
+    stages = feature_stages(labelled, target, [*key, LABEL, *exclude], max_categories=max_categories)
     stratify = LABEL if problem_type == CLASSIFICATION else None
     folded = assign_folds(labelled, key, folds, seed, stratify).persist()
     estimators = [NamedEstimator(model, problem_type, **s) for s in settings]

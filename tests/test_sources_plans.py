@@ -44,6 +44,39 @@ def test_scoring_csv_takes_types_from_the_features(spark, tmp_path):
     assert [r["x"] for r in found.orderBy("t").collect()] == [None, 2.5]
 
 
+def test_csv_missing_markers_leave_columns_numeric(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("i,x,big,b,day,t\n1,NA,99999999999,true,2024-01-02,NULL\nn/a,2.5,1,False,nan,u\n3,-1e3,2,None,2024-02-03,\n")
+    found = files.read_csv(spark, str(tmp_path / "m.csv"))
+    assert [t for _, t in found.dtypes] == ["int", "double", "bigint", "boolean", "date", "string"]
+    assert [(r["i"], r["x"], r["t"]) for r in found.orderBy("big").collect()] == [(None, 2.5, "u"), (3, -1000.0, None), (1, None, None)]
+    kept = files.read_csv(spark, str(tmp_path / "m.csv"), missing=())
+    assert dict(kept.dtypes)["x"] == "string"
+
+
+def test_csv_finds_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('t,x\n"a\nb",1\n"say ""hi""",2\n')
+    assert files.has_quoted_breaks(spark, str(tmp_path / "q.csv"))
+    assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "q.csv")).collect()) == [("a\nb", 1), ('say "hi"', 2)]
+    scored = files.read_scoring_csv(spark, str(tmp_path / "q.csv"), spark.createDataFrame([], "x double").schema)
+    assert sorted(tuple(r) for r in scored.collect()) == [("a\nb", 1.0), ('say "hi"', 2.0)]
+    (tmp_path / "p.csv").write_text('t,x\n"a, b",1\n')
+    assert not files.has_quoted_breaks(spark, str(tmp_path / "p.csv"))
+
+
+def test_csv_rows_of_wrong_length_are_an_error_unless_permitted(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("a,b\n1,2\n3,4,5\n6\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_csv(spark, str(tmp_path / "w.csv")).collect()
+    found = files.read_csv(spark, str(tmp_path / "w.csv"), mode="PERMISSIVE")
+    assert sorted((tuple(r) for r in found.collect()), key=str) == [(1, 2), (3, 4), (6, None)]
+
+
+def test_csv_without_rows(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("a,b\n")
+    found = files.read_csv(spark, str(tmp_path / "e.csv"))
+    assert found.dtypes == [("a", "string"), ("b", "string")] and found.count() == 0
+
+
 def test_jdbc_urls_and_identifiers():
     assert jdbc.jdbc_url("PostgreSQL", "db", "h") == "jdbc:postgresql://h:5432/db"
     assert jdbc.jdbc_url("MySQL", "db", "h", 1) == "jdbc:mysql://h:1/db"
