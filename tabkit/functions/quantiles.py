@@ -1,12 +1,13 @@
 """Exact quantiles with linear interpolation, at any table size.
 
 Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer, which a large
-column does not fit. Here values are counted first, copies before the shuffle, and the counts are ranked in
-a window per column. That window is used only while the rows to rank, which are counted, are few enough.
-Beyond that the wanted order statistics are found by narrowing: a small random sample only *proposes* cut
-points, an exact count per interval decides in which interval each wanted rank lies, and the intervals
-shrink until few enough rows are left in them. Every pass is a scan with map-side combined counts; no pass
-sorts or shuffles the table, and only the wanted values, interval counts and the sample reach the driver.
+column does not fit. Here three scans do, for any number of columns and probabilities: one counts and lets the
+mergeable sketch of ``percentile_approx``, over a sample, *propose* two cut points around each wanted rank; one counts exactly how
+many rows lie between the cut points, which tells where each rank is, whatever the sketch proposed; one ranks
+the few rows left there in a window. A cut point that is itself the answer, as with few distinct values, needs no
+third scan. Where more than ``ranked_rows`` rows are left, sketches of the intervals narrow them further
+with every two scans. No pass sorts or shuffles the table, and only cut points, interval
+counts and the wanted values reach the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +25,12 @@ from pyspark.sql import functions as F
 from tabkit.functions.kinds import as_double
 
 RANKED_ROWS = 1_000_000
+#: A sketch takes so many rows, or one in a hundred where that is more. The sample only affects how much is left to rank.
 SAMPLE_ROWS = 200_000
+#: A sketch is off by one part in so many of its rows at most.
+ACCURACY = 10_000
+#: Parts into which a sketch cuts an interval that is still too large.
+GRID = 1000
 
 
 @dataclass
@@ -45,6 +51,7 @@ def quantiles(
     exact: bool = True,
     ranked_rows: int = RANKED_ROWS,
     sample_rows: int = SAMPLE_ROWS,
+    accuracy: int = ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Quantiles of each column over its non-null values; ``None`` where a column has no value."""
     columns, probs = list(columns), [float(p) for p in probs]
@@ -54,34 +61,58 @@ def quantiles(
         *[F.nanvl(as_double(c), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]
     )
     if exact:
-        counts = list(data.agg(*[F.count(c).alias(c) for c in data.columns]).first())
-        values = _order_statistics(data, counts, probs, sample_rows, ranked_rows)
+        values = _order_statistics(data, probs, ranked_rows, sample_rows, accuracy)
         return {c: values[i] for i, c in enumerate(columns)}
     row = data.agg(*[F.percentile_approx(c, probs).alias(c) for c in data.columns]).first()
     return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
 
 
+def _share(rows: int, sample_rows: int) -> float:
+    """The share of ``rows`` that a sketch takes."""
+    return min(1.0, max(sample_rows, rows // 100) / rows) if rows else 1.0
+
+
+def _margin(p: float, sampled: float, accuracy: int) -> float:
+    """How far the share ``p`` may lie off in a sketch of so many sampled rows: four standard errors and the sketch's own."""
+    return 4 * math.sqrt(p * (1 - p) / sampled) + 2 / sampled + 2 / accuracy
+
+
 def _order_statistics(
-    data: DataFrame, counts: list[int], probs: list[float], sample_rows: int, ranked_rows: int
+    data: DataFrame, probs: list[float], ranked_rows: int, sample_rows: int, accuracy: int
 ) -> list[list[float | None]]:
+    rows = data.count()
+    share = _share(rows, sample_rows)
+    margins = [(p, _margin(p, max(1.0, rows * share), accuracy)) for p in probs]
+    around = sorted({min(1.0, max(0.0, at)) for p, off in margins for at in (p - off, p + off)})
+    drawn = F.col("drawn")
+    facts = [
+        F.struct(
+            F.count(c).alias("n"), F.count_if(F.col(c) == math.inf).alias("infinite"),
+            F.percentile_approx(F.when(drawn & (F.col(c) < math.inf), F.col(c)), around, accuracy).alias("cuts"),
+        ).alias(c)
+        for c in data.columns
+    ]
+    seen = data.withColumn("drawn", F.rand(0) < share).agg(*facts).first()
+    counts = [fact["n"] for fact in seen]
     found: dict[int, dict[int, float]] = defaultdict(dict)
     active: dict[int, list[_Interval]] = {}
     for i, n in enumerate(counts):
-        if n:
-            wanted = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-            active[i] = [_Interval(-math.inf, math.inf, 0, n, wanted)]
-    sampled, seed = sample_rows, 0
+        wanted = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}) if n else []
+        finite = n - seen[i]["infinite"]
+        found[i].update({r: math.inf for r in wanted if r >= finite})
+        if below := [r for r in wanted if r < finite]:
+            active[i] = [_Interval(-math.inf, math.inf, 0, finite, below)]
+    # the infinity is known by its count, so every interval is half-open
+    data = data.select(*[F.when(F.col(c) < math.inf, F.col(c)).alias(c) for c in data.columns])
+    proposed, seed = {i: seen[i]["cuts"] or [] for i in active}, 1
     while active:
-        total = sum(part.count for parts in active.values() for part in parts)
-        if total <= ranked_rows:
+        if sum(part.count for parts in active.values() for part in parts) <= ranked_rows:
             _rank(_long(data, active), active, found)
             break
-        sample = _long(data, active).sample(fraction=min(1.0, sampled / total), seed=seed).toPandas()
-        seed += 1
-        narrowed = _recount(data, active, _cut_points(sample, active), found)
-        after = sum(part.count for parts in narrowed.values() for part in parts)
-        sampled = sample_rows if after < total / 2 else sampled * 4
-        active = narrowed
+        active = _recount(data, active, _edges(proposed, active), found)
+        if sum(part.count for parts in active.values() for part in parts) > ranked_rows:
+            proposed = _cut_points(_long(data, active), active, sample_rows, accuracy, seed)
+            seed += 1
 
     result: list[list[float | None]] = []
     for i, n in enumerate(counts):
@@ -92,7 +123,7 @@ def _order_statistics(
         for p in probs:
             position = p * (n - 1)
             low, high = found[i][math.floor(position)], found[i][math.ceil(position)]
-            column.append(low + (high - low) * (position - math.floor(position)))
+            column.append(low if low == high else low + (high - low) * (position - math.floor(position)))
         result.append(column)
     return result
 
@@ -125,28 +156,33 @@ def _rank(long: DataFrame, active, found) -> None:
         found[r["i"]][r["rank"]] = r["v"]
 
 
-def _cut_points(sample, active) -> dict[int, list[float]]:
-    """Sampled values just around each wanted rank; each value also gets an interval of its own."""
-    cuts: dict[int, set[float]] = {}
-    for i, parts in active.items():
-        points: set[float] = set()
-        drawn = np.sort(sample.loc[sample["i"] == i, "v"].to_numpy())
-        for part in parts:
-            points.update((part.low, part.high))
-            inside = drawn[(drawn >= part.low) & ((drawn < part.high) | math.isinf(part.high))]
-            m = len(inside)
-            if not m:
-                continue
-            for rank in part.ranks:
-                share = (rank - part.start + 0.5) / part.count
-                margin = 2 * math.sqrt(share * (1 - share) / m) + 2 / m
-                for at in (share - margin, share + margin):
-                    v = float(inside[min(m - 1, max(0, round(at * m)))])
-                    points.update((v, float(np.nextafter(v, math.inf))))
-        cuts[i] = sorted(points | {-math.inf, math.inf})
+def _cut_points(long: DataFrame, active, sample_rows: int, accuracy: int, seed: int) -> dict[int, list[float]]:
+    """Values just around each wanted rank, and at it, by a sketch of each interval; the latter halve a small one."""
+    share = _share(sum(part.count for parts in active.values() for part in parts), sample_rows)
+    grid = [k / GRID for k in range(GRID + 1)]
+    drawn = long.sample(fraction=share, seed=seed) if share < 1 else long
+    sketches = drawn.groupBy("i", "j").agg(F.count("v").alias("n"), F.percentile_approx("v", grid, accuracy).alias("cuts"))
+    cuts: dict[int, list[float]] = defaultdict(list)
+    for i, j, n, values in sketches.collect():
+        part = active[i][j]
+        for rank in part.ranks:
+            at = (rank - part.start + 0.5) / part.count
+            off = _margin(at, n, accuracy)
+            places = (math.floor((at - off) * GRID), round(at * GRID), math.ceil((at + off) * GRID))
+            cuts[i] += [values[min(GRID, max(0, place))] for place in places]
     return cuts
 
 
+def _edges(proposed: dict[int, list[float]], active) -> dict[int, list[float]]:
+    """Cut points with the intervals' own ends; each proposed value also gets an interval of its own."""
+    edges = {}
+    for i, parts in active.items():
+        ends = {end for part in parts for end in (part.low, part.high)}
+        alone = {edge for v in proposed.get(i, ()) for edge in (v, float(np.nextafter(v, math.inf)))}
+        edges[i] = sorted(ends | alone | {-math.inf, math.inf})
+    return edges
+
+
 def _recount(data, active, cuts, found) -> dict[int, list[_Interval]]:
     """Count rows per candidate interval and keep the intervals that hold a wanted rank."""
     bucketed = Bucketizer(

@@ -23,7 +23,7 @@ def mixed(spark):
     return spark.createDataFrame(rows, "heavy double, wide double, const double, k long, none double").cache()
 
 
-@pytest.mark.parametrize("limits", [dict(), dict(sample_rows=500, ranked_rows=300)])
+@pytest.mark.parametrize("limits", [dict(), dict(sample_rows=500, accuracy=50, ranked_rows=300), dict(accuracy=50, ranked_rows=0)])
 def test_quantiles_match_numpy(mixed, limits):
     got = quantiles(mixed, mixed.columns, PROBS, **limits)
     pdf = mixed.toPandas()
@@ -33,6 +33,24 @@ def test_quantiles_match_numpy(mixed, limits):
     assert got["none"] == [None] * len(PROBS)
 
 
+@pytest.mark.parametrize("limits", [dict(), dict(accuracy=20, ranked_rows=1)])
+def test_quantiles_with_infinities(spark, limits):
+    values = [float("-inf")] * 30 + [float(i) for i in range(40)] + [float("inf")] * 30 + [float("nan"), None]
+    got = quantiles(spark.createDataFrame([(v,) for v in values], "v double"), ["v"], [0.0, 0.1, 0.5, 0.9, 1.0], **limits)
+    assert got["v"] == [float("-inf"), float("-inf"), 19.5, float("inf"), float("inf")]
+
+
+def test_large_tables_are_read_three_times_at_most(mixed, monkeypatch):
+    from tabkit.functions import quantiles as engine
+
+    calls = []
+    for name in ("_recount", "_rank", "_cut_points"):
+        real = getattr(engine, name)
+        monkeypatch.setattr(engine, name, lambda *a, real=real, name=name: (calls.append(name), real(*a))[1])
+    quantiles(mixed, mixed.columns, PROBS, ranked_rows=5000)
+    assert calls == ["_recount", "_rank"]
+
+
 def test_hash_cutoffs_pick_exact_ranks(mixed):
     df = mixed.select("k", F.when(F.col("k") % 3 == 0, "a").when(F.col("k") % 7 == 0, None).otherwise("b").alias("g"))
     hashed = df.select("g", row_hash(["k"], 42).alias("h"))
