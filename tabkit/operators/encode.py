@@ -25,8 +25,8 @@ def join_dictionary(
 
     A small dictionary, by its rows and its bytes, is broadcast. A large one is split: its most frequent
     values are broadcast, so the rows of a hot value never meet in one task; the rest join by shuffle. Rows
-    already coded travel under salts that match nothing; the salt comes from the row itself, so a repeated
-    task places rows alike.
+    already coded travel under salts that match nothing; the salt comes from the row and its partition, so
+    copies of one row are spread and a repeated task places rows alike.
     """
     keyed = df.withColumn("_v", column)
     length = F.octet_length(F.concat(F.col("value").cast("string"), F.col("code").cast("string")))
@@ -37,13 +37,15 @@ def join_dictionary(
     hot = dictionary.orderBy(F.desc("n"), "value").limit(HOT_VALUES)
     hot = hot.select(F.col("value").alias("_w"), F.col("code").alias("_hot"))
     keyed = keyed.join(F.broadcast(hot), F.col("_v") == F.col("_w"), "left").drop("_w")
-    salt = F.pmod(F.xxhash64(*[col(c) for c in df.columns if kinds(df)[c] != NESTED]), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[col(c) for c in df.columns if kinds(df)[c] != NESTED]), F.lit(SALTS))
     settled = F.col("_hot").isNotNull() | F.col("_v").isNull()
-    keyed = keyed.withColumn("_s", F.when(settled, salt + 1).otherwise(0))
-    keyed = keyed.withColumn("_v", F.when(~settled, F.col("_v")))
-    cold = dictionary.select(F.col("value").alias("_w"), F.col("code").alias("_cold"), F.lit(0).cast("long").alias("_z"))
-    joined = keyed.join(cold, (F.col("_v") == F.col("_w")) & (F.col("_s") == F.col("_z")), "left")
-    return joined.withColumn(name, F.coalesce("_hot", "_cold")).drop("_v", "_w", "_hot", "_cold", "_s", "_z")
+    place = F.when(settled, salt + 1).otherwise(F.lit(0).cast("long"))
+    # one key for value and salt: as a condition of its own the salt would not deal out the rows
+    keyed = keyed.withColumn("_s", F.struct(F.when(~settled, F.col("_v")).alias("v"), place.alias("s")))
+    first = F.struct(F.col("value").alias("v"), F.lit(0).cast("long").alias("s"))
+    cold = dictionary.select(first.alias("_w"), F.col("code").alias("_cold"))
+    joined = keyed.join(cold, F.col("_s") == F.col("_w"), "left")
+    return joined.withColumn(name, F.coalesce("_hot", "_cold")).drop("_v", "_w", "_hot", "_cold", "_s")
 
 
 def _coded(seen: DataFrame, *order: str) -> DataFrame:

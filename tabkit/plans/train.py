@@ -32,7 +32,7 @@ RUNS_SCHEMA = (
     "experiment string, run_id string, model string, problem_type string, training_time_s double, "
     "cv_mean double, cv_std double, cv_scores array<double>, metrics map<string, double>"
 )
-FAST_FOLDS = {"XGBoost": 3}
+FOLDS_BY_MODEL = {"XGBoost": 3}
 LABEL = "label"
 IS_TEST = "_is_test"
 _SCORED = [LABEL, "prediction"]
@@ -148,17 +148,20 @@ def train(
     test_frac: float = 0.2,
     seed: int = 42,
     folds: int | None = 5,
+    folds_by_model: dict[str, int] = FOLDS_BY_MODEL,
     experiment: str = "default",
     params: dict[str, dict[str, Any]] | None = None,
     exclude: Sequence[str] = (),
     parallelism: int = 1,
     max_categories: int = MAX_CATEGORIES,
+    passthrough_timestamps: bool = False,
     cache: bool = True,
 ) -> Training:
     """Split, fit every model, evaluate on the test rows, cross-validate on the training rows.
 
     ``key`` identifies rows: it decides their place in the split and is not a feature. ``folds=None`` skips
-    cross-validation; boosted trees use three folds. ``cache=False`` reads the source again for every pass
+    cross-validation; ``folds_by_model`` names models with a number of folds of their own, where that is the
+    smaller one: three for boosted trees unless told otherwise. ``passthrough_timestamps`` makes timestamps features. ``cache=False`` reads the source again for every pass
     instead of keeping its rows; the feature vectors a model iterates over are always kept while it is fitted.
     """
     spark = df.sparkSession
@@ -171,7 +174,8 @@ def train(
     if cache:
         marked = marked.persist()
     train_rows, test_rows = marked.where(~F.col(IS_TEST)).drop(IS_TEST), marked.where(F.col(IS_TEST)).drop(IS_TEST)
-    stages = feature_stages(train_rows, target, [*key, LABEL, *exclude], max_categories=max_categories)
+    options = {"max_categories": max_categories, "passthrough_timestamps": passthrough_timestamps}
+    stages = feature_stages(train_rows, target, [*key, LABEL, *exclude], **options)
     estimators = {}
     for name in models:
         estimator = get_estimator(name, problem_type, **(params or {}).get(name, {}))
@@ -204,7 +208,7 @@ def train(
     if folds:
         by_k: dict[int, list[str]] = {}
         for name in estimators:
-            by_k.setdefault(min(folds, FAST_FOLDS.get(name, folds)), []).append(name)
+            by_k.setdefault(min(folds, folds_by_model.get(name, folds)), []).append(name)
         for k, names in by_k.items():
             folded = assign_folds(train_rows, key, k, seed, stratify).persist()
             found = fold_scores([estimators[n] for n in names], stages, folded, k, problem_type, parallelism)
@@ -233,6 +237,7 @@ def search(
     exclude: Sequence[str] = (),
     parallelism: int = 2,
     max_categories: int = MAX_CATEGORIES,
+    passthrough_timestamps: bool = False,
 ) -> DataFrame:
     """Cross-validated search over parameter settings: one row per setting, the best first.
 
@@ -245,7 +250,8 @@ def search(
     grid = grid if grid is not None else param_grid(model, problem_type)
     settings = combinations(grid) if method == "grid" else sample_combinations(grid, n_iter, seed)
     labelled, _ = with_label(df, target, problem_type, max_categories)
-    stages = feature_stages(labelled, target, [*key, LABEL, *exclude], max_categories=max_categories)
+    options = {"max_categories": max_categories, "passthrough_timestamps": passthrough_timestamps}
+    stages = feature_stages(labelled, target, [*key, LABEL, *exclude], **options)
     stratify = LABEL if problem_type == CLASSIFICATION else None
     folded = assign_folds(labelled, key, folds, seed, stratify).persist()
     estimators = [NamedEstimator(model, problem_type, **s) for s in settings]

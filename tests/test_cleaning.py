@@ -135,6 +135,20 @@ def test_large_dictionaries_give_the_same_codes(spark, monkeypatch, limits):
     assert len(got) == 600 and got["code"].tolist() == [order[v] for v in got["t"].fillna("nan")]
 
 
+def test_copies_of_a_hot_row_are_spread(spark):
+    """Without the partition in the salt, all copies of a one-column row would meet in one task."""
+    df = spark.range(0, 4000, 1, 8).select(F.lit("hot").alias("t"))
+    dictionary = spark.createDataFrame([("hot", 0, 4000), ("rare", 1, 1)], "value string, code int, n long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = E.join_dictionary(df.hint("merge"), F.col("t"), dictionary, "code", broadcast_rows=1)
+        tasks = joined.groupBy(F.spark_partition_id().alias("task"), "code").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r["code"] for r in tasks} == {0} and sum(r["count"] for r in tasks) == 4000
+    assert len({r["task"] for r in tasks}) > 1
+
+
 def test_ranking_worked_example(spark):
     """Binary target, 15,000 rows, few features, one categorical."""
     facts = spark.createDataFrame(

@@ -37,3 +37,14 @@ def test_category_limit_reaches_the_target_and_the_search(spark):
         T.train(df, "y", "id", ["Logistic Regression"], CLASSIFICATION, folds=None, max_categories=5)
     with pytest.raises(ValueError, match="more than 5 categories in y"):
         T.search(df, "y", "id", "Logistic Regression", CLASSIFICATION, folds=3, max_categories=5)
+
+
+def test_training_takes_folds_by_model_and_timestamps(spark):
+    rows = spark.range(300).select("id", (F.rand(1) * 10).alias("x"), F.timestamp_seconds(F.col("id") * 86400).alias("day"))
+    df = rows.withColumn("y", F.col("x") * 2 + F.unix_timestamp("day") / 86400)
+    options = dict(problem_type="Regression", folds=4, folds_by_model={"Linear Regression": 2})
+    plain = T.train(df, "y", "id", ["Linear Regression"], **options)
+    timed = T.train(df, "y", "id", ["Linear Regression"], passthrough_timestamps=True, **options)
+    run = timed.runs.first()
+    assert len(run["cv_scores"]) == 2
+    assert run["metrics"]["r2_score"] > 0.99 > plain.runs.first()["metrics"]["r2_score"]
