@@ -1,14 +1,14 @@
 """Licence scan with DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance by directory.
 
 Every line and every paragraph of a file is a segment. Its terms (runs of a-z and 0-9 after lowering A-Z) are
-weighted by their count times ``ln((1 + files) / (1 + files with the term)) + 1``, counted over all files for the
-terms of the templates; any other term weighs as one that no file has, and only makes a segment less alike. A
-segment whose cosine to a template reaches ``threshold`` carries that licence, and a file has the licence of
+weighted by their count times ``ln((1 + files) / (1 + files with the term)) + 1``, counted over all files for every
+term. A segment whose cosine to a template reaches ``threshold`` carries that licence, and a file has the licence of
 its best segment, the smaller name on ties.
 
 Few segments are weighed. By Cauchy-Schwarz the cosine is at most the norm of the template's shared terms, so a
 set of rare terms is chosen such that no template reaches the threshold without one of them; a segment without
-any is left out. That loses nothing. The templates and their terms are fixed and small; they are broadcast.
+any is left out. That loses nothing. The templates and their terms are fixed and small; they are broadcast, with
+the other terms of most files, ``COMMON`` at most. The weights of the remaining terms are joined by a shuffle.
 
 A file without a licence of its own inherits that of the nearest directory, its own first, that holds a licence
 file with one. Directories are joined with their ancestors, once per directory rather than per file.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tabkit.llm.common import ascii_lower, stored, without
 
 THRESHOLD = 0.8
+#: Terms outside the templates that are broadcast with their weights.
+COMMON = 10_000
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 
 #: Notices and opening paragraphs of public licences.
@@ -91,13 +93,25 @@ def telling_terms(vectors: list[dict[str, float]], idf: dict[str, float], thresh
     return chosen
 
 
+def _least_size(terms: DataFrame) -> int:
+    """The least ``size`` such that ``COMMON`` terms at most have it or a greater one."""
+    held = {row["size"]: row["count"] for row in terms.groupBy("size").count().collect()}
+    least, taken = 65, 0
+    for size in range(64, 0, -1):
+        taken += held.get(size, 0)
+        if taken > COMMON:
+            break
+        least = size
+    return least
+
+
 def own_licences(files: DataFrame, key_col: str, text_col: str, *, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(key, licence, cosine) of the files that have a licence of their own. ``key_col`` names a file."""
     vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
     texts = files.select(F.col(key_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    listed = F.array(*map(F.lit, vocabulary))
-    held = texts.select(F.explode(F.array_intersect(_terms(F.col("text")), listed)).alias("term"))
-    counts = {row["term"]: row["n"] for row in held.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    held = texts.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("word"))
+    words = stored(held.groupBy("word").agg(F.count("*").alias("files")), "licence-terms")
+    counts = {row["word"]: row["files"] for row in words.filter(F.col("word").isin(vocabulary)).collect()}
     total = files.count()
     idf = {t: _idf(counts.get(t, 0), total) for t in vocabulary}
     vectors = template_weights(templates, idf)
@@ -111,10 +125,18 @@ def own_licences(files: DataFrame, key_col: str, text_col: str, *, templates=TEM
     counted = segments.groupBy("key", "at", "term").agg(F.count("*").alias("n"))
 
     spark = files.sparkSession
+    kind = "word string, idf double, uses array<struct<template:int,weight:double>>"
     rows = [(t, float(idf[t]), [(i, float(v[t])) for i, v in enumerate(vectors) if t in v]) for t in vocabulary]
-    weights = spark.createDataFrame(rows, "word string, idf double, uses array<struct<template:int,weight:double>>")
-    weighed = counted.join(F.broadcast(weights), F.col("term") == F.col("word"), "left")
-    weighed = weighed.withColumn("w", F.col("n") * F.coalesce("idf", F.lit(_idf(0, total))))
+    weight = F.log(F.lit(float(1 + total)) / (1 + F.col("files"))) + 1
+    others = words.filter(~F.col("word").isin(vocabulary)).withColumn("size", F.length(F.bin("files")))
+    least = _least_size(others)
+    others = others.select("word", weight.alias("idf"), F.lit(None).cast("array<struct<template:int,weight:double>>").alias("uses"), "size")
+    common = spark.createDataFrame(rows, kind).union(others.filter(F.col("size") >= least).drop("size"))
+    met = counted.join(F.broadcast(common), F.col("term") == F.col("word"), "left")
+    rare = met.filter("word IS NULL").select("key", "at", "term", "n")
+    rare = rare.join(others.filter(F.col("size") < least).drop("size").hint("shuffle_merge"), F.col("term") == F.col("word"))
+    weighed = met.filter("word IS NOT NULL").union(rare).select("key", "at", "term", (F.col("n") * F.col("idf")).alias("w"), "uses")
+    weighed = stored(weighed, "licence-weights")
     by_template = weighed.select("key", "at", "w", F.explode_outer("uses").alias("use"))
     # the norm needs each term once: its square goes with the first use only, here by a sum per segment and term
     norms = weighed.groupBy("key", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

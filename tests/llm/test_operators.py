@@ -300,6 +300,28 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def cosine_by_hand(segment, template, texts):
+    held = [set(licences.terms_of(t)) for t in texts]
+    weight = lambda t: np.log((1 + len(texts)) / (1 + sum(t in h for h in held))) + 1
+    a, b = ({t: x.count(t) * weight(t) for t in x} for x in (licences.terms_of(segment), licences.terms_of(template)))
+    return sum(w * b.get(t, 0) for t, w in a.items()) / np.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+
+@pytest.mark.parametrize("common", [0, licences.COMMON])
+@pytest.mark.parametrize("size", [1_000, 10_000])
+def test_other_terms_weigh_by_their_own_files(spark, monkeypatch, size, common):
+    monkeypatch.setattr(licences, "COMMON", common)
+    notice = "This project is released under the MIT License."
+    texts = [
+        " ".join(["the", *["this is"] * (i % 2), *["under a license"] * (i % 10 == 0), *["project"] * (i % 5 == 0), *["mit"] * (i % 100 == 1), *["released"] * (i % 50 == 2)])
+        for i in range(size - 1)
+    ] + [notice]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = licences.own_licences(df, "id", "text").filter(F.col("key") == size - 1).collect()
+    assert [r["licence"] for r in found] == ["MIT"]
+    assert found[0]["cosine"] == pytest.approx(cosine_by_hand(notice, "Released under the MIT License.", texts), abs=1e-8)
+
+
 def test_telling_terms_lose_no_match():
     idf = {t: 1.0 + (len(t) % 5) for _, text in licences.TEMPLATES for t in licences.terms_of(text)}
     weights = licences.template_weights(licences.TEMPLATES, idf)
