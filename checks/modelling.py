@@ -224,36 +224,35 @@ n AS (SELECT qid, label, 1 AS w FROM d WHERE r <= 5) {_vote("w")}"""
 
 
 def _orders(spark, d):
-    return load(spark, d, "orders").drop("o_orderdate")
+    return load(spark, d, "orders")
 
 
-def _classifier(name, **params):
+def _classifier(name):
     """Predictions of a classifier for the test rows of orders."""
 
     def run(spark, d):
-        trained = T.train(_orders(spark, d), "o_orderstatus", "o_orderkey", [name], CLASSIFICATION, folds=None, params={name: params})
+        trained = T.train(_orders(spark, d), "o_orderstatus", "o_orderkey", [name], CLASSIFICATION, folds=None)
         return A.score(trained.models[name], trained.test.drop("label"))
 
     return run
 
 
-def _binary(name, **params):
+def _binary(name):
     """Predictions of a classifier for a two-class target."""
 
     def run(spark, d):
         rows = _orders(spark, d).withColumn("large", F.col("o_totalprice") > 200000).drop("o_totalprice")
-        trained = T.train(rows, "large", "o_orderkey", [name], CLASSIFICATION, folds=None, params={name: params})
+        trained = T.train(rows, "large", "o_orderkey", [name], CLASSIFICATION, folds=None)
         return A.score(trained.models[name], trained.test.drop("label"))
 
     return run
 
 
-def _regressor(name, **params):
+def _regressor(name):
     """Predictions of a regression model for the test rows of part."""
 
     def run(spark, d):
-        parts = load(spark, d, "part").drop("p_name")
-        trained = T.train(parts, "p_retailprice", "p_partkey", [name], REGRESSION, folds=None, params={name: params})
+        trained = T.train(load(spark, d, "part"), "p_retailprice", "p_partkey", [name], REGRESSION, folds=None)
         return A.score(trained.models[name], trained.test.drop("label"))
 
     return run
@@ -261,26 +260,20 @@ def _regressor(name, **params):
 
 def _importance(spark, d):
     name = "Random Forest"
-    trained = T.train(
-        _orders(spark, d), "o_orderstatus", "o_orderkey", [name], CLASSIFICATION, folds=None,
-        params={name: {"n_estimators": 20, "max_depth": 5}},
-    )
+    trained = T.train(_orders(spark, d), "o_orderstatus", "o_orderkey", [name], CLASSIFICATION, folds=None)
     return T.feature_importance(trained.models[name], trained.test)
 
 
 def _sizes(spark, d):
     names = ["Linear Regression", "Lasso Regression", "Decision Tree"]
-    trained = T.train(load(spark, d, "part").drop("p_name"), "p_retailprice", "p_partkey", names, REGRESSION, folds=None)
+    trained = T.train(load(spark, d, "part"), "p_retailprice", "p_partkey", names, REGRESSION, folds=None)
     rows = [(n, k, v) for n, m in trained.models.items() for k, v in D.model_size(m.model).items()]
     return spark.createDataFrame(rows, "model string, item string, size int")
 
 
 def _trained_runs(spark, d):
     """A whole training call: two models, test metrics and fold scores."""
-    trained = T.train(
-        _orders(spark, d), "o_orderstatus", "o_orderkey", ["Logistic Regression", "Decision Tree"], CLASSIFICATION,
-        params={"Decision Tree": {"max_depth": 5}},
-    )
+    trained = T.train(_orders(spark, d), "o_orderstatus", "o_orderkey", ["Logistic Regression", "Decision Tree"], CLASSIFICATION)
     return trained.runs
 
 
@@ -417,15 +410,15 @@ CHECKS = {
     "knn_embeddings": (_embedded, _EMBEDDED),
     "train_models": (_trained_runs, None),
     "logistic_regression": (_classifier("Logistic Regression"), None),
-    "decision_tree": (_classifier("Decision Tree", max_depth=10), None),
-    "random_forest": (_classifier("Random Forest", n_estimators=50, max_depth=5), None),
+    "decision_tree": (_classifier("Decision Tree"), None),
+    "random_forest": (_classifier("Random Forest"), None),
     "support_vector_machine": (_binary("Support Vector Machine (SVM)"), None),
     "knn_model": (_classifier("K-Nearest Neighbors (KNN)"), None),
-    "boosted_trees": (_binary("XGBoost", n_estimators=50, max_depth=3), None),
+    "boosted_trees": (_binary("XGBoost"), None),
     "decision_tree_regression": (_regressor("Decision Tree"), None),
-    "random_forest_regression": (_regressor("Random Forest", n_estimators=50, max_depth=5), None),
+    "random_forest_regression": (_regressor("Random Forest"), None),
     "support_vector_regression": (_regressor("Support Vector Regression (SVR)"), None),
-    "boosted_trees_regression": (_regressor("XGBoost", n_estimators=50, max_depth=3), None),
+    "boosted_trees_regression": (_regressor("XGBoost"), None),
     "feature_importance": (_importance, None),
     "model_sizes": (_sizes, None),
 }

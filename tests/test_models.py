@@ -5,6 +5,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from checks import modelling
 from tabkit.operators import knn as N
 from tabkit.operators.target import CLASSIFICATION, REGRESSION
 from tabkit.plans import features as X
@@ -221,3 +222,23 @@ def test_fourier_features_approximate_the_kernel(spark):
     z = np.array([r[0] for r in stage.transform(df).select(vector_to_array("fourier")).collect()])
     expected = np.exp(-0.3 * ((x[:, None] - x) ** 2).sum(-1))
     assert np.abs(z @ z.T - expected).max() < 0.12
+
+
+@pytest.mark.parametrize("query", [
+    "decision_tree", "random_forest", "boosted_trees", "random_forest_regression", "boosted_trees_regression",
+    "decision_tree_regression", "feature_importance", "train_models", "model_sizes",
+])
+def test_queries_train_with_defaults_on_all_columns(spark, monkeypatch, query):
+    calls = []
+
+    def train(df, target, key, models, *args, params=None, **rest):
+        calls.append((set(df.columns), params))
+        raise InterruptedError
+
+    monkeypatch.setattr(modelling.T, "train", train)
+    with pytest.raises(InterruptedError):
+        modelling.CHECKS[query][0](spark, "/root/testdata/sf0.001")
+    (columns, params), = calls
+    assert not any((params or {}).values())
+    part, orders = {"p_name", "p_brand", "p_type", "p_size"}, {"o_custkey", "o_orderdate", "o_orderpriority"}
+    assert part <= columns or orders <= columns
