@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabkit.llm.common import appended, arrow_schema, extended, slices, stored, without
+from tabkit.llm.common import ASCII_UPPER, appended, arrow_schema, extended, slices, stored, without
 
 WINDOW = 13
 COVERAGE = 0.05
@@ -40,6 +40,7 @@ COVERAGE = 0.05
 BLOCK_BYTES = 1_000_000
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -277,7 +278,7 @@ def cut_spans(text_col: str = "text", min_longest: int = 0) -> Column:
             if text is None or hit is None or not len(hit):
                 out.append(text)
                 continue
-            places, kept, last = [m.span() for m in WORD.finditer(text)], [], 0
+            places, kept, last = [m.span() for m in WORD.finditer(text.translate(LOWER))], [], 0
             for span in hit:
                 kept.append(text[last:places[span["first"]][0]])
                 last = places[span["end"] - 1][1]

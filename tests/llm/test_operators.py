@@ -133,6 +133,14 @@ def test_decontamination_without_items_and_cut(spark):
     assert cut == "One, ! four"
 
 
+def test_cut_counts_words_as_spans_do(spark):
+    texts = ["Hello USA World the Big Cat sat", "iPhone USA Two THREE Four", "NASA É two iPHONE three, End", "two Three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "World THE big"), (2, "two three"), (3, "iphone Three")], "item_id long, text string")
+    cut = decontaminate.annotate(docs, items).withColumn("t", decontaminate.cut_spans()).collect()
+    assert {r["doc_id"]: r["t"] for r in cut} == {0: "Hello USA  Cat sat", 1: "iPhone USA  Four", 2: "NASA É two , End", 3: ""}
+
+
 # byte-level BPE
 
 def test_bpe_equals_the_library_and_returns(spark):
