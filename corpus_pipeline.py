@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.llm import bpe, decontaminate, lines, queries, simhash
@@ -12,6 +12,8 @@ from tabkit.llm.common import stored, table
 #: The classifier and the SimHash have no equivalent in SQL.
 ORACLE_SQL = None
 
+#: Repeated ids that are broadcast.
+BROADCAST_IDS = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -28,18 +30,23 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Of rows that repeat this id, one
-    stays. Rows without an id stay where their whole group has none, one per group of equal fingerprints."""
-    found = simhash.near_duplicates(docs)
-    first = found.filter("doc_id <=> component_id").select("doc_id", "fp").distinct()
-    named = first.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp")).select(F.col("doc_id").alias("kept_id"))
-    same = docs.filter("doc_id IS NOT NULL").join(named, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS))
-    kept = same.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").select(*COLUMNS)
-    unnamed = docs.filter("doc_id IS NULL").select(*COLUMNS)
-    nameless = first.filter("doc_id IS NULL").select(F.col("fp").alias("group_fp"))
-    prints = unnamed.withColumn("__fp", simhash.fingerprint_of(F.col("text"))).dropDuplicates(["__fp"])
-    return kept.union(prints.join(nameless, F.col("__fp") == F.col("group_fp"), "left_semi").select(*COLUMNS))
+    """One row of each near-duplicate group: the smallest by id (rows without an id last), fingerprint and hash of the
+    columns. Rows of one id with different texts are told apart by their fingerprints."""
+    found = stored(simhash.near_duplicates(docs), "near-duplicates")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp")).alias("s")
+    first = found.groupBy("low").agg(smallest).select("s.doc_id", "s.fp")
+    sizes = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = stored(sizes.filter("n > 1").select("doc_id"), "repeated-ids")
+    if repeated.count() <= BROADCAST_IDS:
+        repeated = F.broadcast(repeated)
+    single = first.filter("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti")
+    kept = docs.join(single, "doc_id", "left_semi").select(*COLUMNS)
+    unclear = docs.filter("doc_id IS NULL").select(*COLUMNS).union(docs.join(repeated, "doc_id", "left_semi").select(*COLUMNS))
+    prints = unclear.withColumn("__fp", simhash.fingerprint_of(F.col("text")))
+    least = F.min(F.struct(F.xxhash64(*COLUMNS).alias("h"), *COLUMNS)).alias("s")
+    rows = prints.groupBy(F.col("doc_id").alias("__id"), "__fp").agg(least)
+    chosen = rows.join(first, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__fp") == F.col("fp")), "left_semi")
+    return kept.union(chosen.select("s.*").select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

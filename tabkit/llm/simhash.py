@@ -246,12 +246,13 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
     shard: int = SHARD,
 ) -> DataFrame:
-    """(doc_id, fp, component_id): every row with the smallest id that links of at most ``radius`` bits reach."""
+    """(doc_id, fp, component_id, low): every row with the smallest id that links of at most ``radius`` bits reach;
+    ``low`` names the component even where no row has an id."""
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     found = stored(links(classes.select("fp"), radius=radius, shard=shard), "fingerprint-links")
     low = components(found, "a", "b")
     joined = classes.join(low, classes["fp"] == low["node"], "left").select("fp", F.coalesce("low", "fp").alias("low"), "first")
     names = joined.groupBy("low").agg(F.min("first").alias("component_id"))
-    named = joined.join(names, "low").select(F.col("fp").alias("fp_of"), "component_id")
-    return prints.join(named, prints["fp"] == named["fp_of"]).select("doc_id", "fp", "component_id")
+    named = joined.join(names, "low").select(F.col("fp").alias("fp_of"), "component_id", "low")
+    return prints.join(named, prints["fp"] == named["fp_of"]).select("doc_id", "fp", "component_id", "low")

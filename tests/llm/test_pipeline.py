@@ -1,6 +1,9 @@
 """The pipeline's stages against plain rules on the smallest tables."""
 
+import random
+
 import corpus_pipeline
+from tabkit.llm import simhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,6 +21,19 @@ def test_stages_keep_their_promises(spark):
     assert thinned == {(1, rows[0][1], 24), (2, "", 0), (2, None, None), (None, "x y", 3)}
 
 
+def test_simhash_keeps_one_row_of_each_group(spark):
+    rnd = random.Random(7)
+    a, b, c, d = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(400)) for _ in range(4))
+    near = next(t for t in (f"{d} z{i}" for i in range(10_000)) if 1 <= (simhash.fingerprint(t) ^ simhash.fingerprint(d)).bit_count() <= 2)
+    texts = [(1, a), (2, a), (2, b), (5, c), (5, "other words alone here"), (None, d), (None, near), (None, d), (None, a)]
+    schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], schema)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.simhash_stage(spark, docs, SMALL).collect()]
+    nameless = [t for i, t in kept if i is None]
+    assert len(nameless) == 1 and nameless[0] in (d, near)
+    assert sorted(k for k in kept if k[0] is not None) == sorted([(1, a), (2, b), (5, c), (5, "other words alone here")])
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     found = out.toPandas()
