@@ -1,9 +1,15 @@
 """The pipeline's stages against plain rules on the smallest tables."""
 
+import hashlib
 import random
+from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import tiktoken
 from tabkit.llm import simhash
+from test_operators import RANKS, plain_components, plain_decontamination, plain_lines, plain_print
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -39,3 +45,30 @@ def test_run(spark):
     found = out.toPandas()
     source = spark.read.parquet(f"{SMALL}/documents.parquet").count()
     assert 0 < len(found) < source and found["round_trip"].all() and found["doc_id"].is_unique
+
+
+def test_run_equals_plain_stages(spark):
+    docs, items = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "benchmark"))
+    judged = [(r["doc_id"], r["text"]) for r in corpus_pipeline.quality_stage(spark, docs, SMALL).collect()]
+    thinned = {doc: text for doc, _, _, text in plain_lines(judged)}
+    prints = {doc: plain_print(text) for doc, text in thinned.items()}
+    low = plain_components(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 2)
+    first = {}
+    for doc in sorted(thinned):
+        first.setdefault(low[prints[doc]], doc)
+    rows = [(r["item_id"], r["text"]) for r in items.collect()]
+    clean = [doc for doc in first.values() if not plain_decontamination(thinned[doc], rows)[3]]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    digest = lambda text: hashlib.sha256(np.array(library.encode_ordinary(text or ""), "<i4").tobytes()).hexdigest()
+    got = {(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SMALL).collect()}
+    assert len(clean) < len(first) < len(thinned)
+    assert got == {(doc, digest(thinned[doc])) for doc in clean}
+
+
+def test_quality_stage_on_odd_rows(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert corpus_pipeline.quality_stage(spark, docs.limit(0), SMALL).count() == 0
+    rows = [(1, "same text of a few words", "en", "s", 24), (1, "same text of a few words", "en", "s", 24), (2, None, None, None, None), (None, "", "en", "s", 0)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    kept = Counter(map(tuple, corpus_pipeline.quality_stage(spark, odd, SMALL).collect()))
+    assert all(n in (0, Counter(rows)[row]) for row, n in kept.items()) and set(kept) <= set(rows)
