@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import bpe, chat, decontaminate, licences, lines, quality, rollups, simhash, vectors, warc
+from tabkit.llm import bpe, chat, decontaminate, licences, line_rules, lines, pieces, quality, rollups, simhash, vectors, warc
 from tabkit.llm.common import shared_folder, stored, table
-from tabkit.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, LICENCE_SQL, LINES_SQL, ROLLUP_SQL, VECTORS_SQL, WARC_SQL
+from tabkit.llm.sql import (
+    CHAT_SQL, DECONTAMINATION_SQL, LICENCE_SQL, LINES_SQL, PIECES_SQL, ROLLUP_SQL, RULES_SQL, VECTORS_SQL, WARC_SQL,
+)
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -142,6 +144,17 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = pieces.transform(docs)
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
 CHECKS = {
     "op1_warc": (op1_warc, WARC_SQL),
     "op2_neighbours": (op2_neighbours, VECTORS_SQL),
@@ -153,4 +166,6 @@ CHECKS = {
     "op8_token_counts": (op8_token_counts, ROLLUP_SQL),
     "op9_licences": (op9_licences, LICENCE_SQL),
     "op10_lines": (op10_lines, LINES_SQL),
+    "op11_pieces": (op11_pieces, PIECES_SQL),
+    "op13_line_rules": (op13_line_rules, RULES_SQL),
 }

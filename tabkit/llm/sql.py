@@ -196,3 +196,60 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM x GROUP BY doc_id
 """
+
+PIECES_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id::VARCHAR) AS x FROM documents
+),
+h AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3,
+         ('0x' || x[25:32])::BIGINT AS h4
+  FROM d
+),
+f AS (
+  SELECT doc_id, t, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:lo], '') AS prefix, array_to_string(u[lo + 1:hi], '') AS middle, array_to_string(u[hi + 1:n], '') AS suffix FROM f
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+_NORMAL = _LOWER.format(r"regexp_replace(regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g'), '[0-9]', '0', 'g')")
+
+RULES_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+l AS (SELECT doc_id, source, t, i, parts[i] AS line FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(t, chr(10)) AS parts FROM d))),
+k AS (
+  SELECT *, {_NORMAL} AS line_key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS size, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+),
+twice AS (SELECT doc_id, count(*) AS n FROM k WHERE nth > 1 GROUP BY doc_id),
+g AS (SELECT doc_id, i, w[i:i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
+again AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS place FROM r WHERE n > 1) GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT t) AS n_host FROM d WHERE len(w) > 0 GROUP BY source),
+counted AS (SELECT source, line_key, count(DISTINCT t) AS n_docs FROM k GROUP BY ALL),
+above AS (SELECT c.source, c.line_key FROM counted c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE n_docs > 10 AND 100 * n_docs > n_host),
+gone AS (SELECT doc_id, sum(size) AS n FROM k JOIN above a ON k.line_key = a.line_key AND k.source IS NOT DISTINCT FROM a.source GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(twice.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed
+  FROM d LEFT JOIN twice USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN gone USING (doc_id)
+),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (removed > 0 AND (2 * removed > n_words OR n_words - removed < 50)) AS kept, removed::BIGINT AS removed_words
+FROM b
+"""
