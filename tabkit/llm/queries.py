@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import bpe, chat, decontaminate, licences, line_rules, lines, pieces, quality, rollups, simhash, vectors, warc
+from tabkit.llm import bpe, chat, decontaminate, licences, line_rules, lines, pieces, quality, rollups, simhash, structure, vectors, warc
 from tabkit.llm.common import shared_folder, stored, table
 from tabkit.llm.sql import (
-    CHAT_SQL, DECONTAMINATION_SQL, LICENCE_SQL, LINES_SQL, PIECES_SQL, ROLLUP_SQL, RULES_SQL, VECTORS_SQL, WARC_SQL,
+    CHAT_SQL, DECONTAMINATION_SQL, LICENCE_SQL, LINES_SQL, PIECES_SQL, ROLLUP_SQL, RULES_SQL, STRUCTURE_SQL, VECTORS_SQL, WARC_SQL,
 )
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -150,6 +150,31 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with rows lost, emptied, cut, repeated and given the wrong role, as the CRC-32 of their place says."""
+    space = F.lit(" ")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    kind, text = F.crc32(name) % 20, F.coalesce("text", space)
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate(text, ".!?", "")).otherwise(text)
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.coalesce("role", space))
+    rows = turns.withColumn("kind", kind).filter("kind != 0")
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    made = structure.repair(_damaged(turns))
+    reports, hashes = made.reports, structure.digests(made.pieces).withColumnRenamed("conv_id", "d")
+    found = reports.join(hashes, reports["conv_id"].eqNullSafe(hashes["d"])).drop("d").withColumnRenamed("conv_id", "c")
+    every = turns.select("conv_id").distinct()
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(b""), 256)
+    return every.join(found, every["conv_id"].eqNullSafe(found["c"]), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"),
+    )
+
+
 def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -167,5 +192,6 @@ CHECKS = {
     "op9_licences": (op9_licences, LICENCE_SQL),
     "op10_lines": (op10_lines, LINES_SQL),
     "op11_pieces": (op11_pieces, PIECES_SQL),
+    "op12_structure": (op12_structure, STRUCTURE_SQL),
     "op13_line_rules": (op13_line_rules, RULES_SQL),
 }

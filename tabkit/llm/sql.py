@@ -253,3 +253,82 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        NOT base_failed AND NOT (removed > 0 AND (2 * removed > n_words OR n_words - removed < 50)) AS kept, removed::BIGINT AS removed_words
 FROM b
 """
+
+_CRC = (
+    "xor(list_reduce(list_transform(range(1, length({0}) + 1), lambda i: ascii(({0})[i])::BIGINT), lambda c, b: "
+    "list_reduce(range(0, 8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295), 4294967295)"
+)
+
+
+def _best(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+#: A path is {c: cost, a: audit}; a list of four holds the best path from each node, given the rows to come.
+_AHEAD = "{{'c': ({0}).c + {1}, 'a': '{2}' || ({0}).a}}"
+_GOES = "x.f IN ('blank', 'duplicate')"
+_WELL = "CASE WHEN x.f = 'truncated' THEN 3 ELSE 0 END"
+_NEVER = "{'c': 1000000000, 'a': ''}"
+
+
+def _row(node: int, due: int, kept: list[tuple[str, int]]) -> str:
+    """The best way through one row from a node: delete, give the role that is due, or keep."""
+    ways = [_AHEAD.format(f"p[{node}]", "4", "D"), f"CASE WHEN {_GOES} THEN {_NEVER} ELSE {_AHEAD.format(f'p[{due}]', '3 + ' + _WELL, 'R')} END"]
+    ways += [f"CASE WHEN {_GOES} OR x.r <> '{r}' THEN {_NEVER} ELSE {_AHEAD.format(f'p[{to}]', _WELL, 'K')} END" for r, to in kept]
+    return _best(*ways)
+
+
+_OWN = "[" + ", ".join([_row(1, 3, [("s", 2), ("u", 3)]), _row(2, 3, [("u", 3)]), _row(3, 4, [("a", 4)]), _row(4, 3, [("u", 3)])]) + "]"
+_ONCE = "list_transform([3, 3, 4, 3], lambda n: {'c': o[n].c + 3, 'a': 'I' || o[n].a})"
+_TWICE = "list_transform([4, 4, 3, 4], lambda n: {'c': o[n].c + 6, 'a': 'II' || o[n].a})"
+_STEP = (
+    f"list_transform([{_OWN}], lambda o: list_transform(list_zip(o, {_ONCE}, {_TWICE}), lambda z: {_best('z[1]', 'z[2]', 'z[3]')}))[1]"
+)
+
+STRUCTURE_SQL = rf"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+),
+k AS (SELECT *, {_CRC.format("name")} % 20 AS kind FROM raw),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k WHERE kind <> 0
+),
+placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS solid
+  FROM damaged
+),
+marked AS (
+  SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'well' END AS f,
+         lag(r) OVER (PARTITION BY conv_id ORDER BY pos) || r AS pair
+  FROM placed
+),
+folded AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank,
+         count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+         list({{'role': role, 'text': text, 'r': r}} ORDER BY pos) AS rows,
+         list_reduce(list({{'f': f, 'r': r}} ORDER BY pos DESC), lambda p, x: {_STEP},
+                     [{{'c': 0, 'a': ''}}, {{'c': 6, 'a': 'II'}}, {{'c': 3, 'a': 'I'}}, {{'c': 0, 'a': ''}}])[1] AS best
+  FROM marked GROUP BY conv_id
+),
+letters AS (
+  SELECT conv_id, rows, letter, i, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS pos,
+         count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY i) AS made
+  FROM (SELECT conv_id, rows, best.a AS audit, unnest(range(1, length(best.a) + 1)) AS i, unnest(string_split(best.a, '')) AS letter FROM folded WHERE best.a <> '')
+),
+edits AS (
+  SELECT *, CASE WHEN letter = 'K' THEN rows[pos].role WHEN (made - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+            || CASE WHEN letter = 'I' THEN '' ELSE rows[pos].text END AS line
+  FROM (SELECT *, max(CASE WHEN letter = 'K' AND rows[pos].r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS head FROM letters) WHERE letter <> 'D'
+),
+joined AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS lines FROM edits GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN folded f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
