@@ -61,15 +61,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGETS = ["quality", "toxic"]
 
 
-def _judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with both scores and ``keep``: good and not toxic, more likely than not."""
-    scored = quality.fit(docs, table(spark, sf_dir, "labels"), TARGETS).score(docs)
+def _judged(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str]) -> DataFrame:
+    """Columns of the documents with both scores and ``keep``: good and not toxic, more likely than not."""
+    scored = quality.co_train(docs, table(spark, sf_dir, "labels"), TARGETS, keep=keep)[1]
     return scored.withColumn("keep", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = _judged(spark, table(spark, sf_dir, "documents"), sf_dir)
-    return judged.select("doc_id", "quality_score", "toxic_score", "keep")
+    return _judged(spark, table(spark, sf_dir, "documents"), sf_dir, ["doc_id"])
 
 
 PROBE = "</s>[INST] ok [/INST]"
