@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good and not toxic."""
-    return queries._judged(spark, docs, sf_dir).filter("keep").select(*COLUMNS)
+    return queries._judged(spark, docs, sf_dir, COLUMNS).filter("keep").select(*COLUMNS)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
