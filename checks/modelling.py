@@ -11,6 +11,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from checks import learned
 from checks.sql import ORDERS_NULLS_COLUMNS, union
 from checks.tables import ORDERS_NULLS, load, orders_nulls
 from tabkit.operators import knn as N
@@ -223,58 +224,31 @@ d AS (SELECT q.vec_id AS qid, p.label, row_number() OVER (PARTITION BY q.vec_id
 n AS (SELECT qid, label, 1 AS w FROM d WHERE r <= 5) {_vote("w")}"""
 
 
-def _orders(spark, d):
-    return load(spark, d, "orders")
+def _projected(spark, d):
+    """What the approximate search returns for each query: distances that an exact search confirms, nearest first."""
+    queries, points = _customers(spark, d)
+    found = N.approximate_neighbours(queries, points, k=5, keep_pid=True)
+    real = points.select(F.xxhash64("vec", F.col("label")).alias("p"), F.col("vec").alias("v")).distinct()
+    far = F.sqrt((F.col("vec")[0] - F.col("v")[0]) ** 2 + (F.col("vec")[1] - F.col("v")[1]) ** 2)
+    asked = queries.select(F.col("qid").alias("q"), "vec")
+    checked = found.join(asked, F.col("qid") == F.col("q")).join(real, F.col("pid") == F.col("p"))
+    return checked.groupBy("qid").agg((F.sum("w") == 5).alias("finds_k"), (F.max(F.abs(far - F.col("dist"))) < 1e-9).alias("distances_are_exact"))
 
 
-def _classifier(name):
-    """Predictions of a classifier for the test rows of orders."""
+_PROJECTED_SQL = """SELECT c_custkey AS qid, true AS finds_k, true AS distances_are_exact
+FROM (SELECT *, row_number() OVER (ORDER BY md5('42|' || c_custkey)) <= round(count(*) OVER () * 0.2) AS is_test FROM customer) WHERE is_test"""
 
-    def run(spark, d):
-        trained = T.train(_orders(spark, d), "o_orderstatus", "o_orderkey", [name], CLASSIFICATION, folds=None)
-        return A.score(trained.models[name], trained.test.drop("label"))
 
-    return run
+def _projected_recall(spark, d):
+    """The share of the exact neighbours that the approximate search finds."""
+    queries, points = _customers(spark, d)
+    exact, near = (N.nearest_neighbours(queries, points, k=5, method=m) for m in ("cells", "projections"))
+    one = lambda df: df.select("qid", F.round("dist", 9).alias("dist"), "label", "w")
+    met = one(exact).join(one(near).distinct(), ["qid", "dist", "label", "w"], "left_semi").count()
+    return exact.agg(F.countDistinct("qid").alias("n_queries"), (F.lit(met) >= F.lit(0.9) * F.count("*")).alias("recall_is_enough"))
 
 
-def _binary(name):
-    """Predictions of a classifier for a two-class target."""
-
-    def run(spark, d):
-        rows = _orders(spark, d).withColumn("large", F.col("o_totalprice") > 200000).drop("o_totalprice")
-        trained = T.train(rows, "large", "o_orderkey", [name], CLASSIFICATION, folds=None)
-        return A.score(trained.models[name], trained.test.drop("label"))
-
-    return run
-
-
-def _regressor(name):
-    """Predictions of a regression model for the test rows of part."""
-
-    def run(spark, d):
-        trained = T.train(load(spark, d, "part"), "p_retailprice", "p_partkey", [name], REGRESSION, folds=None)
-        return A.score(trained.models[name], trained.test.drop("label"))
-
-    return run
-
-
-def _importance(spark, d):
-    name = "Random Forest"
-    trained = T.train(_orders(spark, d), "o_orderstatus", "o_orderkey", [name], CLASSIFICATION, folds=None)
-    return T.feature_importance(trained.models[name], trained.test)
-
-
-def _sizes(spark, d):
-    names = ["Linear Regression", "Lasso Regression", "Decision Tree"]
-    trained = T.train(load(spark, d, "part"), "p_retailprice", "p_partkey", names, REGRESSION, folds=None)
-    rows = [(n, k, v) for n, m in trained.models.items() for k, v in D.model_size(m.model).items()]
-    return spark.createDataFrame(rows, "model string, item string, size int")
-
-
-def _trained_runs(spark, d):
-    """A whole training call: two models, test metrics and fold scores."""
-    trained = T.train(_orders(spark, d), "o_orderstatus", "o_orderkey", ["Logistic Regression", "Decision Tree"], CLASSIFICATION)
-    return trained.runs
+_PROJECTED_RECALL_SQL = "SELECT round(count(*) * 0.2)::BIGINT AS n_queries, true AS recall_is_enough FROM customer"
 
 
 def _features(spark, d):
@@ -408,17 +382,7 @@ CHECKS = {
         f"WITH {_KNN.format(distance=_EUCLIDEAN)} {_vote('w / dist')}",
     ),
     "knn_embeddings": (_embedded, _EMBEDDED),
-    "train_models": (_trained_runs, None),
-    "logistic_regression": (_classifier("Logistic Regression"), None),
-    "decision_tree": (_classifier("Decision Tree"), None),
-    "random_forest": (_classifier("Random Forest"), None),
-    "support_vector_machine": (_binary("Support Vector Machine (SVM)"), None),
-    "knn_model": (_classifier("K-Nearest Neighbors (KNN)"), None),
-    "boosted_trees": (_binary("XGBoost"), None),
-    "decision_tree_regression": (_regressor("Decision Tree"), None),
-    "random_forest_regression": (_regressor("Random Forest"), None),
-    "support_vector_regression": (_regressor("Support Vector Regression (SVR)"), None),
-    "boosted_trees_regression": (_regressor("XGBoost"), None),
-    "feature_importance": (_importance, None),
-    "model_sizes": (_sizes, None),
+    "knn_projections": (_projected, _PROJECTED_SQL),
+    "knn_projections_recall": (_projected_recall, _PROJECTED_RECALL_SQL),
+    **learned.CHECKS,
 }

@@ -1,26 +1,45 @@
-"""Exact k nearest neighbours without a cross join.
+"""k nearest neighbours without a cross join: exact by cells and bounds, approximate by projections.
 
-Training points are gathered into cells around sampled pivots. A query first searches the cells nearest to
-it, which bounds the distance of its k-th neighbour; it then visits only the cells that the triangle
-inequality does not rule out. Inside a cell, points and queries meet in blocks of bounded size, computed
-with NumPy, and only the best ``k`` of a block leave it. Equal points are counted once with a weight, so a
-group of copies costs as much as one point.
+Exact search keeps an index. Points go to the nearest of about the square root of their number of pivots; a crowded cell
+is cut into shells by the distance to its pivot, and every shell has radii of its own. A query first
+searches the shells nearest to it, which bounds the distance of its k-th neighbour; it then visits only those that the
+triangle inequality does not rule out. The index is stored once and searched any number of times.
+
+Approximate search deals points into buckets by random projections, cut at quantiles so that buckets are about
+equally full, in several tables. A query probes its own bucket and those that it nearly fell into; what it meets there
+is ranked by exact distance, so only whether a neighbour is met is left to chance.
+
+Points and queries meet in blocks of bounded size, computed with NumPy, and only the best ``k`` of a block leave it. Equal
+points are counted once with a weight, so a group of copies costs as much as one point.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabkit.session import cut_lineage
+from tabkit.session import shared_table
+
+#: Points of a block at least; larger tables have blocks of the square root of their size.
+BLOCK_ROWS = 4096
+#: Points per cell and pivot: cells grow with the square root of the table, as the number of pivots does.
+CELL_SHARE = 4
+#: Quantiles by which a crowded cell is cut.
+SHELLS = 200
+METRICS = ("euclidean", "manhattan")
+FOUND = "qid long, pid long, dist double, label double, w long"
 
-BLOCK_ROWS = 20_000
-MAX_PIVOTS = 512
+#: Tables, probes per table and points per bucket of the approximate search.
+TABLES = 12
+PROBES = 12
+BUCKET_ROWS = 256
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -30,11 +49,18 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(squares)
 
 
+def _chunks(pdf: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Parts of a batch whose distances to ``width`` things fit in a few megabytes."""
+    step = max((1 << 21) // max(width, 1), 1)
+    for start in range(0, len(pdf), step):
+        yield pdf.iloc[start:start + step]
+
+
 def _best(queries: pd.DataFrame, points: pd.DataFrame, k: int, metric: str, chunk: int = 256) -> pd.DataFrame:
     """The nearest points of each query within one block, ordered by distance and label, up to weight ``k``."""
-    labels, weights = points["label"].to_numpy(), points["w"].to_numpy()
+    labels, weights, ids = points["label"].to_numpy(), points["w"].to_numpy(), points["pid"].to_numpy()
     matrix = np.stack(points["vec"].to_numpy())
-    found: dict[str, list[np.ndarray]] = {"qid": [], "dist": [], "label": [], "w": []}
+    found: dict[str, list[np.ndarray]] = {"qid": [], "pid": [], "dist": [], "label": [], "w": []}
     for start in range(0, len(queries), chunk):
         part = queries.iloc[start : start + chunk]
         d = _distances(np.stack(part["vec"].to_numpy()), matrix, metric)
@@ -48,150 +74,302 @@ def _best(queries: pd.DataFrame, points: pd.DataFrame, k: int, metric: str, chun
         start_weight = (upto - weights[point])[first]
         keep = upto - weights[point] - start_weight[query] < k
         for name, values in (
-            ("qid", part["qid"].to_numpy()[query]), ("dist", dist), ("label", labels[point]), ("w", weights[point]),
+            ("qid", part["qid"].to_numpy()[query]), ("pid", ids[point]), ("dist", dist), ("label", labels[point]), ("w", weights[point]),
         ):
             found[name].append(values[keep])
     return pd.DataFrame({name: np.concatenate(parts) for name, parts in found.items()})
 
 
-def _to_cells(points: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
-    def nearest(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(np.stack(pdf["vec"].to_numpy()), pivots, metric)
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(d)), cell])
-
-    return points.mapInPandas(nearest, "label double, w long, vec array<double>, cell int, reach double")
+def _meet(visits: DataFrame, points: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
+    """Run every (query, block) visit; both sides of a block are cut into parts of bounded size."""
+    asked = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_queries"))
+    held = points.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_points"))
+    load = shared_table(asked.join(held, "block"), "knn-load")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    left = visits.join(load, "block").select("qid", "vec", "block", numbers("n_points").alias("pb"), own("qid", "n_queries").alias("qb"))
+    right = points.join(load, "block").select("pid", "vec", "label", "w", "block", own("pid", "n_points").alias("pb"), numbers("n_queries").alias("qb"))
+    keys = ["block", "pb", "qb"]
 
+    def meet(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(points):
+            return pd.DataFrame({"qid": [], "pid": [], "dist": [], "label": [], "w": []})
+        return _best(queries, points, k, metric)
 
-def _visit(visits: DataFrame, cells: DataFrame, sizes: dict[int, int], k: int, metric: str, block_rows: int) -> DataFrame:
-    """Run every (query, cell) visit; both sides of a cell are cut into blocks of bounded size."""
-    load = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-    if not load:
-        return visits.sparkSession.createDataFrame([], "qid long, dist double, label double, w long")
-    point_blocks = {c: math.ceil(sizes[c] / block_rows) for c in load}
-    query_blocks = {c: math.ceil(n / block_rows) for c, n in load.items()}
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, FOUND)
 
-    def per_cell(blocks: dict[int, int]) -> Column:
-        return F.element_at(F.create_map(*[F.lit(x) for item in blocks.items() for x in item]), F.col("cell"))
 
-    def numbers(blocks: dict[int, int]) -> Column:
-        return F.explode(F.sequence(F.lit(0), per_cell(blocks) - 1))
+def _packed(points: DataFrame) -> DataFrame:
+    """Different points once, with a number and a weight."""
+    packed = points.groupBy("vec", F.col("label").cast("double").alias("label")).agg(F.count(F.lit(1)).alias("w"))
+    return shared_table(packed.select(F.xxhash64("vec", "label").alias("pid"), "label", "w", "vec"), "knn-points")
 
-    def own(key: Column, blocks: dict[int, int]) -> Column:
-        return F.pmod(F.xxhash64(key), per_cell(blocks)).cast("int")
 
-    visited = cells.where(F.col("cell").isin(list(load)))
-    right = visited.select("cell", own(F.struct("vec", "label"), point_blocks).alias("pb"), numbers(query_blocks).alias("qb"), "vec", "label", "w")
-    left = visits.select("qid", "vec", "cell", numbers(point_blocks).alias("pb"), own(F.col("qid"), query_blocks).alias("qb"))
-    keys = ["cell", "pb", "qb"]
+def _checked(metric: str, n: int) -> None:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    if n == 0:
+        raise ValueError("no training points")
 
-    def meet(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(points):
-            return pd.DataFrame({"qid": [], "dist": [], "label": [], "w": []})
-        return _best(queries, points, k, metric)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        meet, "qid long, dist double, label double, w long"
-    )
+@dataclass
+class CellIndex:
+    """``points`` has (pid, label, w, vec, block); ``blocks`` says for each block its cell, weight and radii."""
+
+    points: DataFrame
+    pivots: np.ndarray
+    blocks: pd.DataFrame
+    metric: str
+    block_rows: int
+
+    @classmethod
+    def build(cls, points: DataFrame, metric: str = "euclidean", block_rows: int | None = None, seed: int = 42) -> CellIndex:
+        """Deal ``points`` (vec, label) into cells and shells."""
+        if metric not in METRICS:
+            raise ValueError(f"unknown metric {metric!r}")
+        packed = _packed(points)
+        n = packed.count()
+        _checked(metric, n)
+        block_rows = block_rows or max(BLOCK_ROWS, math.isqrt(n))
+        wanted = max(min(math.ceil(math.sqrt(n) / CELL_SHARE), n // 2), 1)
+        # as many rows as there are cells: the square root of the table, drawn by a hash
+        drawn = packed.select("vec").orderBy(F.xxhash64("pid", F.lit(seed)), "vec").limit(wanted).collect()
+        pivots = np.unique(np.array([r["vec"] for r in drawn], dtype=float), axis=0)
+
+        def nearest(batches):
+            for batch in batches:
+                for pdf in _chunks(batch, len(pivots)):
+                    d = _distances(np.stack(pdf["vec"].to_numpy()), pivots, metric)
+                    cell = d.argmin(axis=1)
+                    yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(d)), cell])
+
+        dealt = shared_table(packed.mapInPandas(nearest, "pid long, label double, w long, vec array<double>, cell int, reach double"), "knn-cells")
+        shares = [i / SHELLS for i in range(1, SHELLS)]
+        crowded = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("reach", shares, 10 * SHELLS).alias("q"))
+        cuts = {}
+        for row in crowded.filter(F.col("n") > block_rows).collect():
+            step = max(SHELLS * block_rows // row["n"], 1)
+            cuts[row["cell"]] = np.unique(np.array(row["q"][step - 1::step]))
+        shared = dealt.sparkSession.sparkContext.broadcast(cuts)
+
+        def shell(batches):
+            for pdf in batches:
+                if len(pdf):
+                    number = np.zeros(len(pdf), np.int64)
+                    for cell, bounds in shared.value.items():
+                        here = pdf["cell"].to_numpy() == cell
+                        number[here] = np.searchsorted(bounds, pdf["reach"].to_numpy()[here])
+                    yield pdf.assign(block=pdf["cell"].to_numpy().astype(np.int64) * SHELLS + number)
+
+        kept = dealt.mapInPandas(shell, "pid long, label double, w long, vec array<double>, cell int, reach double, block long")
+        kept = shared_table(kept, "knn-index")
+        return cls(kept.drop("cell", "reach"), pivots, cls._blocks(kept), metric, block_rows)
+
+    @staticmethod
+    def _blocks(kept: DataFrame) -> pd.DataFrame:
+        """One row per block: there are about as many as the square root of the number of points."""
+        found = kept.groupBy("block", "cell").agg(
+            F.sum("w").alias("w"), F.min("reach").alias("low"), F.max("reach").alias("high")
+        ).toPandas()
+        return found.sort_values("block", ignore_index=True)
+
+    def save(self, path: str) -> None:
+        spark = self.points.sparkSession
+        self.points.write.parquet(f"{path}/points")
+        rows = [(int(r.block), int(r.cell), int(r.w), float(r.low), float(r.high)) for r in self.blocks.itertuples()]
+        spark.createDataFrame(rows, "block long, cell int, w long, low double, high double").write.parquet(f"{path}/blocks")
+        pivots = [(i, [float(x) for x in p]) for i, p in enumerate(self.pivots)]
+        spark.createDataFrame(pivots, "cell int, vec array<double>").write.parquet(f"{path}/pivots")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, metric: str) -> CellIndex:
+        points = spark.read.parquet(f"{path}/points")
+        pivots = spark.read.parquet(f"{path}/pivots").orderBy("cell").collect()
+        blocks = spark.read.parquet(f"{path}/blocks").orderBy("block").toPandas()
+        return cls(points, np.array([r["vec"] for r in pivots]), blocks, metric, max(BLOCK_ROWS, math.isqrt(points.count())))
+
+    def _lower(self, queries: np.ndarray) -> np.ndarray:
+        """For each query and block a distance that no point of the block falls below."""
+        cell, low, high = (self.blocks[c].to_numpy() for c in ("cell", "low", "high"))
+        d = _distances(queries, self.pivots, self.metric)
+        lower = np.maximum(np.maximum(d[:, cell] - high, low - d[:, cell]), 0)
+        if self.metric == "euclidean":
+            home = d.argmin(axis=1)
+            gap = _distances(self.pivots[home], self.pivots, "euclidean")
+            # points of a cell are nearer to its pivot than to the query's
+            plane = (d**2 - (d[np.arange(len(d)), home] ** 2)[:, None]) / (2 * np.where(gap > 0, gap, np.inf))
+            lower = np.maximum(lower, plane[:, cell])
+        return lower
+
+    def visits(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, vec, blocks): the blocks that a query searches first, whose points weigh ``k`` together."""
+        index = self._light()
+
+        def first(batches):
+            for batch in batches:
+                for pdf in _chunks(batch, len(index.blocks) + len(index.pivots)):
+                    order = np.argsort(index._lower(np.stack(pdf["vec"].to_numpy())), axis=1, kind="stable")
+                    weight = np.cumsum(index.blocks["w"].to_numpy()[order], axis=1)
+                    enough = np.where(weight[:, -1] >= k, (weight >= k).argmax(axis=1), weight.shape[1] - 1)
+                    ids = index.blocks["block"].to_numpy()
+                    yield pd.DataFrame({"qid": pdf["qid"], "vec": pdf["vec"], "blocks": [ids[o[:e + 1]] for o, e in zip(order, enough, strict=True)]})
+
+        return queries.mapInPandas(first, "qid long, vec array<double>, blocks array<long>")
+
+    def further(self, bounded: DataFrame) -> DataFrame:
+        """The blocks that rows (qid, vec, blocks, theta) have not searched and that may hold a point within theta."""
+        index = self._light()
+
+        def more(batches):
+            for batch in batches:
+                for pdf in _chunks(batch, len(index.blocks) + len(index.pivots)):
+                    reach = pdf["theta"].to_numpy()[:, None]
+                    open_ = index._lower(np.stack(pdf["vec"].to_numpy())) <= reach + 1e-9 * (1 + np.abs(reach))
+                    ids = index.blocks["block"].to_numpy()
+                    taken = [np.setdiff1d(ids[o], np.asarray(seen)) for o, seen in zip(open_, pdf["blocks"], strict=True)]
+                    yield pd.DataFrame({"qid": pdf["qid"], "vec": pdf["vec"], "blocks": taken})
+
+        return bounded.mapInPandas(more, "qid long, vec array<double>, blocks array<long>")
+
+    def _light(self) -> CellIndex:
+        """What tasks need: pivots and blocks, of which there are about the square root of the number of points."""
+        return CellIndex(None, self.pivots, self.blocks, self.metric, self.block_rows)
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, dist, label, w): the exact ``k`` nearest points of each query (qid, vec)."""
+        queries = queries.select(F.col("qid").cast("long"), "vec")
+        near = self.visits(queries, k)
+        each = lambda rows: rows.select("qid", "vec", F.explode("blocks").alias("block"))
+        found = _meet(each(near), self.points, k, self.metric, self.block_rows)
+        if len(self.blocks) == 1:
+            return _keep(found, k)
+        found = shared_table(found, "knn-first")
+        bound = _keep(found, k).groupBy("qid").agg(F.max("dist").alias("theta"))
+        rest = self.further(near.join(bound, "qid"))
+        return _keep(found.unionByName(_meet(each(rest), self.points, k, self.metric, self.block_rows)), k)
 
 
 def nearest_neighbours(
-    queries: DataFrame,
-    points: DataFrame,
-    k: int = 5,
-    metric: str = "euclidean",
-    block_rows: int = BLOCK_ROWS,
-    seed: int = 42,
+    queries: DataFrame, points: DataFrame, k: int = 5, metric: str = "euclidean", block_rows: int | None = None, seed: int = 42,
+    method: str = "cells", **options,
 ) -> DataFrame:
     """(qid, dist, label, w): the ``k`` nearest points of each query, equal points merged into a weight.
 
     ``queries`` has a unique ``qid`` and ``vec array<double>``; ``points`` has ``vec`` and a numeric
-    ``label``. At equal distance the smaller label comes first.
+    ``label``. At equal distance the smaller label comes first. ``method="cells"`` is exact, ``"projections"`` may miss
+    neighbours (``tables``, ``probes`` and ``bucket_rows`` say how few).
     """
-    if metric not in ("euclidean", "manhattan"):
-        raise ValueError(f"unknown metric {metric!r}")
-    queries = queries.select(F.col("qid").cast("long"), "vec")
-    packed = points.groupBy("vec", F.col("label").cast("double").alias("label")).agg(F.count(F.lit(1)).alias("w"))
-    packed = cut_lineage(packed.select("label", "w", "vec"))
+    if method == "cells":
+        return CellIndex.build(points, metric, block_rows, seed).search(queries, k)
+    if method != "projections":
+        raise ValueError(f"unknown method {method!r}")
+    return approximate_neighbours(queries, points, k, metric, block_rows or BLOCK_ROWS, seed, **options)
+
+
+@dataclass
+class Projections:
+    """Directions and cuts of every table: (tables, m, size of a vector) and (tables, m, intervals - 1)."""
+
+    directions: np.ndarray
+    cuts: np.ndarray
+
+    def places(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Interval and projection of each vector in every table and direction."""
+        along = np.einsum("nd,tmd->ntm", vectors, self.directions)
+        tables, m, _ = self.cuts.shape
+        cell = np.empty(along.shape, np.int64)
+        for t, j in itertools.product(range(tables), range(m)):
+            cell[:, t, j] = np.searchsorted(self.cuts[t, j], along[:, t, j])
+        return cell, along
+
+    def buckets(self, cell: np.ndarray) -> np.ndarray:
+        """Numbers of buckets, different between tables."""
+        tables, m, cuts = self.cuts.shape
+        number = np.broadcast_to(np.arange(tables)[:, None] if cell.ndim == 4 else np.arange(tables), cell.shape[:-1]).copy()
+        for j in range(m):
+            number = number * (cuts + 1) + cell[..., j]
+        return number
+
+    def probed(self, vectors: np.ndarray, probes: int) -> np.ndarray:
+        """The buckets (vectors, tables, probes) that a query looks into: its own, then those that it misses by least."""
+        cell, along = self.places(vectors)
+        tables, m, cuts = self.cuts.shape
+        padded = np.concatenate([np.full((tables, m, 1), -np.inf), self.cuts, np.full((tables, m, 1), np.inf)], axis=2)
+        t, j = np.meshgrid(np.arange(tables), np.arange(m), indexing="ij")
+        miss = np.stack([np.zeros_like(along), along - padded[t, j, cell], padded[t, j, cell + 1] - along], axis=-1)
+        steps = np.array(list(itertools.product((0, 1, 2), repeat=m)))  # stay, one down, one up in each direction
+        cost = sum(miss[:, :, j, :][..., steps[:, j]] ** 2 for j in range(m))
+        best = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+        move = np.array([0, -1, 1])[steps[best]]
+        moved = np.clip(cell[:, :, None, :] + move, 0, cuts)
+        return self.buckets(moved)
+
+
+def _projections(packed: DataFrame, n: int, tables: int, bucket_rows: int, seed: int) -> Projections:
+    size = len(packed.select("vec").first()["vec"])
+    m = max(1, min(4, size))
+    intervals = max(2, round((n / bucket_rows) ** (1 / m)))
+    directions = np.random.default_rng(seed).normal(size=(tables, m, size))
+    flat = directions.reshape(tables * m, size)
+
+    @F.pandas_udf("array<double>")
+    def project(vec: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(vec.to_numpy()) @ flat.T)) if len(vec) else pd.Series([], dtype=object)
+
+    shares = [i / intervals for i in range(1, intervals)]
+    along = packed.select(F.posexplode(project("vec")).alias("at", "x")).groupBy("at").agg(F.percentile_approx("x", shares, 10_000).alias("q"))
+    cuts = np.array([row["q"] for row in along.orderBy("at").collect()])  # one row per direction
+    return Projections(directions, cuts.reshape(tables, m, intervals - 1))
+
+
+def approximate_neighbours(
+    queries: DataFrame, points: DataFrame, k: int = 5, metric: str = "euclidean", block_rows: int = BLOCK_ROWS, seed: int = 42,
+    tables: int = TABLES, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS, keep_pid: bool = False,
+) -> DataFrame:
+    """(qid, dist, label, w) like ``nearest_neighbours``, of the points met in the probed buckets. Distances are exact.
+    ``keep_pid`` adds the number of the point, the hash of vector and label."""
+    packed = _packed(points)
     n = packed.count()
-    if n == 0:
-        raise ValueError("no training points")
-    wanted = min(MAX_PIVOTS, max(1, n // block_rows))
-    drawn = packed.select("vec").sample(min(1.0, 3 * wanted / n), seed=seed).collect() or packed.select("vec").take(1)
-    candidates = np.unique(np.array([r["vec"] for r in drawn], dtype=float), axis=0)
-    pivots = np.random.default_rng(seed).permutation(candidates)[:wanted]
-    cells = _to_cells(packed, pivots, metric)
-    stats = cells.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.min("reach").alias("low"), F.max("reach").alias("high")
-    ).collect()
-    sizes = {r["cell"]: r["n"] for r in stats}
-    ids = np.array([r["cell"] for r in stats])
-    weight = np.array([r["w"] for r in stats])
-    low, high = np.array([r["low"] for r in stats]), np.array([r["high"] for r in stats])
-    centres = pivots[ids]
-    between = _distances(centres, centres, metric)
-
-    def first(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            order = np.argsort(_distances(np.stack(pdf["vec"].to_numpy()), centres, metric), axis=1, kind="stable")
-            enough = (np.cumsum(weight[order], axis=1) >= k).argmax(axis=1)
-            enough = np.where(weight.sum() >= k, enough, len(ids) - 1)
-            taken = [ids[o[: e + 1]].astype("int32") for o, e in zip(order, enough)]
-            yield pd.DataFrame({"qid": pdf["qid"], "vec": pdf["vec"], "cells": taken})
-
-    near = queries.mapInPandas(first, "qid long, vec array<double>, cells array<int>")
-    found = _visit(near.select("qid", "vec", F.explode("cells").alias("cell")), cells, sizes, k, metric, block_rows)
-    if len(ids) == 1:
-        return _keep(found, k)
-    bound = _keep(found, k).groupBy("qid").agg(F.max("dist").alias("theta"))
-
-    def further(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(np.stack(pdf["vec"].to_numpy()), centres, metric)
-            home = d.argmin(axis=1)
-            lower = np.maximum(d - high, low - d)
-            if metric == "euclidean":
-                gap = between[home]
-                plane = (d**2 - (d[np.arange(len(d)), home] ** 2)[:, None]) / (2 * np.where(gap > 0, gap, np.inf))
-                lower = np.maximum(lower, plane)
-            reach = pdf["theta"].to_numpy()[:, None]
-            open_cells = lower <= reach + 1e-9 * (1 + np.abs(reach))
-            taken = [
-                np.setdiff1d(ids[o], np.asarray(seen)).astype("int32") for o, seen in zip(open_cells, pdf["cells"])
-            ]
-            yield pd.DataFrame({"qid": pdf["qid"], "vec": pdf["vec"], "cells": taken})
-
-    rest = near.join(bound, "qid").mapInPandas(further, "qid long, vec array<double>, cells array<int>")
-    more = _visit(rest.select("qid", "vec", F.explode("cells").alias("cell")), cells, sizes, k, metric, block_rows)
-    return _keep(found.unionByName(more), k)
-
-
-def _keep(found: DataFrame, k: int) -> DataFrame:
+    _checked(metric, n)
+    made = _projections(packed, n, tables, bucket_rows, seed)
+
+    def dealt(batches):
+        for batch in batches:
+            for pdf in _chunks(batch, made.cuts[..., 0].size * 8):
+                cell, _ = made.places(np.stack(pdf["vec"].to_numpy()))
+                yield pdf.assign(buckets=list(made.buckets(cell)))
+
+    def asked(batches):
+        for batch in batches:
+            for pdf in _chunks(batch, made.cuts[..., 0].size * 3 ** made.cuts.shape[1]):
+                found = made.probed(np.stack(pdf["vec"].to_numpy()), probes).reshape(len(pdf), -1)
+                yield pdf.assign(buckets=[np.unique(b) for b in found])
+
+    cells = packed.mapInPandas(dealt, "pid long, label double, w long, vec array<double>, buckets array<long>")
+    cells = shared_table(cells.select("pid", "label", "w", "vec", F.explode("buckets").alias("block")), "knn-buckets")
+    visits = queries.select(F.col("qid").cast("long").alias("qid"), "vec").mapInPandas(asked, "qid long, vec array<double>, buckets array<long>")
+    visits = shared_table(visits.select("qid", "vec", F.explode("buckets").alias("block")), "knn-probes")
+    found = _meet(visits, cells, k, metric, block_rows)
+    return _keep(found.dropDuplicates(["qid", "pid"]), k, ["pid"] if keep_pid else [])
+
+
+def _keep(found: DataFrame, k: int, more: Sequence[str] = ()) -> DataFrame:
     """The first rows of each query whose weights reach ``k``; the last weight is cut to fit.
 
     A query has at most ``k`` rows per block it visited, so its group stays small.
     """
-    order = Window.partitionBy("qid").orderBy("dist", "label")
+    order = Window.partitionBy("qid").orderBy("dist", "label", "pid")
     before = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return found.withColumn("b", before).where(F.col("b") < k).select(
-        "qid", "dist", "label", F.least(F.col("w"), F.lit(k) - F.col("b")).alias("w")
+        "qid", "dist", "label", F.least(F.col("w"), F.lit(k) - F.col("b")).alias("w"), *more
     )
 
 
-def knn_classify(
-    queries: DataFrame, points: DataFrame, k: int = 5, metric: str = "euclidean", weights: str = "uniform", **options
-) -> DataFrame:
-    """(qid, prediction): majority vote of the neighbours, the smaller label on ties.
+def votes(found: DataFrame, weights: str = "uniform") -> DataFrame:
+    """(qid, label, v): what the neighbours of each query say.
 
     ``weights="distance"`` votes with 1 / distance; a neighbour at distance 0 then outvotes all others.
     """
-    found = nearest_neighbours(queries, points, k, metric, **options)
     if weights == "uniform":
         vote: Column = F.col("w").cast("double")
     elif weights == "distance":
@@ -202,10 +380,22 @@ def knn_classify(
         )
     else:
         raise ValueError(f"unknown weights {weights!r}")
-    votes = found.groupBy("qid", "label").agg(F.sum(vote).alias("v"))
-    return votes.groupBy("qid").agg(F.min(F.struct((-F.col("v")).alias("v"), "label")).alias("m")).select(
-        "qid", F.col("m.label").alias("prediction")
-    )
+    return found.groupBy("qid", "label").agg(F.sum(vote).alias("v"))
+
+
+def elected(counted: DataFrame) -> DataFrame:
+    """(qid, prediction, shares): the label with most votes, the smaller one on ties, and the share of each label."""
+    best = F.min(F.struct((-F.col("v")).alias("v"), "label"))["label"].alias("prediction")
+    every = F.map_from_entries(F.collect_list(F.struct("label", "v"))).alias("votes")
+    told = counted.groupBy("qid").agg(best, F.sum("v").alias("all"), every)
+    return told.select("qid", "prediction", F.transform_values("votes", lambda _, v: v / F.col("all")).alias("shares"))
+
+
+def knn_classify(
+    queries: DataFrame, points: DataFrame, k: int = 5, metric: str = "euclidean", weights: str = "uniform", **options
+) -> DataFrame:
+    """(qid, prediction): majority vote of the neighbours, the smaller label on ties."""
+    return elected(votes(nearest_neighbours(queries, points, k, metric, **options), weights)).select("qid", "prediction")
 
 
 def vector_of(columns: Sequence[str]) -> Column:

@@ -5,8 +5,9 @@ to unit deviation, so a penalty such as ``C`` or ``alpha`` has to be translated
 rows. ``NamedEstimator`` does that at fit time, which keeps it right inside cross-validation too.
 
 Kernel machines have no Spark counterpart. "Support Vector Machine (SVM)" is a linear SVM on random Fourier
-features of the RBF kernel (Rahimi & Recht, 2007); "Support Vector Regression (SVR)" is Huber regression on
-the same features. "XGBoost" is Spark's gradient-boosted trees. Scores are close in kind, not equal.
+features of the RBF kernel (Rahimi & Recht, 2007), or with ``method="exact"`` the machine itself, by a cascade
+(``tabkit.plans.kernels``); "Support Vector Regression (SVR)" has the epsilon-insensitive loss on such features. "XGBoost" is boosting by gradients and hessians (``tabkit.plans.boosting``), with a softmax for
+several classes. Scores are close in kind, not equal.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
     MLWritable, MLWriter,
@@ -31,9 +32,12 @@ from pyspark.ml.util import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.operators.knn import knn_classify
+from tabkit.operators.knn import CellIndex, elected, votes
 from tabkit.operators.target import CLASSIFICATION, REGRESSION
-from tabkit.session import cut_lineage
+from tabkit.plans.boosting import NewtonBoost
+from tabkit.plans.epsilon import EpsilonRegression
+from tabkit.plans.kernels import KernelMachine
+from tabkit.session import shared_table
 
 SEED = 42
 SPARK_MAX_DEPTH = 30
@@ -44,7 +48,7 @@ DEFAULTS: dict[tuple[str, str], dict[str, Any]] = {
     (CLASSIFICATION, "Logistic Regression"): {"C": 1.0, "penalty": "l2"},
     (CLASSIFICATION, "Decision Tree"): {"max_depth": None, "min_samples_leaf": 1, "criterion": "gini"},
     (CLASSIFICATION, "Random Forest"): {"n_estimators": 100, "max_depth": None, "min_samples_leaf": 1},
-    (CLASSIFICATION, "Support Vector Machine (SVM)"): {"C": 1.0, "kernel": "rbf", "gamma": "scale"},
+    (CLASSIFICATION, "Support Vector Machine (SVM)"): {"C": 1.0, "kernel": "rbf", "gamma": "scale", "method": "fourier"},
     (CLASSIFICATION, "K-Nearest Neighbors (KNN)"): {"n_neighbors": 5, "weights": "uniform", "metric": "euclidean"},
     (CLASSIFICATION, "XGBoost"): {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 1.0},
     (REGRESSION, "Linear Regression"): {"fit_intercept": True},
@@ -52,7 +56,7 @@ DEFAULTS: dict[tuple[str, str], dict[str, Any]] = {
     (REGRESSION, "Lasso Regression"): {"alpha": 0.1},
     (REGRESSION, "Decision Tree"): {"max_depth": 10, "min_samples_leaf": 2},
     (REGRESSION, "Random Forest"): {"n_estimators": 100, "max_depth": 15, "min_samples_leaf": 2},
-    (REGRESSION, "Support Vector Regression (SVR)"): {"C": 1.0, "kernel": "rbf", "gamma": "scale"},
+    (REGRESSION, "Support Vector Regression (SVR)"): {"C": 1.0, "epsilon": 0.1, "kernel": "rbf", "gamma": "scale"},
     (REGRESSION, "XGBoost"): {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 1.0},
 }
 
@@ -135,33 +139,37 @@ class _KnnWriter(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession.sparkContext)
-        self.model.points.write.parquet(path + "/points")
+        self.model.index.save(path + "/index")
 
 
 class _KnnReader(MLReader):
     def load(self, path: str) -> KnnModel:
         metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession.sparkContext)
-        model = KnnModel(self.sparkSession.read.parquet(path + "/points"))
+        model = KnnModel()
         model._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(model, metadata)
+        model.index = CellIndex.load(self.sparkSession, path + "/index", model.get("metric"))
         return model
 
 
 class KnnModel(Model, _Vectors, MLReadable, MLWritable):
-    """Keeps the training points as a distributed table; scoring is an exact nearest-neighbour search."""
+    """Keeps the training points as a stored index; scoring is an exact nearest-neighbour search for every different
+    row, and the shares of the votes are its probabilities."""
 
     neighbours = Param(Params._dummy(), "neighbours", "k", TypeConverters.toInt)
     weights = Param(Params._dummy(), "weights", "uniform or distance", TypeConverters.toString)
     metric = Param(Params._dummy(), "metric", "euclidean or manhattan", TypeConverters.toString)
+    classes = Param(Params._dummy(), "classes", "number of classes", TypeConverters.toInt)
+    probabilityCol = Param(Params._dummy(), "probabilityCol", "probability column", TypeConverters.toString)
 
-    def __init__(self, points: DataFrame | None = None) -> None:
+    def __init__(self, index: CellIndex | None = None) -> None:
         super().__init__()
-        self._setDefault(neighbours=5, weights="uniform", metric="euclidean")
-        self.points = points
+        self._setDefault(neighbours=5, weights="uniform", metric="euclidean", classes=0, probabilityCol="probability")
+        self.index = index
 
     def copy(self, extra=None):
         that = super().copy(extra)
-        that.points = self.points
+        that.index = self.index
         return that
 
     def write(self) -> MLWriter:
@@ -174,13 +182,14 @@ class KnnModel(Model, _Vectors, MLReadable, MLWritable):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         if dataset.isStreaming:
             raise ValueError("nearest neighbours cannot score a stream; use another model")
-        # Each row gets a number that is kept on reliable storage; every row is one query, so copies spread evenly.
-        numbered = cut_lineage(dataset.withColumn("_qid", F.monotonically_increasing_id()))
-        queries = numbered.select(F.col("_qid").alias("qid"), vector_to_array(F.col(self.get("featuresCol"))).alias("vec"))
-        found = knn_classify(
-            queries, self.points, self.get("neighbours"), self.get("metric"), self.get("weights")
-        ).withColumnRenamed("prediction", self.get("predictionCol"))
-        return numbered.join(found, F.col("_qid") == F.col("qid"), "left").drop("_qid", "qid")
+        vector = vector_to_array(F.col(self.get("featuresCol")))
+        different = dataset.select(vector.alias("vec")).distinct().select(F.xxhash64("vec").alias("qid"), "vec")
+        found = elected(votes(self.index.search(shared_table(different, "knn-queries"), self.get("neighbours")), self.get("weights")))
+        each = F.transform(F.sequence(F.lit(0), F.lit(self.get("classes") - 1)), lambda c: F.coalesce(F.try_element_at("shares", c.cast("double")), F.lit(0.0)))
+        told = found.select(
+            F.col("qid").alias("_qid"), F.col("prediction").alias(self.get("predictionCol")), array_to_vector(each).alias(self.get("probabilityCol"))
+        )
+        return dataset.join(told, F.xxhash64(vector) == F.col("_qid"), "left").drop("_qid")
 
 
 class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWritable):
@@ -203,6 +212,8 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
     metric = Param(Params._dummy(), "metric", "euclidean or manhattan", TypeConverters.toString)
     kernel = Param(Params._dummy(), "kernel", "rbf or linear", TypeConverters.toString)
     gamma = Param(Params._dummy(), "gamma", "scale, auto or a number", TypeConverters.toString)
+    method = Param(Params._dummy(), "method", "fourier or exact", TypeConverters.toString)
+    epsilon = Param(Params._dummy(), "epsilon", "error that costs nothing", TypeConverters.toFloat)
 
     def __init__(self, name: str | None = None, problem_type: str | None = None, **params: Any) -> None:
         super().__init__()
@@ -253,6 +264,9 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
                 numTrees=self.get("n_estimators"), featureSubsetStrategy="sqrt", **self._tree(), **columns
             )
         elif name == "Support Vector Machine (SVM)":
+            if self.get("method") == "exact" and self.get("kernel") == "rbf":
+                gamma, _ = self._gamma(dataset)
+                return KernelMachine(classes=max(classes, 2), C=self.get("C"), gamma=gamma, **columns).fit(dataset)
             svm = lambda c: LinearSVC(regParam=1.0 / (self.get("C") * n), standardization=False, tol=1e-3, **c)
             return self._with_kernel(dataset, lambda c: svm(c) if classes <= 2 else OneVsRest(classifier=svm(c), parallelism=min(classes, 4), **c))
         elif name == "K-Nearest Neighbors (KNN)":
@@ -260,15 +274,13 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
                 vector_to_array(F.col(columns["featuresCol"])).alias("vec"),
                 F.col(columns["labelCol"]).cast("double").alias("label"),
             )
-            model = KnnModel(points)
+            model = KnnModel(CellIndex.build(points, self.get("metric")))
             return model._set(
-                neighbours=self.get("n_neighbors"), weights=self.get("weights"), metric=self.get("metric"),
+                neighbours=self.get("n_neighbors"), weights=self.get("weights"), metric=self.get("metric"), classes=classes,
                 featuresCol=columns["featuresCol"], predictionCol=columns["predictionCol"],
             )
         else:
-            estimator = GBTClassifier(**self._boost(), **columns)
-            if classes > 2:
-                estimator = OneVsRest(classifier=estimator, parallelism=min(classes, 4), **columns)
+            estimator = NewtonBoost(classes=max(classes, 2), **self._boost(), **columns)
         return estimator.fit(dataset)
 
     def _fit_regressor(self, dataset, name, columns, n, spread) -> Model:
@@ -291,24 +303,34 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
         elif name == "Support Vector Regression (SVR)":
             return self._with_kernel(
                 dataset,
-                lambda c: LinearRegression(
-                    loss="huber", regParam=1.0 / (self.get("C") * n), standardization=False, **c
-                ),
+                lambda c: EpsilonRegression(C=self.get("C"), epsilon=self.get("epsilon"), **c),
             )
         else:
-            estimator = GBTRegressor(**self._boost(), **columns)
+            estimator = NewtonBoost(**self._boost(), **columns)
         return estimator.fit(dataset)
 
     def _boost(self) -> dict[str, Any]:
         return {
-            "maxIter": self.get("n_estimators"), "maxDepth": self.get("max_depth"),
-            "stepSize": self.get("learning_rate"), "subsamplingRate": self.get("subsample"), "seed": SEED,
+            "rounds": self.get("n_estimators"), "depth": self.get("max_depth"), "rate": self.get("learning_rate"),
+            "subsample": self.get("subsample"), "seed": SEED,
         }
 
     def _with_kernel(self, dataset: DataFrame, machine) -> Model:
         if self.get("kernel") == "linear":
             return machine(self._columns()).fit(dataset)
         features = self.get("featuresCol")
+        gamma, width = self._gamma(dataset)
+        fourier = FourierFeatures()._set(featuresCol=features, gamma=gamma, width=width)
+        expanded = fourier.transform(dataset.select(features, self.get("labelCol"))).select("fourier", self.get("labelCol"))
+        expanded = expanded.persist()
+        try:
+            return PipelineModel([fourier, machine(self._columns("fourier")).fit(expanded)])
+        finally:
+            expanded.unpersist()
+
+    def _gamma(self, dataset: DataFrame) -> tuple[float, int]:
+        """The kernel's width as a number, and the size of the vectors."""
+        features = self.get("featuresCol")
         width = len(dataset.select(features).first()[0])
         gamma = self.get("gamma")
         if gamma == "scale":
@@ -317,13 +339,7 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
             gamma = 1.0 / (width * variance) if variance else 1.0
         elif gamma == "auto":
             gamma = 1.0 / width
-        fourier = FourierFeatures()._set(featuresCol=features, gamma=float(gamma), width=width)
-        expanded = fourier.transform(dataset.select(features, self.get("labelCol"))).select("fourier", self.get("labelCol"))
-        expanded = expanded.persist()
-        try:
-            return PipelineModel([fourier, machine(self._columns("fourier")).fit(expanded)])
-        finally:
-            expanded.unpersist()
+        return float(gamma), width
 
 
 def get_estimator(name: str, problem_type: str, **params: Any) -> NamedEstimator | None:
@@ -360,6 +376,8 @@ def model_size(model: Any) -> dict[str, int]:
         return {"coefficients": last.coefficients.size}
     if hasattr(last, "models"):
         return {"models": len(last.models)}
+    if hasattr(last, "support"):
+        return {"support_vectors": last.support}
     size = {}
     if hasattr(last, "numFeatures"):
         size["features"] = last.numFeatures

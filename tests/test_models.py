@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -121,6 +123,58 @@ def test_neighbours_equal_brute_force(spark, metric, block_rows):
     assert [got[i] for i in range(len(queries))] == expected
 
 
+def test_visited_blocks_do_not_grow_with_clustered_points(spark):
+    """Sixteen times the points, a few more blocks per query."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 100, (40, 3))
+    visited, searched = [], []
+    for n in (1000, 16_000):
+        x = centres[rng.integers(0, 40, n)] + rng.normal(0, 1, (n, 3))
+        p = spark.createDataFrame([([float(a) for a in v], 0.0) for v in x], "vec array<double>, label double")
+        q = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(centres)], "qid long, vec array<double>")
+        index = N.CellIndex.build(p, block_rows=50)
+        near = index.visits(q, 5)
+        bound = index.search(q, 5).groupBy("qid").agg(F.max("dist").alias("theta"))
+        rest = index.further(near.join(bound, "qid"))
+        blocks = near.union(rest).select(F.explode("blocks")).count()
+        visited.append(blocks / 40)
+        searched.append(blocks / 40 * n / len(index.blocks))
+        assert len(index.blocks) >= n / 100
+    assert visited[1] < 6 * visited[0] and searched[1] < 8 * searched[0] and searched[1] < 16_000 / 10
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_projections_reach_a_recall_of_nine_tenths(spark, metric):
+    rng = np.random.default_rng(7)
+    points = np.concatenate([np.full((300, 6), 0.5), rng.normal(0, 1, (3000, 6)) * [5, 3, 2, 1, 0.2, 0.1]])
+    labels = rng.integers(0, 3, len(points)).astype(float)
+    queries = np.concatenate([points[-150:] + rng.normal(0, 0.1, (150, 6)), [[0.5] * 6]])
+    q = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(queries)], "qid long, vec array<double>")
+    p = spark.createDataFrame([([float(a) for a in v], float(l)) for v, l in zip(points, labels)], "vec array<double>, label double")
+    got = {i: [] for i in range(len(queries))}
+    for r in N.nearest_neighbours(q, p, 7, metric, method="projections", block_rows=100).collect():
+        got[r["qid"]] += [(round(r["dist"], 9), r["label"])] * r["w"]
+    expected = brute(queries, points, labels, 7, metric)
+    hits = sum(sum((Counter(e) & Counter(got[i])).values()) for i, e in enumerate(expected))
+    assert hits / (7 * len(queries)) >= 0.9
+    assert all(len(g) <= 7 for g in got.values()) and len(got[len(queries) - 1]) == 7
+
+
+def test_vote_shares_are_probabilities(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(3, 1, (60, 2)), rng.normal([0, 5], 1, (60, 2))]).round(1)
+    rows = [(i, [float(a) for a in v], float(i // 60)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + [rows[3]], "id long, x array<double>, label double").withColumn("features", array_to_vector("x"))
+    model = D.get_estimator("K-Nearest Neighbors (KNN)", CLASSIFICATION, n_neighbors=4).fit(df)
+    scored = model.transform(df).select("id", "prediction", vector_to_array("probability").alias("p")).collect()
+    assert len(scored) == 181
+    for r in scored:
+        assert abs(sum(r["p"]) - 1) < 1e-12 and {round(4 * v, 9) % 1 for v in r["p"]} == {0.0} and r["p"].index(max(r["p"])) == r["prediction"]
+    model.write().overwrite().save(str(tmp_path / "knn"))
+    again = D.KnnModel.load(str(tmp_path / "knn")).transform(df).select("id", "prediction")
+    assert sorted(map(tuple, again.collect())) == sorted((r["id"], r["prediction"]) for r in scored)
+
+
 def test_fewer_points_than_neighbours(spark):
     q = spark.createDataFrame([(1, [0.0])], "qid long, vec array<double>")
     p = spark.createDataFrame([([1.0], 2.0), ([3.0], 0.0)], "vec array<double>, label double")
