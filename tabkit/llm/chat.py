@@ -7,7 +7,8 @@ on the assistant texts among the new turns; repeated ones are masked out, so eac
 
 A cell is half of what the budget leaves beside the system turn and the history, and a window holds the turns
 that begin in its cell. It therefore stays within the budget if no turn is longer than a cell; a longer turn is
-kept whole and may exceed it. The history takes ``history_turns`` turns at most, which must fit in
+kept whole and may exceed it. A system turn of more than half of what the history leaves of the budget is not
+repeated: it stands in the first window alone, like any turn, and windows do not grow with it. The history takes ``history_turns`` turns at most, which must fit in
 ``history_tokens``.
 
 The template marks turns as ``<|turn|>role\\ntext<|end|>``, repeated ones as ``<|past|>...``. Control strings
@@ -17,7 +18,7 @@ Prefix sums over a conversation of any length: rows are range-partitioned by con
 sums within a partition are added to the totals of earlier partitions, of which there are few per conversation.
 
 Defined cases: a null text or role is empty; rows without a conversation id are one conversation; rows that
-repeat a turn number are ordered by role and text and are turns of their own. A system turn counts as such
+repeat a turn number are ordered by role and a hash of the text and are turns of their own. A system turn counts as such
 when it is the first turn. An empty table makes no windows. Further columns are ignored.
 """
 
@@ -100,7 +101,8 @@ def windows(
         text.alias("text"), tokens(text).alias("tokens"),
     )
     rows = stored(numbered(turns), "chat-numbered")
-    system = rows.filter("at = 0 AND role = 'system'").select(
+    lasting = (F.col("at") == 0) & (F.col("role") == "system") & (F.col("tokens") <= (budget - history_tokens) / 2)
+    system = rows.filter(lasting).select(
         F.col("conv_id").alias("c"), F.col("role").alias("system_role"), F.col("text").alias("system_text"), F.col("tokens").alias("system_tokens")
     )
     held = rows.join(system.select("c", "system_tokens"), rows["conv_id"].eqNullSafe(system["c"]), "left").drop("c")

@@ -17,6 +17,9 @@ from tabkit.session import ensure_checkpoint_dir
 #: Characters of text that a Python task turns into words at a time.
 SLICE_CHARS = 1_000_000
 
+#: Copies of a small table's rows, over which a hot key of the other table is spread.
+SALTS = 16
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -37,6 +40,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def met(left: DataFrame, right: DataFrame, keys: list[str], how: str, broadcast_rows: int) -> DataFrame:
+    """``left`` joined with a stored table of one row per key, nulls being equal: broadcast while small, else each of
+    its rows under every salt, so that a key which many rows of ``left`` bear is spread over tasks."""
+    named = right.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    if right.count() <= broadcast_rows:
+        joined = left.join(F.broadcast(named), same, how)
+    else:
+        salts = F.explode(F.array(*[F.lit(s).cast("long") for s in range(SALTS)]))
+        salted = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        other = named.withColumn("__other", salts)
+        joined = salted.join(other, [*same, F.col("__salt") == F.col("__other")], how)
+    return joined.drop("__salt", "__other", *[f"__{k}" for k in keys])
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns that an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}

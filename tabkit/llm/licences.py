@@ -27,11 +27,13 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.common import ascii_lower, stored, without
+from tabkit.llm.common import ascii_lower, met, stored, without
 
 THRESHOLD = 0.8
 #: Terms outside the templates that are broadcast with their weights.
 COMMON = 10_000
+#: Directories that are broadcast with the licences they inherit.
+BROADCAST_DIRS = 200_000
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 
 #: Notices and opening paragraphs of public licences.
@@ -184,10 +186,11 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", te
     best = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("licence")))
     licensed = kept.filter(is_licence_file(F.col("key.p"))).groupBy("dir").agg(best.alias("b")).select("dir", F.col("b.licence").alias("licence"))
     dirs = rows.select(directory(F.col(path_col)).alias("dir")).filter("dir IS NOT NULL").distinct()
-    above = inherited(dirs, licensed).select(F.col("dir").alias("__dir"), F.col("licence").alias("__above"), "from_dir")
+    above = stored(inherited(dirs, licensed).select(F.col("dir").alias("__dir"), F.col("licence").alias("__above"), "from_dir"), "directories")
     mine = own.select(F.col("key").alias("__own"), F.col("licence").alias("__licence"), "cosine")
     joined = marked.join(mine, F.col("__key").eqNullSafe(F.col("__own")), "left")
-    joined = joined.join(above, directory(F.col(path_col)) == F.col("__dir"), "left")
+    # a directory may hold a third of all files: its row is broadcast, or stands under every salt
+    joined = met(joined.withColumn("__dir", directory(F.col(path_col))), above, ["__dir"], "left", BROADCAST_DIRS)
     own_one = F.col("__licence").isNotNull()
     return joined.select(
         *[F.col(f"`{c}`") for c in rows.columns], F.coalesce("__licence", "__above").alias("licence"), "cosine",

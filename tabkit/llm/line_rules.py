@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabkit.llm.common import appended, arrow_schema, extended, slices, stored, without
+from tabkit.llm.common import appended, arrow_schema, extended, met, slices, stored, without
 
 MAX_DOCS = 10
 MAX_SHARE = 0.01
@@ -43,8 +43,6 @@ WINDOW = 3
 
 #: Rows of a table that may be broadcast: 40 bytes each, names of hosts apart.
 BROADCAST_ROWS = 500_000
-SALTS = 16
-
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -118,27 +116,12 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source
     return rows.mapInArrow(run, schema)
 
 
-def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str, broadcast_rows: int) -> DataFrame:
-    """``left`` joined with a stored table of one row per key, nulls being equal: broadcast while small, else each of
-    its rows under every salt, so that a key which many rows of ``left`` bear is spread over tasks."""
-    named = right.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns])
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    if right.count() <= broadcast_rows:
-        joined = left.join(F.broadcast(named), same, how)
-    else:
-        salts = F.explode(F.array(*[F.lit(s).cast("long") for s in range(SALTS)]))
-        salted = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-        other = named.withColumn("__other", salts)
-        joined = salted.join(other, [*same, F.col("__salt") == F.col("__other")], how)
-    return joined.drop("__salt", "__other", *[f"__{k}" for k in keys])
-
-
 def frequent_lines(lines: DataFrame, hosts: DataFrame, *, max_docs: int, max_share: float, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(host, line, n_docs): lines above both limits, of (host, line, version) rows that are distinct and of the
     number of documents ``n_host`` of each host."""
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs)
     share = Fraction(max_share).limit_denominator(1_000_000)
-    many = _met(stored(counted, "line-counts"), hosts, ["host"], "inner", broadcast_rows)
+    many = met(stored(counted, "line-counts"), hosts, ["host"], "inner", broadcast_rows)
     return many.filter(share.denominator * F.col("n_docs") > share.numerator * F.col("n_host")).drop("n_host")
 
 
@@ -156,10 +139,10 @@ def judge(
     texts = known.filter("n_words > 0").select("host", "version").distinct()
     hosts = stored(texts.groupBy("host").agg(F.count("*").alias("n_host")), "host-sizes")
     above = stored(frequent_lines(lines, hosts, max_docs=max_docs, max_share=max_share, broadcast_rows=broadcast_rows).drop("n_docs"), "frequent-lines")
-    taken = _met(lines, above, ["host", "line"], "inner", broadcast_rows).groupBy("host", "version").agg(
+    taken = met(lines, above, ["host", "line"], "inner", broadcast_rows).groupBy("host", "version").agg(
         F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed")
     )
-    judged = _met(known.drop("lines", "line_words"), stored(taken, "removed-lines"), ["host", "version"], "left", broadcast_rows)
+    judged = met(known.drop("lines", "line_words"), stored(taken, "removed-lines"), ["host", "version"], "left", broadcast_rows)
     judged = judged.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     judged = judged.withColumn("removed", F.coalesce("removed", F.array().cast("array<binary>")))
     repeated, removed = (Fraction(x).limit_denominator(1_000_000) for x in (max_repeated, max_removed))

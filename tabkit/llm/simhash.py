@@ -3,13 +3,14 @@
 Shingles of words are hashed with XXH64; a bit of the fingerprint is set if it is set in over half of the
 hashes. Equal fingerprints are counted into one class first, so groups of copies never meet one another.
 
-Links between classes: the 64 bits are cut into ``radius + 2`` blocks. Two fingerprints within the radius agree
-in two blocks at least, whichever they are, so each choice of two blocks is a route, and a bucket holds the
-classes that agree in it. Each bucket is a shard with a BK-tree: children keyed by their Hamming distance to
-the parent, of which a search follows only the edges within the radius. A bucket of more than ``shard`` classes
-is cut into several trees, and each tree is sent to every block of queries of that bucket; a tree has ``shard``
-fingerprints at most. A search emits the link of a class to one representative per tree and neighbourhood
-(a union-find per tree), so a crowded bucket makes no table of all pairs.
+All classes are dealt to shards by hash, and each shard becomes one BK-tree, a table row of bounded size: the
+children of a node are keyed by their Hamming distance to it, and a subtree of a few points is an array. Shard trees
+are broadcast in groups of at most ``group`` points, one pass over all classes per group. A block of classes walks
+a tree together: at every node each one follows only the edges within the radius of its own distance, and the
+nodes that it meets are counted.
+
+A search emits the link of a class to one representative per tree and neighbourhood (a union-find per tree and block),
+so a crowd of near copies makes no table of all pairs.
 
 Defined cases: a null or empty text has no words and fingerprint zero, linked like any other; a text of fewer
 words than a shingle is one shingle. Rows that repeat a document keep a row each. A row without an id belongs
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,16 +30,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabkit.llm.common import appended, arrow_schema, extended, slices, stored
+from tabkit.llm.common import appended, arrow_schema, extended, shared_folder, slices, stored
 from tabkit.llm.components import components
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
-#: Fingerprints in one BK-tree.
-SHARD = 2048
-#: Trees of crowded buckets are broadcast while they hold this many fingerprints (12 bytes each) together.
-BROADCAST_FINGERPRINTS = 1_000_000
+#: Points of one tree, and of the trees of one broadcast (8 bytes each, and as much again for nodes at most).
+SHARD = 1 << 17
+GROUP = 1 << 20
+#: Classes that walk through a tree together.
+BLOCK = 1 << 13
+#: Points that are compared as an array, and the depth at which a subtree becomes one whatever its size.
+LEAF = 64
+MOST_TASKS = 20_000
+DEEPEST = 256
 #: Hashes whose bits are counted at a time.
 HASHES = 1 << 16
 ALL_BITS = (1 << 64) - 1
@@ -86,173 +91,195 @@ def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
     return prints(text)
 
 
-class BKTree:
-    """Metric tree under Hamming distance: the children of a node are keyed by their distance to it."""
-
-    def __init__(self, points: list[int]) -> None:
-        self.points: list[int] = []
-        self.children: list[dict[int, int]] = []
-        for point in points:
-            self._insert(point)
-
-    def _insert(self, point: int) -> None:
-        at = 0 if self.points else -1
-        while at >= 0:
-            key = (self.points[at] ^ point).bit_count()
-            below = self.children[at].get(key, -1)
-            if below < 0:
-                self.children[at][key] = len(self.points)
-            at = below
-        self.points.append(point)
-        self.children.append({})
-
-    def within(self, point: int, radius: int) -> list[int]:
-        """The places of all points within ``radius``."""
-        found, open_nodes = [], [0] if self.points else []
-        while open_nodes:
-            at = open_nodes.pop()
-            distance = (self.points[at] ^ point).bit_count()
-            if distance <= radius:
-                found.append(at)
-            children = self.children[at]
-            if len(children) > 2 * radius + 1:
-                open_nodes += [children[k] for k in range(distance - radius, distance + radius + 1) if k in children]
-            else:
-                open_nodes += [below for k, below in children.items() if abs(k - distance) <= radius]
-        return found
+NODE = np.dtype([("point", "i4"), ("start", "i4"), ("stop", "i4"), ("first", "i4"), ("children", "i4")])
+EDGE = np.dtype([("distance", "i4"), ("node", "i4")])
+
+
+def grow(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A BK-tree over different points: the points in the order of its arrays, its nodes and its edges. An inner node
+    has a point of its own and edges keyed by distance; a node without edges is the array start:stop."""
+    order, nodes, edges = np.arange(len(points)), [], []
+    waiting = [(0, len(points), -1, 0)] if len(points) else []
+    while waiting:
+        start, stop, edge, depth = waiting.pop()
+        if edge >= 0:
+            edges[edge] = (edges[edge][0], len(nodes))
+        if stop - start <= LEAF or depth >= DEEPEST:
+            nodes.append((-1, start, stop, 0, 0))
+            continue
+        own = order[start:stop]
+        away = np.bitwise_count(points[own] ^ points[own[0]])
+        by = np.argsort(away, kind="stable")
+        own, away = own[by], away[by]
+        order[start:stop] = own
+        cuts = np.flatnonzero(np.diff(away)) + 1  # the point itself comes first, at distance zero
+        nodes.append((start, start, stop, len(edges), len(cuts)))
+        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=True):
+            waiting.append((start + low, start + high, len(edges), depth + 1))
+            edges.append((int(away[low]), -1))
+    return points[order], np.array(nodes, NODE), np.array(edges, EDGE)
 
 
 class Groups:
-    """Union-find over the points of one tree."""
+    """Union-find over numbered things; the smallest number names a group."""
 
     def __init__(self, size: int) -> None:
-        self.parent = list(range(size))
-
-    def root(self, at: int) -> int:
-        while self.parent[at] != at:
-            self.parent[at] = self.parent[self.parent[at]]
-            at = self.parent[at]
-        return at
-
-    def union(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-
-def tree_links(points: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that join the points of one tree exactly as all pairs within the radius would."""
-    tree, groups = BKTree(points), Groups(len(points))
-    for at, point in enumerate(points):
-        for other in tree.within(point, radius):
-            groups.union(at, other)
-    return [(point, points[groups.root(at)]) for at, point in enumerate(points) if groups.root(at) != at]
-
-
-def query_links(tree_points: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links of queries to the points of a tree: every query to each group of points that it touches."""
-    tree, groups = BKTree(tree_points), Groups(len(tree_points))
-    for at, point in enumerate(tree_points):
-        for other in tree.within(point, radius):
-            groups.union(at, other)
-    links = []
-    for query in queries:
-        touched = {groups.root(at): at for at in tree.within(query, radius)}
-        links += [(query, tree_points[at]) for at in touched.values()]
-    return links
-
-
-def _signed(links: list[tuple[int, int]]) -> pd.DataFrame:
-    """Links as signed longs."""
-    pairs = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        self.parent = np.arange(size)
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        up = self.parent[at]
+        while True:
+            above = self.parent[up]
+            if (above == up).all():
+                return up
+            up = above
+
+    def union(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.roots(a), self.roots(b)
+            apart = a != b
+            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            np.minimum.at(self.parent, high, low)
+            # a root that met several smaller ones took the least: the others meet in the next round
+            a, b = low, high
+            if not len(a):
+                return
+            a, b = np.unique(np.stack([a, b]), axis=1)
+
+
+def walk(tree: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray, radius: int, found) -> np.ndarray:
+    """Search a tree for all queries at once. ``found`` is called with (query, place) arrays within the radius; the
+    result is the number of points that each query was compared with."""
+    points, nodes, edges = tree
+    visited = np.zeros(len(queries), np.int64)
+    waiting = [(0, np.arange(len(queries)))] if len(points) else []
+    while waiting:
+        at, asked = waiting.pop()
+        point, start, stop, first, children = nodes[at]
+        if not children:
+            visited[asked] += stop - start
+            step = max((1 << 20) // max(int(stop - start), 1), 1)
+            for low in range(0, len(asked), step):
+                part = asked[low:low + step]
+                near = np.bitwise_count(queries[part][:, None] ^ points[start:stop][None, :]) <= radius
+                query, place = np.nonzero(near)
+                if len(query):
+                    found(part[query], place + start)
+            continue
+        visited[asked] += 1
+        away = np.bitwise_count(queries[asked] ^ points[point]).astype(np.int64)
+        near = away <= radius
+        if near.any():
+            found(asked[near], np.full(int(near.sum()), point))
+        for distance, below in edges[first:first + children].tolist():
+            follow = asked[np.abs(away - distance) <= radius]
+            if len(follow):
+                waiting.append((below, follow))
+    return visited
+
+
+def block_links(tree: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a block of queries: (a, b) links that join queries and points of a tree as all pairs within the radius
+    would, and the number of points that each query was compared with."""
+    names = np.unique(np.concatenate([queries, tree[0]]))
+    groups, own, theirs = Groups(len(names)), np.searchsorted(names, queries), np.searchsorted(names, tree[0])
+    visited = walk(tree, queries, radius, lambda query, place: groups.union(own[query], theirs[place]))
+    roots = groups.roots(np.arange(len(names)))
+    linked = np.flatnonzero(roots != np.arange(len(names)))
+    return names[linked], names[roots[linked]], visited
+
+
+TREES = "shard long, points binary, nodes binary, edges binary"
+
+
+def build_trees(classes: DataFrame, shard: int) -> DataFrame:
+    """One stored row per shard: its tree, packed."""
+    shards = max(-(-classes.count() // shard), 1)
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        points, nodes, edges = grow(np.sort(part["fp"].to_numpy(np.int64)).view(np.uint64))
+        row = [part["shard"].iloc[0], points.tobytes(), nodes.tobytes(), edges.tobytes()]
+        return pd.DataFrame([row], columns=["shard", "points", "nodes", "edges"])
+
+    dealt = classes.select("fp", F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard"))
+    return stored(dealt.groupBy("shard").applyInPandas(build, TREES), "bk-trees")
+
+
+def _blocks(classes: DataFrame, block: int) -> DataFrame:
+    """The classes as stored rows of up to ``block`` fingerprints."""
+    schema = T._parse_datatype_string("queries binary")
+    types = arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            for start in range(0, len(prints), block):
+                yield pa.RecordBatch.from_pydict({"queries": [prints[start:start + block].tobytes()]}, schema=types)
 
-def _unsigned(values: pd.Series) -> list[int]:
-    return values.to_numpy(np.int64).view(np.uint64).tolist()
+    return stored(classes.select("fp").mapInArrow(run, schema), "fingerprint-blocks")
 
 
-def _routes(classes: DataFrame, radius: int) -> DataFrame:
-    """One row per class and choice of two blocks: ``bucket`` holds the bits of these blocks."""
-    blocks = radius + 2
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in pair) for pair in combinations(range(blocks), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    routes = F.array(*[F.struct(F.lit(i).alias("route"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bucket")) for i, m in enumerate(signed)])
-    return classes.select("fp", F.explode(routes).alias("r")).select("r.route", "r.bucket", "fp")
+SEARCHED = "a long, b long, visited long"
 
 
-def _search_buckets(rows: DataFrame, radius: int) -> DataFrame:
-    """Links within buckets of one shard: equal buckets come one after another in a task."""
-    dealt = rows.repartition("route", "bucket").sortWithinPartitions("route", "bucket", "fp")
+def search_trees(trees: DataFrame, classes: DataFrame, *, radius: int = RADIUS, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """Rows (a, b) that link classes within the radius, and rows (a, visited) that say how many points a class met in a
+    tree. Each group of trees is one broadcast and one pass over the blocks of classes."""
+    blocks, sizes = _blocks(classes, block), trees.select("shard", F.octet_length("points").alias("n")).orderBy("shard").collect()
+    groups: list[list[int]] = []
+    room = 0
+    for row in sizes:  # one row per shard
+        if not groups or room < row["n"] // 8:
+            groups.append([])
+            room = group
+        groups[-1].append(row["shard"])
+        room -= row["n"] // 8
+    types, n_blocks = arrow_schema(T._parse_datatype_string(SEARCHED)), blocks.count()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, key = [], None
-        links: list[tuple[int, int]] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            buckets = batch[["route", "bucket"]].to_numpy()
-            starts = np.flatnonzero(np.append(True, (buckets[1:] != buckets[:-1]).any(axis=1)))
-            points = _unsigned(batch["fp"])
-            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(points)], strict=True):
-                here = tuple(buckets[start])
-                if here != key:
-                    if len(rest) > 1:
-                        links += tree_links(rest, radius)
-                    rest, key = [], here
-                rest += points[start:stop]
-            yield _signed(links)
-            links = []
-        if len(rest) > 1:
-            yield _signed(tree_links(rest, radius))
-
-    return dealt.mapInPandas(run, "a long, b long")
-
-
-def _search_crowded(rows: DataFrame, radius: int, points: int, limit: int) -> DataFrame:
-    """Links within buckets of several shards: the tree of every shard meets every later block of queries."""
-    packed = rows.groupBy("route", "bucket", "part").agg(F.sort_array(F.collect_list("fp")).alias("points"))
-    trees = stored(packed, "bk-trees")
-    blocks = trees.select("route", "bucket", F.col("part").alias("block"), F.col("points").alias("queries"))
-    met = blocks.join(F.broadcast(trees) if points <= limit else trees, ["route", "bucket"]).filter("part <= block")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, block, points, queries in zip(batch["part"], batch["block"], batch["points"], batch["queries"], strict=True):
-                own, asked = _unsigned(pd.Series(points)), _unsigned(pd.Series(queries))
-                yield _signed(tree_links(own, radius) if part == block else query_links(own, asked, radius))
-
-    spread = met.select("part", "block", "points", "queries").repartition(F.xxhash64("points"), "block")
-    return spread.mapInPandas(run, "a long, b long")
-
-
-def links(classes: DataFrame, *, radius: int = RADIUS, shard: int = SHARD, broadcast_limit: int = BROADCAST_FINGERPRINTS) -> DataFrame:
-    """(a, b): links between different fingerprints ``fp`` that connect whatever is within the radius."""
-    routes = _routes(classes, radius)
-    sizes = routes.groupBy("route", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = stored(routes.join(sizes, ["route", "bucket"]), "simhash-routes")
-    found = _search_buckets(sized.filter(F.col("n") <= shard).select("route", "bucket", "fp"), radius)
-    crowded = sized.filter(F.col("n") > shard)
-    points = crowded.count()
-    if not points:
-        return found
-    parts = F.ceil(F.col("n") / shard)
-    cut = crowded.select("route", "bucket", "fp", F.pmod(F.xxhash64("fp", F.lit(1)), parts).alias("part"))
-    return found.union(_search_crowded(cut, radius, points, broadcast_limit))
+            for row in batch.to_pylist():
+                tree = np.frombuffer(row["points"], np.uint64), np.frombuffer(row["nodes"], NODE), np.frombuffer(row["edges"], EDGE)
+                queries = np.frombuffer(row["queries"], np.uint64)
+                a, b, visited = block_links(tree, queries, radius)
+                first = np.concatenate([a, queries]).view(np.int64)
+                second = pa.array(np.concatenate([b, queries]).view(np.int64), mask=np.arange(len(first)) >= len(a))
+                met = pa.array(np.concatenate([np.zeros(len(a), np.int64), visited]), mask=np.arange(len(first)) < len(a))
+                yield pa.RecordBatch.from_arrays([pa.array(first), second, met], schema=types)
+
+    spark, folder = classes.sparkSession, shared_folder(classes.sparkSession, "simhash-links")
+    for number, shards in enumerate(groups):
+        low, high = shards[0], shards[-1]
+        here = F.broadcast(trees.filter(F.col("shard").between(low, high)))
+        asked = blocks.select("queries", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("s"))
+        # a row is a whole block against a whole tree, so few of them make a task
+        tasks = min(max(n_blocks * len(shards), 1), MOST_TASKS)
+        pairs = asked.repartition(tasks, F.xxhash64("queries"), "s").join(here, F.col("s") == F.col("shard")).drop("s", "shard")
+        pairs.mapInArrow(run, SEARCHED).write.parquet(f"{folder}/group={number}")
+    schema = T._parse_datatype_string(SEARCHED)
+    return spark.read.schema(schema).parquet(*[f"{folder}/group={n}" for n in range(len(groups))]) if groups else spark.createDataFrame([], schema)
+
+
+def links(classes: DataFrame, *, radius: int = RADIUS, shard: int = SHARD, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """(a, b, visited): links between different fingerprints ``fp`` that connect whatever is within the radius, and how
+    many points each class was compared with (rows without ``b``)."""
+    return search_trees(build_trees(classes, shard), classes, radius=radius, group=group, block=block)
 
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
     shard: int = SHARD,
 ) -> DataFrame:
-    """(doc_id, fp, component_id, low): every row with the smallest id that links of at most ``radius`` bits reach;
-    ``low`` names the component even where no row has an id."""
+    """(doc_id, fp, component_id, low, visited): every row with the smallest id that links of at most ``radius`` bits
+    reach; ``low`` names the component even where no row has an id, ``visited`` counts the points of all trees that
+    the fingerprint was compared with."""
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     found = stored(links(classes.select("fp"), radius=radius, shard=shard), "fingerprint-links")
-    low = components(found, "a", "b")
+    low = components(found.filter("b IS NOT NULL"), "a", "b")
     joined = classes.join(low, classes["fp"] == low["node"], "left").select("fp", F.coalesce("low", "fp").alias("low"), "first")
     names = joined.groupBy("low").agg(F.min("first").alias("component_id"))
+    met = found.filter("b IS NULL").groupBy(F.col("a").alias("met_by")).agg(F.sum("visited").alias("visited"))
     named = joined.join(names, "low").select(F.col("fp").alias("fp_of"), "component_id", "low")
-    return prints.join(named, prints["fp"] == named["fp_of"]).select("doc_id", "fp", "component_id", "low")
+    named = named.join(met, named["fp_of"] == met["met_by"], "left")
+    return prints.join(named, prints["fp"] == named["fp_of"]).select("doc_id", "fp", "component_id", "low", "visited")

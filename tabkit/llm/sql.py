@@ -69,7 +69,7 @@ t AS (
          8 + length(role) + 1 + length({_ESCAPED.format("text")}) + 7 AS size
   FROM raw WINDOW c AS (PARTITION BY conv_id ORDER BY turn)
 ),
-s AS (SELECT conv_id, tokens AS own, size AS own_size FROM t WHERE n = 0 AND role = 'system'),
+s AS (SELECT conv_id, tokens AS own, size AS own_size FROM t WHERE n = 0 AND role = 'system' AND tokens <= (1024 - 256) / 2),
 p AS (
   SELECT t.*, coalesce(own, 0) AS own, coalesce(own_size, 0) AS own_size, own IS NOT NULL AS sys,
          sum(tokens) OVER (PARTITION BY t.conv_id ORDER BY n) - tokens AS before
@@ -140,12 +140,12 @@ files AS (
 ),
 df AS (
   SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z0-9]+')) AS term FROM files)
-  WHERE term IN (SELECT term FROM t_count) GROUP BY term
+  GROUP BY term
 ),
 total AS (SELECT count(*) AS files FROM files),
 idf AS (
   SELECT term, ln((1 + files) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM t_count) LEFT JOIN df USING (term), total
+  FROM (SELECT term FROM t_count UNION SELECT term FROM df) LEFT JOIN df USING (term), total
 ),
 t_weight AS (
   SELECT template, name, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY template)) AS weight FROM t_count JOIN idf USING (term)
@@ -159,7 +159,7 @@ segments AS (
 counted AS (
   SELECT doc_id, spot, term, count(*) AS n FROM (SELECT doc_id, spot, unnest(regexp_extract_all({_LOWER.format("segment")}, '[a-z0-9]+')) AS term FROM segments) GROUP BY ALL
 ),
-weighed AS (SELECT doc_id, spot, term, n * coalesce(idf, ln((1 + files)::DOUBLE) + 1) AS w FROM counted LEFT JOIN idf USING (term), total),
+weighed AS (SELECT doc_id, spot, term, n * idf AS w FROM counted JOIN idf USING (term)),
 norms AS (SELECT doc_id, spot, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
 cosines AS (
   SELECT doc_id, name, round(sum(w * weight) / any_value(norm), 9) AS cosine

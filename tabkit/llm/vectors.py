@@ -106,7 +106,7 @@ def build_index(df: DataFrame, id_col: str, vector_col: str, *, shard: int = SHA
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         ids, vectors = part["vec_id"].to_numpy(np.int64), np.stack(part["vector"].to_numpy())
-        seen = np.unique(np.column_stack([ids.view(np.float64), vectors]).view(np.int64), axis=0, return_index=True)[1]
+        seen = np.unique(np.column_stack([ids, (vectors + 0.0).view(np.int64)]), axis=0, return_index=True)[1]  # -0.0 is 0.0
         ids, vectors = ids[seen], vectors[seen]
         spread = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max()))
         order, nodes = grow(lifted(vectors, spread))

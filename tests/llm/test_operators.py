@@ -183,8 +183,8 @@ def test_fingerprints():
         assert simhash.fingerprint(text) == plain_print(text)
 
 
-@pytest.mark.parametrize("shard", [4, 2048])
-def test_links_connect_what_all_pairs_would(spark, shard):
+@pytest.mark.parametrize(("shard", "group", "block"), [(4, 9, 5), (50, 50, 3), (2048, 10**6, 8192)])
+def test_links_connect_what_all_pairs_would(spark, shard, group, block):
     rnd = random.Random(5)
     points = set()
     for _ in range(25):
@@ -196,9 +196,48 @@ def test_links_connect_what_all_pairs_would(spark, shard):
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     nodes = sorted(signed(p) for p in points)
     classes = spark.createDataFrame([(p,) for p in nodes], "fp long")
-    for limit in (1_000_000, 0):
-        low = {r["node"]: r["low"] for r in components.components(simhash.links(classes, shard=shard, broadcast_limit=limit), "a", "b").collect()}
-        assert {n: low.get(n, n) for n in nodes} == plain_components(nodes, lambda a, b: ((a ^ b) & simhash.ALL_BITS).bit_count() <= 2)
+    found = simhash.links(classes, shard=shard, group=group, block=block)
+    low = {r["node"]: r["low"] for r in components.components(found.filter("b IS NOT NULL"), "a", "b").collect()}
+    assert {n: low.get(n, n) for n in nodes} == plain_components(nodes, lambda a, b: ((a ^ b) & simhash.ALL_BITS).bit_count() <= 2)
+    trees = -(-len(nodes) // shard)
+    visited = found.filter("b IS NULL").groupBy("a").agg(F.count("*").alias("n"), F.sum("visited").alias("v")).collect()
+    assert len(visited) == len(nodes) and all(0 < r["v"] <= len(nodes) and r["n"] <= trees for r in visited)
+
+
+def test_trees_leave_out_what_is_far():
+    rng = np.random.default_rng(3)
+    points = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * 2 + rng.integers(0, 2, 20_000, dtype=np.uint64))
+    near = points[:500] ^ np.uint64(1 << 9) ^ np.uint64(1 << 40)
+    every = np.unique(np.concatenate([points, near]))
+    found = []
+    visited = simhash.walk(simhash.grow(every), near, 2, lambda query, place: found.append((query, place)))
+    tree = simhash.grow(every)[0]
+    got = {(int(q), int(tree[p])) for query, place in found for q, p in zip(query, place, strict=True)}
+    assert {(i, int(points[i])) for i in range(500)} | {(i, int(near[i])) for i in range(500)} <= got
+    assert all((int(near[q]) ^ p).bit_count() <= 2 for q, p in got)
+    assert visited.mean() < len(every) / 4
+
+
+def test_crowds_make_few_links():
+    base = np.uint64(0x0123456789ABCDEF)
+    bits = [np.uint64(1 << i) for i in range(64)]
+    crowd = np.unique(np.array([base] + [base ^ a for a in bits] + [base ^ a ^ b for a in bits for b in bits if a < b], np.uint64))
+    a, b, _ = simhash.block_links(simhash.grow(crowd), crowd, 2)
+    assert len(a) == len(crowd) - 1 and len(set(b.tolist())) == 1
+    same = np.array([0], np.uint64)
+    assert len(simhash.block_links(simhash.grow(same), same, 2)[0]) == 0
+    assert simhash.walk(simhash.grow(same[:0]), crowd[:3], 2, None).tolist() == [0, 0, 0]
+
+
+def test_whole_query_equals_plain_version(spark):
+    from tabkit.llm import queries
+    docs = {r["doc_id"]: plain_print(r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    low = plain_components(sorted(set(docs.values())), lambda a, b: (a ^ b).bit_count() <= 2)
+    first = {}
+    for doc, fp in docs.items():
+        first[low[fp]] = min(doc, first.get(low[fp], doc))
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op7_simhash(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {doc: (f"{fp:016x}", first[low[fp]]) for doc, fp in docs.items()}
 
 
 def test_near_duplicates(spark):
@@ -356,3 +395,76 @@ def test_quality_edges(spark):
     assert {r["quality_score"] for r in quality.fit(docs, labels, ["quality"]).score(docs).collect()} == {1.0}
     assert {r["quality_score"] for r in quality.fit(docs, labels.limit(0), ["quality"]).score(docs).collect()} == {0.5}
     assert quality.fit(docs.limit(0), labels, ["quality"]).score(docs.limit(0)).count() == 0
+
+
+# hostile and extreme inputs of the archive and of chat windows
+
+def test_hostile_urls_and_repeated_ids_leave_the_archive_whole(spark):
+    big = "<p>" + "y" * 150
+    bad = [
+        "http://a/ WARC-Refers-To: <urn:record:77>", "http://a/ WARC-Payload-Digest: sha256:" + "0" * 64, "x\r\nWARC-Type: revisit\r\n\r\n",
+        "x\x85WARC-Type: revisit", "x \x0b\x0c\x00y", "퟿\U0001F600 %0D%0A", "", " ", None, "WARC-Type: revisit",
+    ]
+    rows = [(i, url, f"{big}{i}") for i, url in enumerate(bad)] + [(3, "again", f"{big}3"), (3, "other", big), (40, "copy", f"{big}3"), (None, "none", f"{big}3"), (None, "n2", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = shared_folder(spark, "warc-test")
+    warc.write_archive(df, folder, "page_id", "html", "url")
+    read = warc.read_archive(spark, folder).withColumn("record", warc.record_bytes()).collect()
+    assert len(read) == len(rows) and len({r["record_name"] for r in read}) == len(rows)
+    names = {r["record_name"]: r for r in read if r["record_name"]}
+    for r in read:
+        head = bytes(r["header"]).split(b"\r\n\r\n")[0].decode()
+        assert sum(line.startswith("WARC-Type") for line in head.splitlines()) == 1
+        assert len(head.splitlines()) == len(head.split("\r\n")) and sha(bytes(r["payload"])) == r["payload_digest"]
+        if r["record_type"] == "revisit":
+            pointed = re.search(r"WARC-Refers-To: <urn:record:(.*)>", head)[1]
+            assert names[pointed]["payload_digest"] == r["payload_digest"] and r["refers_to"] == "3"
+    assert sorted(str(r["record_id"]) for r in read if r["record_type"] == "revisit") == ["40", "None"]
+
+
+def test_archive_of_nothing_and_of_a_long_payload_and_text_ids(spark):
+    folder = shared_folder(spark, "warc-test")
+    warc.write_archive(spark.createDataFrame([], "i long, u string, h string"), folder, "i", "h", "u")
+    assert warc.read_archive(spark, folder).count() == 0
+    folder = shared_folder(spark, "warc-test")
+    rows = [("a.b>\r\nc", "u", "x" * 3_000_000), ("é", "u", "x" * 3_000_000)]
+    warc.write_archive(spark.createDataFrame(rows, "i string, u string, h string"), folder, "i", "h", "u")
+    found = {r["record_id"]: (r["record_type"], r["payload_bytes"]) for r in warc.read_archive(spark, folder).collect()}
+    assert found == {"a.b>\r\nc": ("response", 3_000_000), "é": ("revisit", 3_000_000)}
+
+
+def test_long_system_turns_do_not_multiply(spark):
+    rows = [(1, 0, "system", "s" * 6000)] + [(1, i, "assistant" if i % 2 == 0 else "user", "short text") for i in range(1, 41)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(len(r["text"]) for r in made) < 2 * sum(len(r[3]) for r in rows) + 30 * len(rows)
+    assert sum(r["text"].count("s" * 6000) for r in made) == 1
+    later = [r for r in made if r["window"] > 0]
+    assert all(len(r["text"]) / 4 < 1024 for r in later)
+
+
+def test_zero_has_one_sign(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [-0.0, 1.0]), (2, [3.0, 3.0])], "vec_id long, e array<double>")
+    index = vectors.build_index(df, "vec_id", "e")
+    found = vectors.search(index, df.filter("vec_id = 0"), "vec_id", "e", k=20).collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(2, 3.0), (1, 0.0)]
+
+
+def test_common_words_beside_a_notice_count_alike_at_every_size(spark):
+    for n in (60, 600):
+        rows = [(i, "src/a.py" if i else "LICENSE", "plain words of project files " + str(i)) for i in range(n)] + [(n, "lib/LICENSE", "This project is released under the MIT License.")]
+        found = licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).filter(f"doc_id = {n}").first()
+        assert (found["licence"], found["basis"]) == ("MIT", "own") and 0.8 < found["cosine"] < 1
+
+
+def test_two_licences_of_equal_cosine_and_a_crowded_directory(spark, monkeypatch):
+    monkeypatch.setattr(licences, "BROADCAST_DIRS", -1)
+    both = "Licensed under CC BY 4.0.\nThis work is licensed under a Creative Commons Attribution 4.0 International License."
+    rows = [(1, "a/LICENSE", both)] + [(10 + i, "a/f.txt", f"text {i}") for i in range(300)] + [(2, None, "x"), (3, "b/c/x.txt", None)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert len(found) == len(rows) and {r["licence"] for r in found if r["path"] == "a/f.txt"} == {"CC-BY-4.0"}
+    assert {(r["doc_id"], r["basis"]) for r in found if r["doc_id"] in (2, 3)} == {(2, "none"), (3, "none")}
+
+
+def test_lines_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert lines.apply_bitmaps(empty, lines.keep_bitmaps(empty)).count() == 0
