@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabkit.functions.kinds import NESTED, TEXT, col, kind_of, normalise_nulls
+from tabkit.sources import quoted
 
 # Order in which encodings are tried. Fixed values.
 ENCODINGS = ("utf-8", "latin1", "iso-8859-1", "cp1252")
@@ -88,8 +89,8 @@ def read_csv(
     Fields that equal one of ``missing`` are null before types are judged, so a numeric column with ``NA`` stays
     numeric. Under a given schema, a field that is not of its column's type is null. A row with a wrong number of
     fields is an error; ``mode="PERMISSIVE"`` fills short rows with nulls and cuts long ones. Unless
-    ``multi_line`` is given, the lines are searched for quoted line breaks; only files with some are read whole by
-    one task each, others are split.
+    ``multi_line`` is given, the lines are searched for quoted line breaks; files with some are split like others, after
+    a pass that finds where records start (``tabkit.sources.quoted``).
     """
     encoding = detect_encoding(spark, path, encodings)
     if multi_line is None:
@@ -103,9 +104,13 @@ def read_csv(
     )
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if schema is not None:
-        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
-    raw = reader.csv(path)
+    if multi_line:
+        names = reader.csv(path).columns if schema is None else [f.name for f in schema.fields]
+        raw = quoted.read(spark, path, names, _JAVA_NAMES.get(encoding.lower(), encoding), mode)
+    else:
+        if schema is not None:
+            reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
+        raw = reader.csv(path)
     texts = raw.select(*[F.when(~col(c).isin(list(missing)), col(c)).alias(c) for c in raw.columns]) if missing else raw
     schema = _inferred(texts) if schema is None else schema
     return normalise_nulls(texts.select(*[col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]))
