@@ -169,13 +169,13 @@ def _best_split(table: str, g: str, h: str) -> str:
     """The best split of ``table`` (x, y, and the mean b of y) by gradients and hessians."""
     return f"""v AS (SELECT x, sum({g}) AS g, sum({h}) AS h FROM {table} GROUP BY x),
 c AS (SELECT x, sum(g) OVER (ORDER BY x) AS gl, sum(h) OVER (ORDER BY x) AS hl, sum(g) OVER () AS ga, sum(h) OVER () AS ha FROM v),
-s AS (SELECT x AS at, -gl / (hl + 1) AS low, -(ga - gl) / (ha - hl + 1) AS high FROM c WHERE hl >= 1 AND ha - hl >= 1
+s AS (SELECT x AS cut_at, -gl / (hl + 1) AS low, -(ga - gl) / (ha - hl + 1) AS high FROM c WHERE hl >= 1 AND ha - hl >= 1
       ORDER BY gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) DESC, x LIMIT 1)"""
 
 
 _SPLIT = f"""WITH t AS (SELECT p_size AS x, {_WORTH}::DOUBLE AS y, avg({_WORTH}::DOUBLE) OVER () AS b FROM part),
 {_best_split("t", "b - y", "1.0")}
-SELECT round(b + 0.1 * CASE WHEN x <= at THEN low ELSE high END, 6) AS prediction, max(x) AS to_size, count(*) AS n FROM t, s GROUP BY 1"""
+SELECT round(b + 0.1 * CASE WHEN x <= cut_at THEN low ELSE high END, 6) AS prediction, max(x) AS to_size, count(*) AS n FROM t, s GROUP BY 1"""
 
 
 def _stump(spark, d):
@@ -191,12 +191,12 @@ _STUMP = f"""t AS (SELECT p_size AS x, {_BULKY} AS bulky, p_partkey FROM part),
 m AS (SELECT *, CASE bulky WHEN 'yes' THEN 1.0 ELSE 0.0 END AS y,
       row_number() OVER (PARTITION BY bulky ORDER BY md5('42|' || p_partkey)) <= round(count(*) OVER (PARTITION BY bulky) * 0.2) AS is_test FROM t),
 r AS (SELECT *, avg(y) OVER () AS b FROM m WHERE NOT is_test), {_best_split("r", "b - y", "b * (1 - b)")},
-z AS (SELECT bulky, y, 1 / (1 + exp(-(ln(b / (1 - b)) + CASE WHEN x <= at THEN low ELSE high END))) AS score
+z AS (SELECT bulky, y, 1 / (1 + exp(-(ln(b / (1 - b)) + CASE WHEN x <= cut_at THEN low ELSE high END))) AS score
       FROM (SELECT * FROM m WHERE is_test), s, (SELECT any_value(b) AS b FROM r))"""
 _JUDGED = f"(WITH {_STUMP} SELECT bulky AS label, CASE WHEN score > 0.5 THEN 'yes' ELSE 'no' END AS prediction FROM z)"
 _ROC = f"""WITH {_STUMP}, k AS (SELECT round(score, 9) AS threshold, sum(y) AS pos, sum(1 - y) AS neg FROM z GROUP BY 1),
-c AS (SELECT threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM k WINDOW w AS (ORDER BY threshold DESC)), n AS (SELECT sum(pos) AS p, sum(neg) AS n FROM k)
-SELECT round(threshold, 6) AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM c, n UNION ALL SELECT NULL, 0, 0"""
+e AS (SELECT threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM k WINDOW w AS (ORDER BY threshold DESC)), n AS (SELECT sum(pos) AS p, sum(neg) AS n FROM k)
+SELECT round(threshold, 6) AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM e, n UNION ALL SELECT NULL, 0, 0"""
 
 CHECKS = {
     "train_models": (_runs, _RUNS),
