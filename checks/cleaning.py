@@ -123,6 +123,26 @@ def _rounded(df, columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _handled(spark, d):
+    """Outliers removed and capped, with the number that was handled and what is left."""
+    rows = load(spark, d, "events").select("event_id", "value")
+    out = []
+    for method in ("remove", "cap"):
+        cleaned, n = H.handle_outliers(rows, method, ["value"])
+        left = cleaned.agg(F.count("*"), F.round(F.min("value"), 6), F.round(F.max("value"), 6)).first()
+        out.append((method, int(n), *left))
+    return spark.createDataFrame(out, "method string, handled long, n_rows long, low double, high double")
+
+
+_HANDLED_SQL = """
+WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events),
+f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q),
+t AS (SELECT value, value < lo OR value > hi AS far, least(greatest(value, lo), hi) AS cut FROM events, f)
+SELECT 'remove' AS method, count(*) FILTER (far) AS handled, count(*) FILTER (NOT far) AS n_rows,
+       round(min(value) FILTER (NOT far), 6) AS low, round(max(value) FILTER (NOT far), 6) AS high FROM t
+UNION ALL SELECT 'cap', count(*) FILTER (far), count(*), round(min(cut), 6), round(max(cut), 6) FROM t
+"""
+
 CHECKS = {
     "detect_unwanted": (
         lambda s, d: H.detect_unwanted(orders_nulls(s, d), "o_totalprice"),
@@ -220,6 +240,17 @@ CHECKS = {
         f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, p.code AS o_orderpriority, rebate, batch
             FROM {ORDERS_NULLS} t JOIN {_codes("o_orderpriority", ORDERS_NULLS)} p ON coalesce(t.o_orderpriority, 'nan') = p.v""",
     ),
+    "one_hot_long": (
+        lambda s, d: E.one_hot_long(load(s, d, "documents").select("doc_id", "text", "lang", "source"), "doc_id"),
+        union(
+            f"""SELECT doc_id, '{c}' AS column_name, (x.code + {before})::BIGINT AS position FROM documents t JOIN {_codes(c, "documents")} x ON t.{c} = x.v"""
+            for c, before in (
+                ("text", "0"), ("lang", "(SELECT count(DISTINCT text) FROM documents)"),
+                ("source", "(SELECT count(DISTINCT text) + count(DISTINCT lang) FROM documents)"),
+            )
+        ),
+    ),
+    "handled_outliers": (_handled, _HANDLED_SQL),
     "label_encode_texts": (
         lambda s, d: E.label_encode(load(s, d, "documents"), ["text", "lang"]).select("doc_id", "text", "lang"),
         f"""SELECT doc_id, x.code AS text, l.code AS lang FROM documents t
@@ -241,24 +272,24 @@ CHECKS = {
     ),
     "standard_scale": (
         lambda s, d: _rounded(
-            E.standard_scale(lineitem_nulls(s, d).withColumn("batch", F.lit(1.0)), ["l_quantity", "l_extendedprice", "l_tax", "batch"]),
-            ["l_quantity", "l_extendedprice", "l_tax"],
+            E.standard_scale(lineitem_nulls(s, d).withColumn("batch", F.lit(1.0)), [*LINEITEM_NUMERIC, "batch"]),
+            LINEITEM_NUMERIC,
         ),
         _replace_sql(
             f"(SELECT *, 0.0::DOUBLE AS batch FROM {LINEITEM_NULLS})",
             [
                 f"round(({c} - (SELECT avg({c}) FROM t)) / (SELECT stddev_pop({c}) FROM t), 6) AS {c}"
-                for c in ("l_quantity", "l_extendedprice", "l_tax")
+                for c in LINEITEM_NUMERIC
             ],
         ),
     ),
     "minmax_scale": (
-        lambda s, d: _rounded(E.minmax_scale(lineitem_nulls(s, d), ["l_quantity", "l_extendedprice"]), ["l_quantity", "l_extendedprice"]),
+        lambda s, d: _rounded(E.minmax_scale(lineitem_nulls(s, d), LINEITEM_NUMERIC), LINEITEM_NUMERIC),
         _replace_sql(
             LINEITEM_NULLS,
             [
                 f"round(({c} - (SELECT min({c}) FROM t)) / (SELECT max({c}) - min({c}) FROM t), 6) AS {c}"
-                for c in ("l_quantity", "l_extendedprice")
+                for c in LINEITEM_NUMERIC
             ],
         ),
     ),

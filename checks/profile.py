@@ -238,8 +238,8 @@ CHECKS = {
         histogram_sql("events", ["value"]),
     ),
     "histogram_all_columns": (
-        lambda s, d: rounded_edges(P.histogram(lineitem_nulls(s, d), ["l_quantity", "l_extendedprice", "l_discount"])),
-        histogram_sql(LINEITEM_NULLS, ["l_quantity", "l_extendedprice", "l_discount"]),
+        lambda s, d: rounded_edges(P.histogram(lineitem_nulls(s, d), LINEITEM_NUMERIC)),
+        histogram_sql(LINEITEM_NULLS, LINEITEM_NUMERIC),
     ),
     "correlation_matrix": (
         lambda s, d: P.correlation_matrix(_lineitem_const(s, d)).withColumn("corr", F.round("corr", 6)),

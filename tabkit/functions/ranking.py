@@ -9,8 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,23 +96,30 @@ def attach(df: DataFrame, table: DataFrame, groups: Sequence[str], columns: Sequ
     return df.join(settled(right), condition, "left").drop(*[f"_{g}" for g in groups])
 
 
+def _ranged(df: DataFrame, order: Sequence[Column], rows: int, slice_rows: int) -> DataFrame:
+    """The rows in stored slices that follow one another in ``order``; ``_slice`` is the place of a row's slice. There are
+    as many slices as the size of the table asks for, and the whole order decides where they are cut."""
+    slices = max(2, -(-rows // max(slice_rows, 1)) * 2)
+    ranged = df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
+    return cut_lineage(ranged)
+
+
+def _starts(sliced: DataFrame, groups: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Per group and slice what the slices before it add up to: one small row each, joined by the place of the slice."""
+    totals = sliced.groupBy(*groups, "_slice").agg(*[total.alias(name) for name, total in sums.items()])
+    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*groups, "_slice", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in sums])
+
+
 def with_position(df: DataFrame, order: Sequence[str], name: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order`` (unique rows expected)."""
-    if df.count() <= one_task_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*[col(o) for o in order])).cast("long") - 1)
-    # Range partitions hold consecutive runs of the order. Once they are on reliable storage,
-    # monotonically_increasing_id() = (partition << 33) + place in the partition.
-    placed = cut_lineage(
-        df.repartitionByRange(*[col(o) for o in order]).sortWithinPartitions(*[col(o) for o in order])
-    ).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = placed.groupBy(part.alias("part")).count().orderBy("part").collect()
-    starts, total = [], 0
-    for r in sizes:
-        starts += [F.lit(r["part"]).cast("long"), F.lit(total).cast("long")]
-        total += r["count"]
-    offset = F.element_at(F.create_map(*starts), part)
-    return placed.withColumn(name, offset + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    n, by = df.count(), [col(o) for o in order]
+    if n <= one_task_rows:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*by)).cast("long") - 1)
+    sliced = _ranged(df, by, n, one_task_rows)
+    placed = attach(sliced, _starts(sliced, [], {"_start": F.count(F.lit(1))}), ["_slice"], ["_start"])
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy(*by))
+    return placed.withColumn(name, F.col("_start") + place.cast("long") - 1).drop("_start", "_slice")
 
 
 def running_totals(
@@ -123,47 +128,31 @@ def running_totals(
     sums: dict[str, str],
     previous: dict[str, str] | None = None,
     one_task_rows: int = ONE_TASK_ROWS,
-    seed: int = 7,
 ) -> DataFrame:
     """Running sums in descending order of the numeric, unique ``key``.
 
     ``sums`` maps a column to the name of its running sum (including the row); ``previous`` maps a column
-    to the name of the running sum before the row. A large table is cut at sampled keys: totals per slice
+    to the name of the running sum before the row. A large table is cut into slices of the order: totals per slice
     give each slice its start, and the windows run inside the slices.
     """
     n = df.count()
-    wanted = set(sums) | set(previous or {})
+    wanted = sorted(set(sums) | set(previous or {}))
+    starts = {c: F.lit(0) for c in wanted}
     if n <= one_task_rows:
-        sliced, window = df, Window.orderBy(F.desc(key))
-        starts = {c: F.lit(0) for c in wanted}
+        out, window = df, Window.orderBy(F.desc(key))
     else:
-        slices = min(4096, max(2, n // one_task_rows * 2))
-        drawn = df.select(F.col(key).cast("double").alias("k")).sample(min(1.0, slices * 50 / n), seed=seed).toPandas()
-        drawn = drawn["k"].dropna()
-        inner = np.unique(np.quantile(drawn, np.linspace(0, 1, slices + 1)[1:-1])) if len(drawn) else np.array([0.0])
-        splits = [-math.inf, *[float(x) for x in inner], math.inf]
-        keyed = df.withColumn("_k", F.col(key).cast("double"))
-        cut = Bucketizer(splits=splits, inputCol="_k", outputCol="_slice", handleInvalid="keep").transform(keyed)
-        # a null key comes last in descending order, so it has the lowest slice
-        sliced = cut.withColumn("_slice", F.when(F.col("_k").isNull(), F.lit(-1.0)).otherwise(F.col("_slice"))).drop("_k")
-        totals = sliced.groupBy("_slice").agg(*[F.sum(c).alias(c) for c in sorted(wanted)])
-        totals = totals.orderBy(F.desc("_slice")).collect()
-        starts = {}
-        for c in wanted:
-            entries, total = [], 0
-            for r in totals:
-                entries += [F.lit(r["_slice"]), F.lit(total)]
-                total += r[c]
-            starts[c] = F.element_at(F.create_map(*entries), F.col("_slice"))
+        sliced = _ranged(df, [F.desc(key)], n, one_task_rows)
+        table = _starts(sliced, [], {f"_before_{c}": F.sum(c) for c in wanted})
+        out = attach(sliced, table, ["_slice"], [f"_before_{c}" for c in wanted])
+        starts = {c: F.col(f"_before_{c}") for c in wanted}
         window = Window.partitionBy("_slice").orderBy(F.desc(key))
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
-    out = sliced
     for c, name in sums.items():
         out = out.withColumn(name, starts[c] + F.sum(c).over(upto))
     for c, name in (previous or {}).items():
         out = out.withColumn(name, starts[c] + F.coalesce(F.sum(c).over(before), F.lit(0)))
-    return out.drop("_slice")
+    return out.drop("_slice", *[f"_before_{c}" for c in wanted])
 
 
 def rank_within(
@@ -173,28 +162,17 @@ def rank_within(
     tie: Sequence[str],
     name: str,
     one_task_rows: int = ONE_TASK_ROWS,
-    seed: int = 7,
 ) -> DataFrame:
     """1-based rank of each row in its group by descending score.
 
-    On a large table a group is ranked in slices of the score, so a group with a third of all rows does
-    not end in one task: counts per group and slice give each slice its first rank.
+    A large table is cut into slices of the whole order, ties included, so neither a group with a third of all rows
+    nor a million equal scores end in one task: counts per group and slice give each slice its first rank.
     """
     n = df.count()
     order = [F.col(score).desc_nulls_last(), *[F.col(t) for t in tie]]
     if n <= one_task_rows:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    slices = min(4096, max(2, n // one_task_rows * 2))
-    drawn = df.select(F.col(score).cast("double").alias("k")).dropna().sample(min(1.0, slices * 50 / n), seed=seed)
-    found = drawn.toPandas()["k"].to_numpy()
-    inner = np.unique(np.quantile(found, np.linspace(0, 1, slices + 1)[1:-1])) if len(found) else np.array([0.0])
-    splits = [-math.inf, *[float(x) for x in inner], math.inf]
-    keyed = df.withColumn("_k", F.col(score).cast("double"))
-    sliced = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(keyed).drop("_k")
-    sliced = sliced.withColumn("_slice", F.when(F.col(score).isNull(), -1.0).otherwise(F.col("_b"))).drop("_b")
-    counted = sliced.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    placed = attach(sliced, starts, [*groups, "_slice"], ["_start"])
+    sliced = _ranged(df, [*[F.col(g) for g in groups], *order], n, one_task_rows)
+    placed = attach(sliced, _starts(sliced, list(groups), {"_start": F.count(F.lit(1))}), [*groups, "_slice"], ["_start"])
     place = F.row_number().over(Window.partitionBy(*groups, "_slice").orderBy(*order))
     return placed.withColumn(name, (F.col("_start") + place).cast("int")).drop("_start", "_slice")

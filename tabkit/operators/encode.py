@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.functions.kinds import NESTED, as_double, col, kinds, numeric_columns, text_columns
+from tabkit.functions.kinds import as_double, col, numeric_columns, text_columns
 from tabkit.functions.ranking import BROADCAST_ROWS, fetched, with_position
 from tabkit.functions.stats import fingerprint, finite_or_null
-from tabkit.session import cut_lineage
+from tabkit.session import cut_lineage, shared_table
 
 BROADCAST_BYTES = 64 << 20
 SORTED_TEXTS = 100_000
 HOT_VALUES = 1000
-SALTS = 1024
 
 
 def join_dictionary(
@@ -23,29 +23,28 @@ def join_dictionary(
 ) -> DataFrame:
     """Left join ``dictionary(value, code, n)`` and name the code.
 
-    A small dictionary, by its rows and its bytes, is broadcast. A large one is split: its most frequent
-    values are broadcast, so the rows of a hot value never meet in one task; the rest join by shuffle. Rows
-    already coded travel under salts that match nothing; the salt comes from the row and its partition, so
-    copies of one row are spread and a repeated task places rows alike.
+    A small dictionary, by its rows and its bytes, is broadcast. A large one is split: its most frequent values are
+    broadcast, and rows that have one, or none, are coded where they are. Only the other rows are shuffled; none of
+    their values is frequent, so none can crowd a task.
     """
     keyed = df.withColumn("_v", column)
     length = F.octet_length(F.concat(F.col("value").cast("string"), F.col("code").cast("string")))
     size, volume = dictionary.agg(F.count(F.lit(1)), F.sum(length)).first()
+    found = dictionary.select(F.col("value").alias("_w"), F.col("code").alias(name))
     if size <= broadcast_rows and (volume or 0) <= BROADCAST_BYTES:
-        found = dictionary.select(F.col("value").alias("_w"), F.col("code").alias(name))
         return keyed.join(F.broadcast(found), F.col("_v") == F.col("_w"), "left").drop("_v", "_w")
-    hot = dictionary.orderBy(F.desc("n"), "value").limit(HOT_VALUES)
-    hot = hot.select(F.col("value").alias("_w"), F.col("code").alias("_hot"))
-    keyed = keyed.join(F.broadcast(hot), F.col("_v") == F.col("_w"), "left").drop("_w")
-    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[col(c) for c in df.columns if kinds(df)[c] != NESTED]), F.lit(SALTS))
-    settled = F.col("_hot").isNotNull() | F.col("_v").isNull()
-    place = F.when(settled, salt + 1).otherwise(F.lit(0).cast("long"))
-    # one key for value and salt: as a condition of its own the salt would not deal out the rows
-    keyed = keyed.withColumn("_s", F.struct(F.when(~settled, F.col("_v")).alias("v"), place.alias("s")))
-    first = F.struct(F.col("value").alias("v"), F.lit(0).cast("long").alias("s"))
-    cold = dictionary.select(first.alias("_w"), F.col("code").alias("_cold"))
-    joined = keyed.join(cold, F.col("_s") == F.col("_w"), "left")
-    return joined.withColumn(name, F.coalesce("_hot", "_cold")).drop("_v", "_w", "_hot", "_cold", "_s")
+    hot = dictionary.orderBy(F.desc("n"), "value").limit(HOT_VALUES).select(F.col("value").alias("_w"), F.col("code").alias(name))
+    hot = F.broadcast(shared_table(hot, "hot-values"))
+    coded = keyed.join(hot, F.col("_v") == F.col("_w"), "left")
+    settled = coded.where(F.col("_w").isNotNull() | F.col("_v").isNull())
+    cold = keyed.join(hot, F.col("_v") == F.col("_w"), "left_anti").where(F.col("_v").isNotNull())
+    rest = cold.join(found.join(hot.select(F.col("_w").alias("_hot")), F.col("_w") == F.col("_hot"), "left_anti"), F.col("_v") == F.col("_w"), "left")
+    return settled.unionByName(rest).drop("_v", "_w")
+
+
+def _stored_between(df: DataFrame, dictionary: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as it is, or stored where the next dictionary is a large one: each of those reads its input twice."""
+    return shared_table(df, "coded") if dictionary.limit(broadcast_rows + 1).count() > broadcast_rows else df
 
 
 def _coded(seen: DataFrame, *order: str) -> DataFrame:
@@ -80,7 +79,8 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None, target: st
     source = df
     for i, c in enumerate(c for c in columns if c != target and c in df.columns):
         text = F.coalesce(col(c).cast("string"), F.lit("nan"))
-        df = join_dictionary(df, fingerprint(text), label_dictionary(source, c), f"_code{i}")
+        dictionary = label_dictionary(source, c)
+        df = join_dictionary(_stored_between(df, dictionary) if i else df, fingerprint(text), dictionary, f"_code{i}")
         codes[c] = f"_code{i}"
     return _replace(df, codes)
 
@@ -126,6 +126,29 @@ def one_hot(
     return df.select(*kept, *flags)
 
 
+def one_hot_long(
+    df: DataFrame, key: str | Sequence[str], columns: Sequence[str] | None = None, target: str | None = None, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """(key, column_name, position): the ones of a one-hot table, one row per row and column that has a value.
+
+    ``position`` numbers the values of all columns in the order of ``columns`` and, within a column, of its sorted texts.
+    The dictionaries stay distributed, so the number of values has no limit; null gives no row.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    columns = [c for c in (list(columns) if columns is not None else text_columns(df)) if c != target and c not in key]
+    parts, start = [], 0
+    for c in columns:
+        text = df.where(col(c).isNotNull()).select(*[col(k) for k in key], col(c).cast("string").alias("_text"))
+        seen = text.groupBy(F.col("_text").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        dictionary = _coded(seen, "value")
+        coded = join_dictionary(text, fingerprint(F.col("_text")), dictionary, "_code", broadcast_rows)
+        parts.append(coded.select(*[col(k) for k in key], F.lit(c).alias("column_name"), (F.col("_code") + F.lit(start)).alias("position")))
+        start += dictionary.count()
+    if not parts:
+        return df.select(*[col(k) for k in key], F.lit("").alias("column_name"), F.lit(0).cast("long").alias("position")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def factorize(df: DataFrame, columns: str | Sequence[str], order_key: str | Sequence[str]) -> DataFrame:
     """Replace values by 0, 1, ... in order of first appearance along ``order_key``; null becomes -1."""
     columns = [columns] if isinstance(columns, str) else list(columns)
@@ -138,7 +161,8 @@ def factorize(df: DataFrame, columns: str | Sequence[str], order_key: str | Sequ
             .groupBy(col(c).cast("string").alias("value"))
             .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         )
-        df = join_dictionary(df, fingerprint(col(c).cast("string")), _coded(seen, "first", "value"), f"_code{i}")
+        dictionary = _coded(seen, "first", "value")
+        df = join_dictionary(_stored_between(df, dictionary) if i else df, fingerprint(col(c).cast("string")), dictionary, f"_code{i}")
         df = df.withColumn(f"_code{i}", F.coalesce(F.col(f"_code{i}"), F.lit(-1).cast("long")))
         codes[c] = f"_code{i}"
     return _replace(df, codes)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +19,7 @@ from tabkit.functions.quantiles import quantiles
 from tabkit.functions.ranking import hash_cutoffs, row_hash
 from tabkit.functions.rules import findings, percent
 from tabkit.functions.stats import finite_or_null, most_frequent, number, present, value_counts
+from tabkit.session import shared_table
 
 NATIVE_CORRELATION_PAIRS = 16
 
@@ -136,6 +137,10 @@ def _comparable(field: T.StructField) -> Column:
     return F.to_json(F.struct(value)) if "map<" in kind or "variant" in kind else value
 
 
+#: Repeated hashes that are broadcast, eight bytes each.
+BROADCAST_HASHES = 1_000_000
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows, binary and nested columns included; null equals null.
 
@@ -147,12 +152,11 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     rows = df.select(*[_comparable(f).alias(c) for f, c in zip(df.schema.fields, names)])
     absent = F.concat(*[F.when(col(c).isNull(), "0").otherwise("1") for c in names]) if names else F.lit("")
     hashed = rows.withColumn("_h", F.xxhash64(absent, *[col(c) for c in names]))
-    repeated = hashed.groupBy("_h").count().where("count > 1").select("_h")
+    repeated = shared_table(hashed.groupBy("_h").count().where("count > 1").select("_h"), "repeated-hashes")
     few = repeated.count()
     if few == 0:
         return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("duplicate_rows"))
-    if few <= 1_000_000:
-        rows = hashed.join(F.broadcast(repeated), "_h", "left_semi").drop("_h")
+    rows = hashed.join(F.broadcast(repeated) if few <= BROADCAST_HASHES else repeated, "_h", "left_semi").drop("_h")
     copies = rows.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("_n"))
     return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
@@ -311,46 +315,77 @@ def _correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return data.agg(_pair_rows([(a, b, corr(a, b)) for a, b in pairs]).alias("a")).select(F.inline("a"))
 
 
+#: Tasks whose matrices are added up in one place before the sums meet.
+GRAM_FAN = 32
+
+
+def _packed_gram(total: np.ndarray) -> bytes:
+    """Counts, sums, sums of squares and products (4, p, p) without what symmetry repeats."""
+    upper = np.triu_indices(total.shape[1])
+    return np.concatenate([total[0][upper], total[3][upper], total[1].ravel(), total[2].ravel()]).tobytes()
+
+
+def _unpacked_gram(packed: bytes, p: int) -> np.ndarray:
+    upper, flat = np.triu_indices(p), np.frombuffer(packed)
+    total, half = np.zeros((4, p, p)), len(upper[0])
+    for place, part in ((0, flat[:half]), (3, flat[half:2 * half])):
+        total[place][upper] = part
+        total[place] = np.triu(total[place]) + np.triu(total[place], 1).T
+    total[1], total[2] = flat[2 * half:2 * half + p * p].reshape(p, p), flat[2 * half + p * p:].reshape(p, p)
+    return total
+
+
 def _blocked_correlations(data: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
     """Many pairs: each task multiplies its rows into one small matrix of sums; one pass for all pairs.
 
-    Hundreds of aggregates per row do not fit one compiled method; a matrix product per Arrow batch is
-    several times faster and needs one scan for any number of columns.
+    Hundreds of aggregates per row do not fit one compiled method; a matrix product per Arrow batch is several times
+    faster and needs one scan for any number of columns. A task sends one row, its packed matrices, and these are
+    added up in two levels.
     """
     summary = data.agg(
         *[f(c).alias(f"{f.__name__}_{c}") for c in data.columns for f in (F.avg, F.min, F.max)]
     ).first()
     centre = np.array([summary[f"avg_c{i}"] or 0.0 for i in range(len(names))])
-    constant = [summary[f"min_c{i}"] == summary[f"max_c{i}"] for i in range(len(names))]
-    p = len(names)
+    varies = np.array([summary[f"min_c{i}"] != summary[f"max_c{i}"] for i in range(len(names))])
+    p, at = len(names), [(names.index(a), names.index(b)) for a, b in pairs]
+    packed_type = pa.schema([("slot", pa.int32()), ("sums", pa.binary())])
 
     def sums(batches):
-        total = np.zeros((4, p, p))
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float, na_value=np.nan)
+        total, slot = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slot = batch.column("slot")[0].as_py()
+            columns = [batch.column(f"c{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(p)]
+            x = np.column_stack(columns)
             there = ~np.isnan(x)
             x = np.where(there, x - centre, 0.0)
             m = there.astype(float)
-            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-        i, j = np.divmod(np.arange(p * p), p)
-        flat = total.reshape(4, p * p)
-        yield pd.DataFrame({"i": i, "j": j, "n": flat[0], "sx": flat[1], "sxx": flat[2], "sxy": flat[3]})
-
-    schema = "i int, j int, n double, sx double, sxx double, sxy double"
-    total = data.mapInPandas(sums, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
-    other = total.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
-    wanted = [(names.index(a), names.index(b), a, b) for a, b in pairs]
-    asked = data.sparkSession.createDataFrame(wanted, "i int, j int, col_a string, col_b string")
-    varies = F.array(*[F.lit(not c) for c in constant])
-    n = F.col("n")
-    spread = (F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)) * (
-        F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
-    )
-    r = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n), F.sqrt(F.greatest(spread, F.lit(0.0))))
-    kept = F.element_at(varies, F.col("i") + 1) & F.element_at(varies, F.col("j") + 1)
-    return asked.join(total, ["i", "j"], "left").join(other, ["i", "j"], "left").select(
-        "col_a", "col_b", F.when(kept, r).alias("corr")
-    )
+            part = np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"slot": [slot], "sums": [_packed_gram(total)]}, schema=packed_type)
+
+    def added(parts: pa.Table) -> pa.Table:
+        total = sum(_unpacked_gram(held, p) for held in parts.column("sums").to_pylist())
+        return pa.Table.from_pydict({"slot": [0], "sums": [_packed_gram(total)]}, schema=packed_type)
+
+    def correlated(parts: pa.Table) -> pa.Table:
+        n, sx, sxx, sxy = sum(_unpacked_gram(held, p) for held in parts.column("sums").to_pylist())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = (sxx - sx * sx / n) * (sxx - sx * sx / n).T
+            r = (sxy - sx * sx.T / n) / np.sqrt(np.maximum(spread, 0))
+        known = np.isfinite(r) & varies[:, None] & varies[None, :]
+        rows = [{"col_a": a, "col_b": b, "corr": float(r[i, j]) if known[i, j] else None} for (a, b), (i, j) in zip(pairs, at, strict=True)]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("col_a", pa.string()), ("col_b", pa.string()), ("corr", pa.float64())]))
+
+    kind = "slot int, sums binary"
+    parts = data.withColumn("slot", F.spark_partition_id() % GRAM_FAN).mapInArrow(sums, kind)
+    few = parts.groupBy("slot").applyInArrow(added, kind)
+    found = few.groupBy("slot").applyInArrow(correlated, "col_a string, col_b string, corr double")
+    if data.isEmpty():
+        return data.sparkSession.createDataFrame([(a, b, None) for a, b in pairs], "col_a string, col_b string, corr double")
+    return found
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ def analyze_target(df: DataFrame, target: str) -> DataFrame:
     A target that is not in the table is an error; a target without values gives the ``error`` column.
     """
     if target not in df.columns:
-        raise ValueError("Target column not found in dataset")
+        raise ValueError(f"there is no column {target!r} to analyse")
     data_type = df.schema[target].dataType
     classes = _per_value(df, target).agg(
         F.count(F.lit(1)).alias("unique_values"),
@@ -99,7 +99,7 @@ def analyze_target(df: DataFrame, target: str) -> DataFrame:
             F.when(classed, severity(top)).alias("imbalance_severity"),
             F.when(~classed, skew_class(F.col("skewness"))).alias("distribution"),
             F.when(classed & F.lit(kind_of(data_type) == NUMERIC), "numeric_classes").alias("note"),
-            F.when(~valid, "Target column has no valid data").alias("error"),
+            F.when(~valid, "every value of the target is missing").alias("error"),
         )
     )
 

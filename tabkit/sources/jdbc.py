@@ -21,7 +21,7 @@ _IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_$]*(\.[A-Za-z_][A-Za-z0-9_$]*){0
 
 def jdbc_url(db_type: str, database: str, host: str | None = None, port: int | None = None) -> str:
     if db_type not in URLS:
-        raise ValueError("Unsupported database type")
+        raise ValueError(f"no driver is known for {db_type!r}")
     if db_type != "SQLite" and not host:
         raise ValueError(f"{db_type} needs a host")
     return URLS[db_type].format(host=host, port=port or DEFAULT_PORTS.get(db_type), database=database)

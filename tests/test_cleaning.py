@@ -161,3 +161,41 @@ def test_ranking_worked_example(spark):
         ("Random Forest", 100), ("XGBoost", 100), ("Decision Tree", 85), ("Logistic Regression", 75),
         ("Support Vector Machine (SVM)", 75), ("K-Nearest Neighbors (KNN)", 50),
     ]
+
+
+def test_rows_of_hot_values_are_not_shuffled(spark, monkeypatch):
+    """The branch of coded rows has no exchange; only rows of other values are dealt out."""
+    monkeypatch.setattr(E, "HOT_VALUES", 1)
+    df = spark.range(0, 900, 1, 4).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("v"), F.col("id"))).alias("t"))
+    dictionary = df.groupBy(F.col("t").alias("value")).agg(F.count("*").alias("n")).withColumn("code", F.xxhash64("value"))
+    joined = E.join_dictionary(df, F.col("t"), dictionary, "code", broadcast_rows=1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    union = plan.index("Union")
+    first = plan[union:].split("\n:- ")[1].split("\n+- ")[0]
+    assert "BroadcastHashJoin" in first and "hashpartitioning" not in first and "hashpartitioning" in plan
+    got = joined.collect()
+    assert len(got) == 900 and {r["t"]: r["code"] for r in got} == {r["value"]: r["code"] for r in dictionary.collect()}
+
+
+def test_long_one_hot_numbers_every_value(spark):
+    rows = [(1, "b", "x"), (2, None, "y"), (3, "a", "x"), (4, "b", None), (4, "c" * 200, "x")]
+    df = spark.createDataFrame(rows, "id long, s string, t string")
+    for limit in (10**6, 1):
+        got = sorted(tuple(r) for r in E.one_hot_long(df, "id", broadcast_rows=limit).collect())
+        assert got == [(1, "s", 1), (1, "t", 3), (2, "t", 4), (3, "s", 0), (3, "t", 3), (4, "s", 1), (4, "s", 2), (4, "t", 3)]
+    assert E.one_hot_long(df.limit(0), "id").count() == 0 and E.one_hot_long(df, "id", []).count() == 0
+    wide = spark.range(3000).select("id", F.concat(F.lit("v"), F.col("id")).alias("s"))
+    assert E.one_hot_long(wide, "id").select("position").distinct().count() == 3000
+
+
+@pytest.mark.parametrize("method", ["remove", "cap"])
+def test_handled_outliers_are_counted(table, method):
+    df = table("events").select("event_id", "value")
+    cleaned, handled = H.handle_outliers(df, method, ["value"])
+    low, high = H.iqr_bounds(df, ["value"])["value"]
+    outside = df.filter((F.col("value") < low) | (F.col("value") > high)).count()
+    assert handled == outside > 0 and cleaned.count() == df.count() - (outside if method == "remove" else 0)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,13 +133,12 @@ def test_boolean_and_date_targets_are_classes(spark):
 
 def test_target_errors(spark):
     df = spark.createDataFrame([(None,)], "t double")
-    assert T.analyze_target(df, "t").first()["error"] == "Target column has no valid data"
-    with pytest.raises(ValueError, match="not found"):
+    assert T.analyze_target(df, "t").first()["error"] == "every value of the target is missing"
+    with pytest.raises(ValueError, match="no column"):
         T.analyze_target(df, "other")
 
 
 def test_adjusted_moments_match_pandas(spark):
-    import pandas as pd
 
     values = [1.0, 2.0, 2.5, 9.0, 30.0]
     found = T.target_statistics(spark.createDataFrame([(v,) for v in values], "t double"), "t", digits=10).first()
@@ -153,3 +153,25 @@ def test_mode_of_long_texts_is_the_text_itself(spark):
     assert (found["most_frequent"], found["frequency"], found["unique_values"]) == (a, 2, 4)
     once = spark.createDataFrame([(b,), (a,), ("zz",)], "t string")
     assert rows(P.categorical_stats(once))[0]["most_frequent"] == a
+
+
+def test_many_columns_correlate_as_numpy_says(spark, monkeypatch):
+    """Two hundred columns with gaps: one row of packed sums per task."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 200)) + rng.normal(size=(400, 1))
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 7] = 2.0
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(200)])).repartition(6)
+    got = P.correlation_matrix(df).toPandas().pivot(index="col_a", columns="col_b", values="corr")
+    expected = pd.DataFrame(x, columns=[f"c{i}" for i in range(200)]).corr()
+    order = expected.columns
+    a, b = got.loc[order, order].to_numpy(dtype=float), expected.to_numpy()
+    assert np.isnan(a[7]).all() and np.allclose(np.delete(np.delete(a, 7, 0), 7, 1), np.delete(np.delete(b, 7, 0), 7, 1), atol=1e-9)
+    p = 5
+    total = np.stack([m + m.T if k in (0, 3) else m for k, m in enumerate(rng.normal(size=(4, p, p)))])
+    assert np.allclose(P._unpacked_gram(P._packed_gram(total), p), total)
+
+
+def test_correlations_of_no_rows(spark):
+    empty = spark.createDataFrame([], ", ".join(f"c{i} double" for i in range(9)))
+    assert P.correlation_matrix(empty).filter("corr IS NOT NULL").count() == 0

@@ -80,3 +80,30 @@ def test_running_totals(mixed, limit):
     got = out.toPandas().sort_values("heavy", ascending=False)
     assert got["upto"].tolist() == got["n"].cumsum().tolist()
     assert (got["upto"] - got["n"]).tolist() == got["before"].tolist()
+
+
+def test_many_equal_scores_are_ranked_in_slices(spark, monkeypatch):
+    """Ties are cut by the tie columns: no slice holds more than its share."""
+    from tabkit.functions import ranking
+    sizes = []
+    stored = ranking.cut_lineage
+
+    def seen(df):
+        out = stored(df)
+        sizes.append([r["count"] for r in out.groupBy("_slice").count().collect()])
+        return out
+
+    monkeypatch.setattr(ranking, "cut_lineage", seen)
+    df = spark.range(0, 60_000, 1, 8).select((F.col("id") % 2).alias("g"), F.lit(1.0).alias("s"), "id")
+    got = ranking.rank_within(df, ["g"], "s", ["id"], "r", one_task_rows=1000)
+    assert got.filter("r != floor(id / 2) + 1").count() == 0
+    assert len(sizes[0]) > 60 and max(sizes[0]) < 3000
+
+
+@pytest.mark.parametrize("limit", [1, 10**6])
+def test_slices_of_one_row_give_the_same_order(spark, limit):
+    df = spark.createDataFrame([(g, s, t) for g in "ab" for s in (None, 1.0, 1.0, 2.0) for t in range(3)], "g string, s double, t int").dropDuplicates()
+    from tabkit.functions.ranking import rank_within
+    got = sorted(tuple(r) for r in rank_within(df, ["g"], "s", ["t"], "r", one_task_rows=limit).select("g", "r", "s", "t").collect())
+    assert [r[1] for r in got] == list(range(1, 10)) * 2
+    assert [r[2] for r in got[:9]] == [2.0] * 3 + [1.0] * 3 + [None] * 3
