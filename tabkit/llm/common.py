@@ -40,12 +40,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def met(left: DataFrame, right: DataFrame, keys: list[str], how: str, broadcast_rows: int) -> DataFrame:
+def met(left: DataFrame, right: DataFrame, keys: list[str], how: str, broadcast_rows: int, weight: Column | None = None) -> DataFrame:
     """``left`` joined with a stored table of one row per key, nulls being equal: broadcast while small, else each of
-    its rows under every salt, so that a key which many rows of ``left`` bear is spread over tasks."""
+    its rows under every salt, so that a key which many rows of ``left`` bear is spread over tasks. ``weight`` counts
+    a row of varying size as several."""
     named = right.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns])
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    if right.count() <= broadcast_rows:
+    rows = right.count() if weight is None else right.agg(F.sum(weight)).first()[0] or 0
+    if rows <= broadcast_rows:
         joined = left.join(F.broadcast(named), same, how)
     else:
         salts = F.explode(F.array(*[F.lit(s).cast("long") for s in range(SALTS)]))

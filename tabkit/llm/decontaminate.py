@@ -9,8 +9,9 @@ spans; a document is contaminated if its hit words reach ``coverage`` of all its
 Before a word is streamed, pairs of neighbouring words are looked up for a whole batch at once: where a pair
 occurs in no item, no longer match can cross it, so the automaton starts anew behind it. That is exact.
 
-Items are read in blocks of bounded size, each with an automaton of its own, and documents pass once per block,
-so the size of the benchmark has no limit. Documents never move between tasks.
+Items are read in blocks of bounded size, each with an automaton of its own, and documents pass once per block, in jobs
+one after another, so the size of the benchmark has no limit and a task holds one automaton at a time. Documents do not
+move between tasks; what later blocks find is joined to them by the digest of the text.
 
 Defined cases: a null or empty text has no words, is never contaminated and has no spans; an item without words
 has no window. An item without id hits like any other and is not listed. Repeated item ids are one item,
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabkit.llm.common import ASCII_UPPER, appended, arrow_schema, extended, slices, stored, without
+from tabkit.llm.common import ASCII_UPPER, appended, arrow_schema, extended, shared_folder, slices, stored, without
 
 WINDOW = 13
 COVERAGE = 0.05
@@ -231,22 +232,65 @@ def annotate(
         T.StructField("spans", T.ArrayType(span)), T.StructField("item_ids", T.ArrayType(item_type)),
     ]
     names = [f.name for f in added]
-    rows = without(docs, [*names, "n_hit", "contaminated"])
-    passes = 0
-    for block in _blocks(items, item_id_col, item_text_col, block_bytes):
-        rows, passes = _pass(rows, added, block, text_col, window, passes > 0), passes + 1
-    if not passes:
-        rows = _pass(rows, added, [], text_col, window, False)
+    rows = without(docs, [*names, "n_hit", "contaminated", *_MORE])
+    blocks = _blocks(items, item_id_col, item_text_col, block_bytes)
+    first = next(blocks, [])
+    more = _further(rows, added, blocks, text_col, window)
+    rows = _pass(rows, added, first, text_col, window)
+    if more is not None:
+        rows = _with_further(rows, more, text_col)
     share = Fraction(coverage).limit_denominator(1_000_000)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     rows = rows.withColumn("n_hit", n_hit).withColumn("item_ids", F.array_sort(F.array_distinct("item_ids")))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (share.denominator * F.col("n_hit") >= share.numerator * F.col("n_words")))
 
 
-def _pass(rows: DataFrame, added: list[T.StructField], block: list, text_col: str, window: int, again: bool) -> DataFrame:
-    """Scan the documents for one block of items, adding to what earlier blocks found."""
-    names = [f.name for f in added]
-    schema = rows.schema if again else extended(rows, added)
+#: What the passes after the first one found, as columns beside those of the first.
+_MORE = ["__text", "__longest", "__spans", "__item_ids"]
+
+
+def _further(rows: DataFrame, added: list[T.StructField], blocks: Iterator[list], text_col: str, window: int) -> DataFrame | None:
+    """What further blocks of items find, by text: one job per block over the documents, each of which stores the texts
+    with hits, by digest. The plan of the result does not grow with the blocks."""
+    spark, folder, paths = rows.sparkSession, shared_folder(rows.sparkSession, "decontamination"), []
+    texts = rows.select(F.col(f"`{text_col}`").alias("text"))
+    for block in blocks:
+        found = _pass(texts, added, block, "text", window).filter(F.size("spans") > 0)
+        paths.append(f"{folder}/block={len(paths)}")
+        found.select(F.sha2("text", 256).alias("key"), "longest", "spans", "item_ids").dropDuplicates(["key"]).write.parquet(paths[-1])
+    if not paths:
+        return None
+    schema = T.StructType([T.StructField("key", T.StringType()), *[f for f in added if f.name != "n_words"]])
+    read = spark.read.schema(schema).parquet(*paths)
+    return stored(
+        read.groupBy("key").agg(
+            F.max("longest").alias("__longest"), F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("item_ids")).alias("__item_ids")
+        ), "decontamination",
+    )
+
+
+def _with_further(rows: DataFrame, more: DataFrame, text_col: str) -> DataFrame:
+    """The rows of the first pass with what the further ones found in their texts."""
+    @F.pandas_udf(rows.schema["spans"].dataType)
+    def joined(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series([
+            [{"first": a, "end": b} for a, b in merged([(int(s["first"]), int(s["end"])) for s in [*one, *other]])] for one, other in zip(first, second, strict=True)
+        ])
+
+    keyed = rows.withColumn("__text", F.sha2(F.col(f"`{text_col}`"), 256))
+    met = keyed.join(more.withColumnRenamed("key", "__key"), F.col("__text") == F.col("__key"), "left").drop("__key")
+    hit = F.col("__spans").isNotNull()
+    return met.select(
+        *[F.col(f"`{c}`") for c in rows.columns if c not in ("longest", "spans", "item_ids")],
+        F.greatest("longest", F.coalesce("__longest", F.lit(0))).alias("longest"),
+        F.when(hit, joined("spans", F.coalesce("__spans", F.col("spans")))).otherwise(F.col("spans")).alias("spans"),
+        F.when(hit, F.concat("item_ids", "__item_ids")).otherwise(F.col("item_ids")).alias("item_ids"),
+    )
+
+
+def _pass(rows: DataFrame, added: list[T.StructField], block: list, text_col: str, window: int) -> DataFrame:
+    """Scan the documents for one block of items."""
+    schema = extended(rows, added)
     types, shared = arrow_schema(schema), rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,12 +300,6 @@ def _pass(rows: DataFrame, added: list[T.StructField], block: list, text_col: st
                 found = find(automaton, texts)
                 items = [[automaton.ids[i] for i in sorted(f.items) if automaton.ids[i] is not None] for f in found]
                 spans, longest = [f.spans for f in found], [f.longest for f in found]
-                if again:
-                    before = part.select(names).to_pylist()
-                    spans = [merged([*s, *((x["first"], x["end"]) for x in b["spans"])]) for s, b in zip(spans, before, strict=True)]
-                    longest = [max(n, b["longest"]) for n, b in zip(longest, before, strict=True)]
-                    items = [[*i, *b["item_ids"]] for i, b in zip(items, before, strict=True)]
-                    part = part.drop_columns(names)
                 spans = [[{"first": a, "end": b} for a, b in s] for s in spans]
                 yield appended(part, [[f.words for f in found], longest, spans, items], types)
 

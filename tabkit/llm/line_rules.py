@@ -41,7 +41,7 @@ MIN_WORDS = 50
 MAX_REPEATED = 0.5
 WINDOW = 3
 
-#: Rows of a table that may be broadcast: 40 bytes each, names of hosts apart.
+#: Rows of a table, or line hashes in them, that may be broadcast: 40 bytes each, names of hosts apart.
 BROADCAST_ROWS = 500_000
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -142,7 +142,7 @@ def judge(
     taken = met(lines, above, ["host", "line"], "inner", broadcast_rows).groupBy("host", "version").agg(
         F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed")
     )
-    judged = met(known.drop("lines", "line_words"), stored(taken, "removed-lines"), ["host", "version"], "left", broadcast_rows)
+    judged = met(known.drop("lines", "line_words"), stored(taken, "removed-lines"), ["host", "version"], "left", broadcast_rows, 1 + F.size("removed"))
     judged = judged.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     judged = judged.withColumn("removed", F.coalesce("removed", F.array().cast("array<binary>")))
     repeated, removed = (Fraction(x).limit_denominator(1_000_000) for x in (max_repeated, max_removed))

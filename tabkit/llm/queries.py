@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabkit.llm import bpe, chat, decontaminate, licences, line_rules, lines, pieces, quality, rollups, simhash, structure, vectors, warc
 from tabkit.llm.common import shared_folder, stored, table
 from tabkit.llm.sql import (
-    CHAT_SQL, DECONTAMINATION_SQL, LICENCE_SQL, LINES_SQL, PIECES_SQL, ROLLUP_SQL, RULES_SQL, STRUCTURE_SQL, VECTORS_SQL, WARC_SQL,
+    CHAT_SQL, DECONTAMINATED_SQL, DECONTAMINATION_SQL, LICENCE_SQL, LINES_SQL, PIECES_SQL, ROLLUP_SQL, RULES_SQL, STRUCTURE_SQL, VECTORS_SQL, WARC_SQL,
 )
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -42,6 +42,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decontaminated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without the words that stand in windows of the benchmark, and what lies between two such words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
+    cut = F.coalesce(decontaminate.cut_spans(), F.lit(""))
+    return found.select("doc_id", F.col("n_hit").alias("n_cut"), F.length(cut).cast("long").alias("kept_chars"), F.sha2(cut, 256).alias("kept_sha256"))
+
+
 def _tokenizer() -> dict[bytes, int]:
     return bpe.read_ranks(public_tokenizers.path(RANKS))
 
@@ -183,6 +191,7 @@ CHECKS = {
     "op1_warc": (op1_warc, WARC_SQL),
     "op2_neighbours": (op2_neighbours, VECTORS_SQL),
     "op3_decontaminate": (op3_decontaminate, DECONTAMINATION_SQL),
+    "decontaminated_texts": (decontaminated_texts, DECONTAMINATED_SQL),
     "op4_bpe": (op4_bpe, None),
     "op5_quality": (op5_quality, None),
     "op6_chat": (op6_chat, CHAT_SQL),

@@ -54,6 +54,27 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM dw d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+#: Words as they stand, and what lies between them; a word is hit if a window covers it.
+DECONTAMINATED_SQL = DECONTAMINATION_SQL[:DECONTAMINATION_SQL.index("hit_words AS (")] + r"""
+places AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS place FROM hits),
+cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w,
+         regexp_split_to_array(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS between FROM documents
+),
+pieces AS (
+  SELECT c.doc_id, n, w[n] AS word, between[n] AS before, p.place IS NOT NULL AS hit
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS n FROM cut) c LEFT JOIN places p ON p.doc_id = c.doc_id AND p.place = c.n
+),
+kept AS (
+  SELECT doc_id, count(*) FILTER (hit) AS n_cut, string_agg(part, '' ORDER BY n) AS text FROM (
+    SELECT *, CASE WHEN hit AND lag(hit, 1, false) OVER (PARTITION BY doc_id ORDER BY n) THEN '' ELSE before END || CASE WHEN hit THEN '' ELSE word END AS part FROM pieces
+  ) GROUP BY doc_id
+)
+SELECT c.doc_id, coalesce(n_cut, 0)::BIGINT AS n_cut, length(coalesce(k.text, '') || between[len(between)])::BIGINT AS kept_chars,
+       sha256(coalesce(k.text, '') || between[len(between)]) AS kept_sha256
+FROM cut c LEFT JOIN kept k USING (doc_id)
+"""
+
 _ESCAPED = (
     "replace(replace(replace(replace(replace(replace(replace(replace(replace({}, '~', '~t'), '<|', '~b'), '|>', '~e'), "
     "'</s>', '~z'), '<s>', '~s'), '[INST]', '~i'), '[/INST]', '~j'), '<<SYS>>', '~y'), '<</SYS>>', '~x')"

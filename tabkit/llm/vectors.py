@@ -7,8 +7,9 @@ either side of the median; a side is left out if its lower bound times ``factor`
 k-th neighbour so far. Factor one restores exact search; above one, fewer sides are visited.
 
 The index is a table with one row per shard, of bounded size, whatever the number of vectors. Queries are a
-stated set: they are broadcast in blocks of bounded size, and each block searches all shards. Every shard
-returns its k best for each query, which are merged by query.
+stated set: they are packed into rows of bounded size, and each such block meets each shard by a join on the shard's
+number, so nothing passes the driver and the plan is the same for any number of blocks. Every shard returns its k best
+for each query, which are merged by query.
 
 Scores are sums of products in double precision over the original vectors, the same for equal vectors.
 
@@ -24,16 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabkit.llm.common import stored
+from tabkit.llm.common import arrow_schema, stored
 
 SHARD = 4096
 LEAF = 256
-#: Queries in one broadcast, and those searched together in a task.
+#: Queries in one row, and those searched together in a task.
 QUERY_BLOCK = 8192
+MOST_TASKS = 20_000
 TOGETHER = 1024
 FACTOR = 1.0
 
@@ -119,7 +122,7 @@ def build_index(df: DataFrame, id_col: str, vector_col: str, *, shard: int = SHA
 class Tree:
     """One shard of the index."""
 
-    def __init__(self, row: pd.Series) -> None:
+    def __init__(self, row: dict) -> None:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(self.ids), -1)
         self.spread, self.nodes = row["spread"], np.frombuffer(row["nodes"], NODE)
@@ -190,39 +193,41 @@ def search(
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best, nearest first."""
-    spark = index.sparkSession
-    vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    vector = F.transform(F.col(vector_col), lambda x: x.cast("double") + 0.0)
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), vector.alias("vector"))
     asked = asked.filter(F.col("query_id").isNotNull() & usable(F.col("vector"))).distinct()
-    blocks = asked.count() // query_block + 1
-    if blocks > 1:
-        asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
-    found = None
-    for block in range(blocks):
-        part = asked.filter(F.col("block") == block) if blocks > 1 else asked
-        here = _search_block(index, spark.sparkContext.broadcast(_packed(part)), k, factor)
-        found = here if found is None else found.union(here)
+    blocks = _blocks(asked, query_block)
+    shards = index.groupBy("size").agg(F.max("shard").alias("last")).collect()  # one row per length of vector
+    last = F.lit(None).cast("long")
+    for row in shards:
+        last = F.when(F.col("size") == row["size"], row["last"]).otherwise(last)
+    # the shards set the tasks: a shard's row is held while the blocks of queries pass by it
+    tasks = min(max(4 * sum(row["last"] + 1 for row in shards), 1), MOST_TASKS)
+    met = blocks.select("size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("shard"), "query_ids", "queries").repartition(tasks, "size", "shard")
+    pairs = met.join(index.repartition(tasks, "size", "shard"), ["size", "shard"])
+    types = arrow_schema(T._parse_datatype_string(FOUND))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                tree = Tree(row)
+                ids, vectors = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["queries"], np.float64).reshape(-1, row["size"])
+                for start in range(0, len(ids), TOGETHER):
+                    got = tree.search(ids[start:start + TOGETHER], vectors[start:start + TOGETHER], k, factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(column) for column in got], schema=types)
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = pairs.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _packed(part: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """A block of queries by length of vector."""
-    rows = part.select("query_id", "vector").toPandas()
-    by = rows.groupby(rows["vector"].map(len))
-    return {int(size): (x["query_id"].to_numpy(np.int64), np.stack(x["vector"].to_numpy()).astype(np.float64)) for size, x in by}
-
+def _blocks(asked: DataFrame, query_block: int) -> DataFrame:
+    """(size, query_ids, queries): the queries in stored rows of about ``query_block``, by length of vector."""
+    blocks = asked.count() // query_block + 1
+    sized = asked.withColumn("size", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
 
-def _search_block(index: DataFrame, shared, k: int, factor: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, row in batch.iterrows():
-                tree = Tree(row)
-                ids, queries = shared.value.get(int(row["size"]), (np.empty(0, np.int64), np.empty((0, int(row["size"])))))
-                for start in range(0, len(ids), TOGETHER):
-                    got = tree.search(ids[start:start + TOGETHER], queries[start:start + TOGETHER], k, factor)
-                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        ids, vectors = part["query_id"].to_numpy(np.int64), np.stack(part["vector"].to_numpy()).astype(np.float64)
+        return pd.DataFrame({"size": [part["size"].iloc[0]], "query_ids": [ids.tobytes()], "queries": [vectors.tobytes()]})
 
-    # a row holds a whole shard: rows are dealt singly, so that shards are searched at the same time
-    return index.repartition("size", "shard").mapInPandas(run, FOUND)
+    return stored(sized.groupBy("size", "block").applyInPandas(pack, "size int, query_ids binary, queries binary"), "query-blocks")

@@ -468,3 +468,72 @@ def test_two_licences_of_equal_cosine_and_a_crowded_directory(spark, monkeypatch
 def test_lines_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.apply_bitmaps(empty, lines.keep_bitmaps(empty)).count() == 0
+
+
+def test_two_writers_of_one_batch_count_once(spark):
+    folder = shared_folder(spark, "rollup")
+    changes = spark.createDataFrame([("insert", "s", "en", "v", None, 5)], "change string, source string, lang string, tokenizer string, old_tokens long, new_tokens long")
+    a, b = rollups.Rollup(spark, folder), rollups.Rollup(spark, folder)
+    marks = []
+    late = b._mark
+    b._mark = lambda batch, name: marks.append((batch, name)) or True  # the second writer is held up before its commit
+    assert b.commit("one", changes) and a.commit("one", changes) and not a.commit("one", changes)
+    assert [late(*m) for m in marks] == [False]
+    assert [(r["docs"], r["tokens"]) for r in a.totals().collect()] == [(1, 5)]
+    # both get past the look: the later name stands, and the batch still counts once
+    names = [f"data/{n}" for n in ("x", "y")]
+    for name in names:
+        spark.createDataFrame([("s", "en", "v", 1, 7, None, "two")], rollups.SCHEMA).write.parquet(f"{folder}/{name}")
+        stream = a._files().create(a._path("commits/two"), True)
+        stream.writeBytes(name)
+        stream.close()
+    assert [(r["docs"], r["tokens"]) for r in b.totals().collect()] == [(2, 12)]
+    a._files().create(a._path("commits/three"), True).close()  # a writer died between opening and naming
+    assert "three" not in a.committed() and a.commit("three", changes) and a.totals().first()["docs"] == 3
+    assert a.compact() and a.totals().first()["tokens"] == 17
+    assert "InMemoryFileIndex" not in (plan := a.totals()._jdf.queryExecution().executedPlan().toString()) or plan.count("Scan parquet") == 1
+
+
+def test_counts_of_a_real_tokenizer_roll_up(spark):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "lang", "text")
+    coded = bpe.encode(docs, "text", RANKS, public_tokenizers.PATTERN)
+    count = (F.octet_length("ids") / 4).cast("long")
+    none = F.lit(None).cast("long")
+    rows = coded.select(F.lit("insert").alias("change"), "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), none.alias("old_tokens"), count.alias("new_tokens"))
+    rollup = rollups.Rollup(spark, shared_folder(spark, "rollup"))
+    assert rollup.commit("load", rows)
+    expected = {}
+    for r in docs.collect():
+        key = (r["source"], r["lang"])
+        n, total = expected.get(key, (0, 0))
+        expected[key] = (n + 1, total + len(library.encode_ordinary(r["text"] or "")))
+    assert {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect()} == expected
+
+
+def test_blocks_of_items_and_of_queries_do_not_grow_the_plan(spark):
+    rnd = random.Random(3)
+    items = [(i, " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(30)) for _ in range(30))) for i in range(24)]
+    docs = [(i, f"start {items[i % 24][1]} middle {items[(i * 7) % 24][1][:60]} end") for i in range(40)] + [(90, None), (91, "short")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    one, few, many = (decontaminate.annotate(d, b, block_bytes=n) for n in (10**6, 1500, 150))
+    assert size(few) == size(many)
+    rows = [sorted(tuple(map(str, r)) for r in x.select(*sorted(x.columns)).collect()) for x in (one, few, many)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 42
+    assert decontaminate.annotate(d.limit(0), b, block_bytes=150).count() == 0
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(200, 4)))], "vec_id long, e array<double>")
+    index = vectors.build_index(v, "vec_id", "e", shard=20)
+    found = [vectors.search(index, v, "vec_id", "e", k=3, query_block=n) for n in (5, 1000)]
+    assert size(found[0]) == size(found[1]) and sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect()))
+    assert vectors.search(vectors.build_index(v.limit(0), "vec_id", "e"), v, "vec_id", "e", k=3).count() == 0
+    assert vectors.search(index, v.limit(0), "vec_id", "e", k=3).count() == 0
+
+
+def test_cut_spans_leaves_the_rest_of_a_text(spark):
+    item = " ".join(f"Word{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, f"Before THE test, {item.upper()}. After it!"), (2, "nothing here"), (3, None)], "doc_id long, text string")
+    found = decontaminate.annotate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    cut = {r["doc_id"]: r["t"] for r in found.select("doc_id", decontaminate.cut_spans().alias("t")).collect()}
+    assert cut == {1: "Before THE test, . After it!", 2: "nothing here", 3: None}
