@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,21 +128,37 @@ def _order_statistics(
     return result
 
 
+def _places(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each value the number of the half-open interval between two edges that holds it."""
+    return np.clip(np.searchsorted(edges, values, side="right") - 1, 0, len(edges) - 2)
+
+
+def _columns(batch: pa.RecordBatch, numbers: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of each column without its nulls."""
+    for i in numbers:
+        yield i, batch.column(f"c{i}").drop_null().to_numpy(zero_copy_only=False)
+
+
 def _long(data: DataFrame, active: dict[int, list[_Interval]]) -> DataFrame:
     """(column number, interval number, value) of the rows inside the active intervals."""
-    args, located = [], data
+    located = {}
     for i, parts in active.items():
-        value = F.col(f"c{i}")
         edges = sorted({-math.inf, math.inf, *(p.low for p in parts), *(p.high for p in parts)})
-        if len(edges) == 2:
-            place = F.lit(0)
-        else:
-            located = Bucketizer(splits=edges, inputCol=f"c{i}", outputCol=f"p{i}", handleInvalid="keep").transform(located)
-            at = {part.low: j for j, part in enumerate(parts)}
-            numbers = F.array(*[F.lit(at.get(low)).cast("int") for low in edges[:-1]])
-            place = F.get(numbers, F.col(f"p{i}").cast("int"))
-        args += [F.lit(i), F.when(value.isNotNull(), place), value]
-    return located.select(F.stack(F.lit(len(active)), *args).alias("i", "j", "v")).where(F.col("j").isNotNull())
+        at = {part.low: j for j, part in enumerate(parts)}
+        located[i] = np.array(edges), np.array([at.get(low, -1) for low in edges[:-1]])
+    schema = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, values in _columns(batch, list(located)):
+                edges, numbers = located[i]
+                j = numbers[_places(values, edges)]
+                inside = j >= 0
+                if inside.any():
+                    j = j[inside].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i, np.int32)), pa.array(j), pa.array(values[inside])], schema=schema)
+
+    return data.select(*[f"c{i}" for i in active]).mapInArrow(run, "i int, j int, v double")
 
 
 def _rank(long: DataFrame, active, found) -> None:
@@ -185,20 +201,23 @@ def _edges(proposed: dict[int, list[float]], active) -> dict[int, list[float]]:
 
 def _recount(data, active, cuts, found) -> dict[int, list[_Interval]]:
     """Count rows per candidate interval and keep the intervals that hold a wanted rank."""
-    bucketed = Bucketizer(
-        splitsArray=[c if len(c) > 2 else [-math.inf, 0.0, math.inf] for c in (cuts[i] for i in active)],
-        inputCols=[f"c{i}" for i in active],
-        outputCols=[f"b{i}" for i in active],
-        handleInvalid="keep",
-    ).transform(data)
-    pairs = [part for i in active for part in (F.lit(i), F.when(F.col(f"c{i}").isNotNull(), F.col(f"b{i}")))]
-    rows = (
-        bucketed.select(F.stack(F.lit(len(active)), *pairs).alias("i", "b"))
-        .where(F.col("b").isNotNull())
-        .groupBy("i", "b")
-        .count()
-        .collect()
-    )
+    bounds = {i: np.array(cuts[i] if len(cuts[i]) > 2 else [-math.inf, 0.0, math.inf]) for i in active}
+    schema = pa.schema([("i", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {i: np.zeros(len(edges) - 1, np.int64) for i, edges in bounds.items()}
+        for batch in batches:
+            for i, values in _columns(batch, list(bounds)):
+                totals[i] += np.bincount(_places(values, bounds[i]), minlength=len(totals[i]))
+        for i, total in totals.items():
+            at = np.flatnonzero(total)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema
+                )
+
+    counted = data.select(*[f"c{i}" for i in active]).mapInArrow(run, "i int, b int, n long")
+    rows = counted.groupBy("i", "b").agg(F.sum("n").alias("count")).collect()
     sizes = {(r["i"], int(r["b"])): r["count"] for r in rows}
     kept: dict[int, list[_Interval]] = {}
     for i, parts in active.items():

@@ -19,6 +19,7 @@ from tabkit.functions.quantiles import quantiles
 from tabkit.functions.rules import findings
 from tabkit.functions.stats import finite_or_null, most_frequent
 from tabkit.operators.profile import column_stats, histogram
+from tabkit.session import shared_table
 
 # Names that suggest an identifier, searched anywhere in the column name, case-insensitive. Fixed values.
 ID_NAME_PATTERNS = (
@@ -200,7 +201,8 @@ def remove_outliers(
 ) -> DataFrame:
     """Drop outlier rows. Sequential: the fences of each column come from the rows the earlier columns left.
 
-    Each round adds one literal filter to the same scan, so the result is a single filter of the input.
+    The columns are stored once without the others, and fences are found there; each round adds one literal filter,
+    so the result is a single filter of the input.
     """
     columns = list(columns) if columns is not None else numeric_columns(df, target)
     columns = [c for c in columns if c != target]
@@ -209,8 +211,10 @@ def remove_outliers(
         for c in columns:
             df = df.where(~_outside(c, bounds[c]))
         return df
+    narrow = shared_table(df.select(*[col(c) for c in columns]), "outliers") if len(columns) > 1 else df
     for c in columns:
-        df = df.where(~_outside(c, iqr_bounds(df, [c], exact)[c]))
+        bounds = iqr_bounds(narrow, [c], exact)[c]
+        df, narrow = df.where(~_outside(c, bounds)), narrow.where(~_outside(c, bounds))
     return df
 
 

@@ -103,14 +103,21 @@ def check_categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CAT
     """Dictionaries of categories and classes live on the driver and widen vectors, so their size is checked first."""
     if not columns:
         return
-    row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    wide = [c for i, c in enumerate(columns) if row[i] > limit]
+    rough = df.agg(*[F.approx_count_distinct(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    # the estimate spares most columns a count; near the limit and beyond it the count decides
+    wide = [c for i, c in enumerate(columns) if rough[i] > limit / 2 and df.select(col(c)).distinct().limit(limit + 2).where(col(c).isNotNull()).count() > limit]
     if wide:
         raise ValueError(
             f"more than {limit} categories in {', '.join(wide)}: drop or regroup these columns, or raise max_categories"
         )
 
 
+def feature_columns(df: DataFrame, target: str, exclude: Sequence[str] = (), passthrough_timestamps: bool = False) -> list[str]:
+    """The columns that ``feature_stages`` makes features of."""
+    kinds = [NUMERIC, TEXT, BOOLEAN, *([DATETIME] if passthrough_timestamps else [])]
+    return columns_of(df, *kinds, exclude=[target, *exclude])
+
+
 def feature_stages(
     df: DataFrame,
     target: str,

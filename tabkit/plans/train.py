@@ -24,9 +24,9 @@ from tabkit.operators.compare import main_metric
 from tabkit.operators.evaluate import classification_metrics, regression_metrics
 from tabkit.operators.split import assign_folds, assign_split, with_target
 from tabkit.operators.target import CLASSIFICATION, analyze_target
-from tabkit.plans.features import FEATURES, MAX_CATEGORIES, check_categories, feature_names, feature_stages
+from tabkit.plans.features import FEATURES, MAX_CATEGORIES, check_categories, feature_columns, feature_names, feature_stages
 from tabkit.plans.models import NamedEstimator, combinations, get_estimator, param_grid, sample_combinations
-from tabkit.session import ensure_checkpoint_dir, use_all_cores
+from tabkit.session import use_all_cores
 
 RUNS_SCHEMA = (
     "experiment string, run_id string, model string, problem_type string, training_time_s double, "
@@ -56,7 +56,8 @@ class Trained:
 
 @dataclass
 class Training:
-    """All models of one training call, the table of runs and the scored test rows of each model."""
+    """All models of one training call, the table of runs, the scored test rows of each model (key, target and features),
+    and the rows of both sides with all their columns."""
 
     runs: DataFrame
     models: dict[str, Trained]
@@ -165,16 +166,17 @@ def train(
     instead of keeping its rows; the feature vectors a model iterates over are always kept while it is fitted.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     key = [key] if isinstance(key, str) else list(key)
     problem_type = problem_type or detect_problem(df, target)
     labelled, classes = with_label(df, target, problem_type, max_categories)
     stratify = LABEL if problem_type == CLASSIFICATION else None
     marked = assign_split(labelled, key, test_frac, seed, stratify, name=IS_TEST)
-    if cache:
-        marked = marked.persist()
-    train_rows, test_rows = marked.where(~F.col(IS_TEST)).drop(IS_TEST), marked.where(F.col(IS_TEST)).drop(IS_TEST)
     options = {"max_categories": max_categories, "passthrough_timestamps": passthrough_timestamps}
+    used = set(feature_columns(labelled, target, [*key, LABEL, *exclude], passthrough_timestamps)) | {*key, target, LABEL, IS_TEST}
+    cached = marked.select(*[col(c) for c in marked.columns if c in used])
+    if cache:
+        cached = cached.persist()
+    train_rows, test_rows = (cached.where(side).drop(IS_TEST) for side in (~F.col(IS_TEST), F.col(IS_TEST)))
     stages = feature_stages(train_rows, target, [*key, LABEL, *exclude], **options)
     estimators = {}
     for name in models:
@@ -216,7 +218,8 @@ def train(
             for name, scores in zip(names, found):
                 trained[name].run.update(cv_scores=scores, cv_mean=float(np.mean(scores)), cv_std=float(np.std(scores)))
     runs = spark.createDataFrame([tuple(r[c.split()[0]] for c in _run_columns()) for r in rows], RUNS_SCHEMA)
-    return Training(runs, trained, scored, train_rows, test_rows, marked)
+    whole = [marked.where(side).drop(IS_TEST) for side in (~F.col(IS_TEST), F.col(IS_TEST))]
+    return Training(runs, trained, scored, *whole, cached)
 
 
 def _run_columns() -> list[str]:
