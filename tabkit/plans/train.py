@@ -25,6 +25,7 @@ from tabkit.operators.evaluate import classification_metrics, regression_metrics
 from tabkit.operators.split import assign_folds, assign_split, with_target
 from tabkit.operators.target import CLASSIFICATION, analyze_target
 from tabkit.plans.features import FEATURES, MAX_CATEGORIES, check_categories, feature_columns, feature_names, feature_stages
+from tabkit.plans.folds import fold_pipelines
 from tabkit.plans.models import NamedEstimator, combinations, get_estimator, param_grid, sample_combinations
 from tabkit.session import use_all_cores
 
@@ -110,9 +111,10 @@ def fold_scores(
     """Accuracy or R2 per estimator and fold. ``folded`` has the label and the fold number."""
     scores: list[list[float]] = [[] for _ in estimators]
     metric = main_metric(problem_type)
+    pipelines = fold_pipelines(stages, folded, k, fold)
     for f in range(k):
         fit_rows, held = folded.where(F.col(fold) != f), folded.where(F.col(fold) == f)
-        features = Pipeline(stages=list(stages)).fit(fit_rows)
+        features = pipelines[f] if pipelines else Pipeline(stages=list(stages)).fit(fit_rows)
         fit_rows = use_all_cores(features.transform(fit_rows).select(FEATURES, LABEL)).persist()
         held = features.transform(held).select(FEATURES, LABEL).persist()
 
