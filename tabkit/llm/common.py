@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,9 +29,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made inside each ``temporaries`` block that is open.
+_made: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path below the checkpoint folder, which the driver and every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Remove the folders made inside, once what was computed from them is stored elsewhere."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for name in _made.pop():
+            removed(spark, name)
+
+
+def removed(spark: SparkSession, name: str) -> None:
+    """Delete a folder that ``shared_folder`` named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages against plain rules on the smallest tables."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 from tabkit.llm import simhash
+from tabkit.session import ensure_checkpoint_dir
 from test_operators import RANKS, plain_components, plain_decontamination, plain_lines, plain_print
 
 SMALL = "/root/testdata/sf0.001"
@@ -41,8 +43,12 @@ def test_simhash_keeps_one_row_of_each_group(spark):
 
 
 def test_run(spark):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     out = corpus_pipeline.run(spark, SMALL)
     found = out.toPandas()
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("byte-level-BPE")
     source = spark.read.parquet(f"{SMALL}/documents.parquet").count()
     assert 0 < len(found) < source and found["round_trip"].all() and found["doc_id"].is_unique
 
