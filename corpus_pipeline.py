@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.llm import bpe, decontaminate, lines, queries, simhash
-from tabkit.llm.common import stored, table
+from tabkit.llm.common import removed, shared_folder, stored, table, temporaries
 
 #: The classifier and the SimHash have no equivalent in SQL.
 ORACLE_SQL = None
@@ -73,8 +73,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written and read again before the next stage."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; each result is written and read again before the next stage. What a stage stored on
+    its way is removed when its result is written, as is the result of its predecessor."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_folder(spark, name.replace(" ", "-"))
+        with temporaries(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs

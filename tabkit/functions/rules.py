@@ -20,10 +20,5 @@ def findings(df: DataFrame, rules: Sequence[tuple[Column, dict[str, Column | str
     return df.select(*keep, F.inline(F.array_compact(F.array(*items))))
 
 
-def pick(names: Sequence[str], position: Column) -> Column:
-    """The name at a 0-based position, without a join."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), position + 1)
-
-
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(F.lit(100.0) * part, whole), digits)

@@ -296,3 +296,12 @@ def test_queries_train_with_defaults_on_all_columns(spark, monkeypatch, query):
     assert not any((params or {}).values())
     part, orders = {"p_name", "p_brand", "p_type", "p_size"}, {"o_custkey", "o_orderdate", "o_orderpriority"}
     assert part <= columns or orders <= columns
+
+
+def test_cross_validate_scores_every_fold(table):
+    rows = table("orders").select("o_orderkey", "o_totalprice", (F.col("o_totalprice") * 2 + F.col("o_orderkey") % 7).alias("y"))
+    labelled, _ = T.with_label(rows, "y", REGRESSION)
+    stages = X.feature_stages(labelled, "y", ["o_orderkey", "label"])
+    found = T.cross_validate(D.get_estimator("Linear Regression", REGRESSION), stages, labelled, "o_orderkey", REGRESSION, k=3)
+    assert len(found["cv_scores"]) == 3 and min(found["cv_scores"]) > 0.999
+    assert found["cv_mean"] == pytest.approx(np.mean(found["cv_scores"])) and found["cv_std"] == pytest.approx(np.std(found["cv_scores"]))
