@@ -235,12 +235,16 @@ def _scores(model: dict, terms: list, shapes: np.ndarray, metadata: list) -> np.
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def _rows_of(part: pa.RecordBatch) -> tuple[list, np.ndarray, list]:
-    """Terms, shapes and metadata of a batch of features."""
-    terms = [np.asarray(t, np.int64) for t in part.column("__terms").to_pylist()]
-    shapes = part.column("__shape").flatten().to_numpy(zero_copy_only=False).reshape(len(terms), -1)
-    metadata = [described(*row) for row in zip(*[part.column(c).to_pylist() for c in ("__source", "__lang", "__size")], strict=True)]
-    return terms, shapes, metadata
+#: Rows whose texts, and whose features, are held as Python objects at a time.
+LOOKED = 256
+SCORED = 2048
+
+
+def _rows_of(terms: pa.Array, shape: pa.Array, source: pa.Array, lang: pa.Array, size: pa.Array) -> tuple[list, np.ndarray, list]:
+    """Terms, shapes and metadata of rows of features."""
+    shapes = shape.flatten().to_numpy(zero_copy_only=False).reshape(len(terms), -1)
+    metadata = [described(*row) for row in zip(source.to_pylist(), lang.to_pylist(), size.to_pylist(), strict=True)]
+    return [np.asarray(t, np.int64) for t in terms.to_pylist()], shapes, metadata
 
 
 FEATURES = ["__id", "__key", "__source", "__lang", "__size", "__terms", "__shape"]
@@ -258,39 +262,44 @@ class QualityModel:
         """The columns ``kept`` of every document, and what the views see of it. One narrow pass over whole texts."""
         text, source, lang, size = (self.columns[c] for c in ("text", "source", "lang", "size"))
         ident = F.col(id_col) if id_col else F.lit(None)
-        rows = docs.select(
-            *[F.col(f"`{c}`") for c in kept], ident.alias("__id"), F.xxhash64(ident, text, source, lang, size).alias("__key"),
-            F.col(source).cast("string").alias("__source"), F.col(lang).cast("string").alias("__lang"), F.col(size).cast("double").alias("__size"),
-            F.col(text).alias("__text"),
-        )
-        added = [T.StructField("__terms", T.ArrayType(T.IntegerType())), T.StructField("__shape", T.ArrayType(T.DoubleType()))]
-        schema = extended(rows.drop("__text"), added)
-        types, shared = arrow_schema(schema), docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(self.vocabulary)})
+        shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(self.vocabulary)})
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @F.arrow_udf("struct<terms array<int>, shape array<double>>")
+        def seen(texts: pa.Array) -> pa.Array:
             number = shared.value
-            chosen = number.keys()
-            for batch in batches:
-                for part, texts in slices(batch, "__text"):
-                    seen = [look(value) for value in texts]
-                    terms = [sorted([number[w] for w in words & chosen]) for words, _ in seen]
-                    yield appended(part.drop_columns(["__text"]), [terms, [shape for _, shape in seen]], types)
-
-        return rows.mapInArrow(run, schema)
+            chosen, terms, shapes = number.keys(), [], []
+            for start in range(0, len(texts), LOOKED):
+                for value in texts.slice(start, LOOKED).to_pylist():
+                    words, shape = look(value)
+                    terms.append(sorted([number[w] for w in words & chosen]))
+                    shapes.append(shape)
+            return pa.StructArray.from_arrays(
+                [pa.array(terms, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float64()))], names=["terms", "shape"]
+            )
+
+        # only the text goes to Python and only what is seen comes back; the other columns stay where they are
+        return docs.select(
+            *[F.col(f"`{c}`") for c in kept], ident.alias("__id"), F.xxhash64(ident, text, source, lang, size).alias("__key"),
+            F.col(source).cast("string").alias("__source"), F.col(lang).cast("string").alias("__lang"), F.col(size).cast("double").alias("__size"),
+            seen(F.col(text).cast("string")).alias("__seen"),
+        ).select(*[F.col(f"`{c}`") for c in kept], *FEATURES[:5], F.col("__seen.terms").alias("__terms"), F.col("__seen.shape").alias("__shape"))
 
     def scored(self, features: DataFrame) -> DataFrame:
         """Features without what the views see, with ``<target>_score``, a probability, for each target."""
-        rest = [c for c in features.columns if c not in FEATURES]
-        schema = extended(features.select(*rest), [T.StructField(f"{target}_score", T.DoubleType()) for target in self.models])
-        types, shared = arrow_schema(schema), features.sparkSession.sparkContext.broadcast(list(self.models.values()))
+        rest = [F.col(f"`{c}`") for c in features.columns if c not in FEATURES]
+        shared, kind = features.sparkSession.sparkContext.broadcast(list(self.models.values())), ", ".join(f"s{i} double" for i in range(len(self.models)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    seen = _rows_of(batch)
-                    yield appended(batch.select(rest), [_scores(model, *seen) for model in shared.value], types)
+        @F.arrow_udf(f"struct<{kind}>")
+        def scores(terms: pa.Array, shape: pa.Array, source: pa.Array, lang: pa.Array, size: pa.Array) -> pa.Array:
+            parts = []
+            for start in range(0, len(terms), SCORED):
+                seen = _rows_of(*[column.slice(start, SCORED) for column in (terms, shape, source, lang, size)])
+                parts.append([_scores(model, *seen) for model in shared.value])
+            columns = [np.concatenate([part[i] for part in parts]) if parts else np.empty(0) for i in range(len(shared.value))]
+            return pa.StructArray.from_arrays([pa.array(column, pa.float64()) for column in columns], names=[f"s{i}" for i in range(len(columns))])
 
-        return features.mapInArrow(run, schema)
+        told = features.select(*rest, scores("__terms", "__shape", "__source", "__lang", "__size").alias("__scores"))
+        return told.select(*rest, *[F.col(f"__scores.s{i}").alias(f"{target}_score") for i, target in enumerate(self.models)])
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Every document with its scores, whether it took part in training or not."""
@@ -368,10 +377,11 @@ def _taught(seen: DataFrame, made: dict[int, dict], flags: DataFrame, taught: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                given = _rows_of(batch)
+            for start in range(0, batch.num_rows, SCORED):
+                part = batch.slice(start, SCORED)
+                given = _rows_of(*[part.column(c) for c in ("__terms", "__shape", "__source", "__lang", "__size")])
                 margins = [m + model["prior"] for model in shared.value for m in _margins(model, *given)]
-                yield appended(batch.select(["__id", "__key"]), margins, types)
+                yield appended(part.select(["__id", "__key"]), margins, types)
 
     told = seen.mapInArrow(run, schema).join(flags, F.col("__id") == F.col("id"), "left")
     free = [F.when(~F.coalesce(f"k{i}", F.lit(False)), F.col(n)).alias(n) for n, (i, _, _) in zip(names, taught_by, strict=True)]
