@@ -537,3 +537,15 @@ def test_cut_spans_leaves_the_rest_of_a_text(spark):
     found = decontaminate.annotate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     cut = {r["doc_id"]: r["t"] for r in found.select("doc_id", decontaminate.cut_spans().alias("t")).collect()}
     assert cut == {1: "Before THE test, . After it!", 2: "nothing here", 3: None}
+
+
+def test_repeated_rows_are_encoded_alike(spark):
+    texts = ["same text", "same text", None, "", None, "x" * 40_000, "x" * 40_000, "é \U0001F600"]
+    df = spark.createDataFrame([(i % 2, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, IDS string")
+    found = bpe.encode(df, "text", RANKS, public_tokenizers.PATTERN, bytes_col="decoded").collect()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    assert len(found) == len(texts)
+    for r in found:
+        ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+        assert ids == library.encode_ordinary(r["text"] or "") and bytes(r["decoded"]).decode() == (r["text"] or "")
+    assert bpe.encode(df.limit(0), "text", RANKS, public_tokenizers.PATTERN).count() == 0
