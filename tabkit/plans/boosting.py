@@ -1,7 +1,8 @@
 """Second-order gradient boosting over binned features.
 
-Every feature is cut into at most ``max_bins`` bins at its quantiles, or at its values where it has no more. The
-binned rows are stored once, in blocks. A level of a round is one job: each task adds the gradients and hessians of
+Every feature is cut into at most ``max_bins`` bins at its quantiles, or at its values where it has no more. Rows of
+equal bins and label have equal gradients in every round, so they are counted once with a weight: there are at most as
+many as combinations of bins and labels, however long the table. They are stored in blocks. A level of a round is one job: each task adds the gradients and hessians of
 its rows into histograms by class, node, feature and bin; histograms are summed by class and feature, the sums of one
 feature meet in one task, and only its best split per node reaches the driver. Leaves are Newton steps with an L2
 penalty. Several classes are boosted together with a softmax, one tree per class and round, so their
@@ -30,16 +31,18 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.session import shared_table
+from tabkit.session import drop_table, shared_table
 
 MAX_BINS = 256
-BLOCK_ROWS = 4096
-REFRESH = 10
-#: Bins (rows times features) that one task may boost by itself.
+BLOCK_ROWS = 16_384
+REFRESH = 4
+#: Rows that a task puts into blocks, about.
+TASK_ROWS = 1_000_000
+#: Bins (different rows times features) that one task may boost by itself.
 TASK_CELLS = 8_000_000
 #: Numbers in the histograms that a task holds for one group of nodes.
 HISTOGRAM_CELLS = 16_000_000
-BLOCKS = "block long, rows int, bins binary, label binary, margin binary"
+BLOCKS = "block long, rows int, bins binary, label binary, weight binary, margin binary"
 
 
 @dataclass
@@ -95,18 +98,29 @@ class Tree:
         return children
 
     def leaves(self, columns: np.ndarray, cuts: np.ndarray | None = None) -> np.ndarray:
-        """The leaf of each row; ``columns`` holds bins, or values if ``cuts`` holds the thresholds of nodes."""
-        feature, left, right = np.array(self.feature), np.array(self.left), np.array(self.right)
+        """The leaf of each row; ``columns`` holds bins by feature, or values if ``cuts`` holds the thresholds of nodes."""
+        feature, left, right = (np.array(a, np.intp) for a in (self.feature, self.left, self.right))
         cut = np.array(self.cut) if cuts is None else cuts
-        at = np.zeros(len(columns), np.int64)
-        moving = np.arange(len(columns)) if feature[0] >= 0 else np.empty(0, np.int64)
-        while len(moving):
-            node = at[moving]
-            down = columns[moving, feature[node]] <= cut[node]
-            at[moving] = np.where(down, left[node], right[node])
-            moving = moving[feature[at[moving]] >= 0]
+        if cuts is None:
+            cut = cut.astype(columns.dtype)
+        split = feature >= 0
+        # a leaf leads to itself, so that every row takes as many steps as the tree is deep
+        own = np.arange(len(feature))
+        feature, ways = np.where(split, feature, 0), np.stack([np.where(split, right, own), np.where(split, left, own)], axis=1).ravel()
+        at, row, flat = np.zeros(columns.shape[1], np.intp), np.arange(columns.shape[1]), columns.ravel()
+        offset = feature * columns.shape[1]
+        for _ in range(self._steps()):
+            down = flat[offset[at] + row] <= cut[at]
+            at = ways[2 * at + down]
         return at
 
+    def _steps(self) -> int:
+        deep = [0] * len(self.feature)
+        for node, feature in enumerate(self.feature):
+            if feature >= 0:
+                deep[self.left[node]] = deep[self.right[node]] = deep[node] + 1
+        return max(deep)
+
     def packed(self) -> dict:
         return {"feature": self.feature, "cut": self.cut, "left": self.left, "right": self.right, "value": self.value, "gain": self.gain}
 
@@ -120,22 +134,23 @@ class Tree:
 
 @dataclass
 class Block:
-    """Some rows in memory: bins (rows x features), labels, margins (rows x outputs)."""
+    """Some rows in memory: bins (features x rows), labels, weights, margins (rows x outputs)."""
 
     number: int
     bins: np.ndarray
     label: np.ndarray
+    weight: np.ndarray
     margin: np.ndarray
 
     @classmethod
     def read(cls, row: dict, features: int, outputs: int, wide: bool) -> Block:
-        bins = np.frombuffer(row["bins"], np.uint16 if wide else np.uint8).reshape(row["rows"], features)
+        bins = np.frombuffer(row["bins"], np.uint16 if wide else np.uint8).reshape(features, row["rows"])
         margin = np.frombuffer(row["margin"], np.float64).reshape(row["rows"], outputs)
-        return cls(row["block"], bins, np.frombuffer(row["label"], np.float64), margin)
+        return cls(row["block"], bins, np.frombuffer(row["label"], np.float64), np.frombuffer(row["weight"], np.int64), margin)
 
     def drawn(self, round_: int, share: float, seed: int) -> np.ndarray:
-        """Whether a row takes part in a round: the same draw wherever and whenever it is made."""
-        return np.random.default_rng([seed, round_, self.number]).random(len(self.label)) < share
+        """How many of the equal rows take part in a round: the same draw wherever and whenever it is made."""
+        return np.random.default_rng([seed, round_, self.number]).binomial(self.weight, share)
 
 
 @dataclass
@@ -161,25 +176,29 @@ class Plan:
         margin = block.margin
         for trees in rounds:
             margin = margin + np.column_stack([np.array(tree.value)[tree.leaves(block.bins)] for tree in trees])
-        return Block(block.number, block.bins, block.label, margin)
+        return Block(block.number, block.bins, block.label, block.weight, margin)
 
     def added(self, block: Block, round_: int, trees: list[Tree], nodes: list[list[int]], sums: list[np.ndarray]) -> None:
         """Add a block's gradients and hessians to ``sums``: per output (2, open nodes, all bins)."""
         g, h = self.loss.steps(block.label, block.margin)
-        used = block.drawn(round_, self.subsample, self.seed) if self.subsample < 1 else np.ones(len(g), bool)
-        width, starts = sum(self.sizes), np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        times = block.drawn(round_, self.subsample, self.seed) if self.subsample < 1 else block.weight
+        g, h = g * times[:, None], h * times[:, None]
         for k, tree in enumerate(trees):
             place = np.full(len(tree.feature), -1)
             place[nodes[k]] = np.arange(len(nodes[k]))
             here = place[tree.leaves(block.bins)]
-            rows = np.flatnonzero((here >= 0) & used)
+            rows = np.flatnonzero((here >= 0) & (times > 0))
             if not len(rows):
                 continue
-            cells = (here[rows] * width)[:, None] + block.bins[rows].astype(np.int64) + starts[None, :]
-            flat, times = cells.ravel(), cells.shape[1]
-            size = len(nodes[k]) * width
-            for s, values in enumerate((g[rows, k], h[rows, k])):
-                sums[k][s] += np.bincount(flat, np.repeat(values, times), size).reshape(len(nodes[k]), width)
+            every = len(rows) == len(here)
+            here = here if every else here[rows]
+            own = [np.ascontiguousarray(v[:, k] if every else v[rows, k]) for v in (g, h)]
+            start, n = 0, len(nodes[k])
+            for size, bins in zip(self.sizes, block.bins, strict=True):
+                cells = here * size + (bins if every else bins[rows])
+                for s, values in enumerate(own):
+                    sums[k][s][:, start:start + size] += np.bincount(cells, values, n * size).reshape(n, size)
+                start += size
 
     def best(self, sums: np.ndarray) -> list[tuple[float, int, float, float, float, float]]:
         """(gain, bin, gradient and hessian on the left, in all) of the best split of one feature for each node."""
@@ -282,9 +301,11 @@ def _level(blocks: DataFrame, plan: Plan, number: int, since: list[list[Tree]],
         names = [c.split()[0] for c in FOUND.split(", ")]
         yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in rows], schema=_FOUND)
 
-    packed = blocks.mapInArrow(gather, "output int, feature int, sums binary")
+    groups = min(len(trees) * len(plan.sizes), blocks.sparkSession.sparkContext.defaultParallelism)
+    packed = blocks.mapInArrow(gather, "output int, feature int, sums binary").repartition(groups, "output", "feature")
     best = packed.groupBy("output", "feature").applyInArrow(settle, FOUND).collect()  # one row per feature and open node
     found: list[dict[int, list[tuple]]] = [{} for _ in nodes]
+    shared.unpersist()
     for row in sorted(best, key=lambda r: (r["output"], r["feature"], r["node"])):
         found[row["output"]].setdefault(row["feature"], []).append(tuple(row)[3:])
     return found
@@ -317,7 +338,10 @@ def boosted(blocks: DataFrame, plan: Plan, refresh: int = REFRESH) -> list[list[
         rounds.append(trees)
         since.append(trees)
         if len(since) == refresh and number + 1 < plan.rounds:
-            blocks, since = _rewritten(blocks, plan, since), []
+            stored, since = _rewritten(blocks, plan, since), []
+            if number + 1 > refresh:
+                drop_table(blocks)  # margins of an earlier round, which nothing reads any more
+            blocks = stored
     return rounds
 
 
@@ -334,7 +358,7 @@ def _rewritten(blocks: DataFrame, plan: Plan, since: list[list[Tree]]) -> DataFr
     return shared_table(blocks.mapInArrow(run, BLOCKS), "boosting")
 
 
-_BLOCKS = pa.schema([("block", pa.int64()), ("rows", pa.int32()), ("bins", pa.binary()), ("label", pa.binary()), ("margin", pa.binary())])
+_BLOCKS = pa.schema([("block", pa.int64()), ("rows", pa.int32()), ("bins", pa.binary()), ("label", pa.binary()), ("weight", pa.binary()), ("margin", pa.binary())])
 
 
 def cuts_of(df: DataFrame, features: str, max_bins: int = MAX_BINS) -> list[list[float]]:
@@ -349,28 +373,57 @@ def cuts_of(df: DataFrame, features: str, max_bins: int = MAX_BINS) -> list[list
     return cuts
 
 
-def blocked(df: DataFrame, features: str, label: str, cuts: list[list[float]], start: float, outputs: int) -> DataFrame:
-    """The rows in stored blocks of bins, labels and first margins."""
-    wide, types = max(map(len, cuts), default=0) + 1 > 256, _BLOCKS
-    shared = df.sparkSession.sparkContext.broadcast([np.array(c) for c in cuts])
-    rows = df.select(F.spark_partition_id().alias("part"), vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"))
+def blocked(df: DataFrame, features: str, label: str, cuts: list[list[float]], start: float, outputs: int, n: int) -> DataFrame:
+    """The ``n`` rows in stored blocks of bins, labels, weights and first margins; rows of equal bins and label are one."""
+    kind, types, width = np.uint16 if max(map(len, cuts), default=0) + 1 > 256 else np.uint8, _BLOCKS, len(cuts)
+    context = df.sparkSession.sparkContext
+    shared = context.broadcast([np.array(c) for c in cuts])
+    rows = df.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"))
+    counted = pa.schema([("bins", pa.binary()), ("y", pa.float64()), ("w", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, at = shared.value, 0
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(first, BLOCK_ROWS)
-                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, len(cuts))
-                bins = np.empty(x.shape, np.uint16 if wide else np.uint8)
-                for feature, bounds in enumerate(cuts):
-                    bins[:, feature] = np.searchsorted(bounds, x[:, feature], side="left")
-                number = (part.column("part")[0].as_py() << 32) + at
-                at += 1
-                y, margin = part.column("y").to_numpy(zero_copy_only=False), np.full((part.num_rows, outputs), start)
-                row = {"block": number, "rows": part.num_rows, "bins": bins.tobytes(), "label": y.tobytes(), "margin": margin.tobytes()}
-                yield pa.RecordBatch.from_pylist([row], schema=types)
-
-    return shared_table(rows.mapInArrow(run, BLOCKS), "boosting")
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            bins = np.empty(x.shape, kind)
+            for feature, bounds in enumerate(shared.value):
+                bins[:, feature] = np.searchsorted(bounds, x[:, feature], side="left")
+            each = [row.tobytes() for row in bins]
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), batch.column("y").cast(pa.float64()), pa.array(np.ones(len(each), np.int64))], schema=counted)
+
+    def stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for part in _cut(batches, BLOCK_ROWS):
+            size = part.num_rows
+            number = (part.column("part")[0].as_py() << 32) + at
+            at += 1
+            bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), kind).reshape(size, width)
+            y, w = (part.column(c).to_numpy() for c in ("y", "w"))
+            row = {
+                "block": number, "rows": size, "bins": bins.T.tobytes(), "label": y.astype(np.float64).tobytes(),
+                "weight": w.astype(np.int64).tobytes(), "margin": np.full((size, outputs), start).tobytes(),
+            }
+            yield pa.RecordBatch.from_pylist([row], schema=types)
+
+    tasks = max(min(context.defaultParallelism, -(-n // BLOCK_ROWS)), -(-n // TASK_ROWS), 1)
+    each = rows.mapInArrow(binned, "bins binary, y double, w long").groupBy("bins", "y").agg(F.sum("w").alias("w"))
+    # in an order of their own, so that a row has the same place whenever it is stored
+    each = each.repartition(tasks, "bins", "y").sortWithinPartitions("bins", "y").withColumn("part", F.spark_partition_id())
+    return shared_table(each.mapInArrow(stacked, BLOCKS), "boosting")
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Tables of ``size`` rows, the last one shorter."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= size:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, size)
+            held = table.slice(size).to_batches()
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
 
 
 class _BoostParams(Params):
@@ -417,8 +470,9 @@ class NewtonBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsW
             loss, [len(c) + 1 for c in cuts], self.get("rounds"), self.get("depth"), self.get("rate"), self.get("subsample"),
             self.get("penalty"), self.get("least"), self.get("seed"),
         )
-        blocks = blocked(dataset, features, label, cuts, start, loss.outputs)
-        if rows * max(len(cuts), 1) <= self.get("taskCells"):
+        blocks = blocked(dataset, features, label, cuts, start, loss.outputs, rows)
+        different = blocks.agg(F.sum("rows")).first()[0] or 0
+        if different * max(len(cuts), 1) <= self.get("taskCells"):
             rounds = _in_one_task(blocks, plan)
         else:
             rounds = boosted(blocks, plan)
@@ -482,8 +536,8 @@ class NewtonBoostModel(Model, _BoostParams, DefaultParamsReadable, DefaultParams
         def margins(x: pd.Series) -> pd.Series:
             if not len(x):
                 return pd.Series([], dtype=object)
-            columns = np.stack(x.to_numpy())
-            out = np.full((len(columns), loss.outputs), start)
+            columns = np.ascontiguousarray(np.stack(x.to_numpy()).T)
+            out = np.full((len(x), loss.outputs), start)
             for trees in shared.value:
                 for k, (tree, cuts) in enumerate(trees):
                     out[:, k] += np.array(tree.value)[tree.leaves(columns, cuts)]

@@ -111,3 +111,20 @@ def test_wide_bins_constant_features_and_one_class(spark, tmp_path):
     assert again.select("id", "prediction").exceptAll(scored.select("id", "prediction")).count() == 0
     same = NewtonBoost(classes=2, rounds=2).fit(frame(spark, x, np.zeros(900)))
     assert same.transform(df).filter("prediction != 0").count() == 0 and same.featureImportances.toArray().sum() == 0
+
+
+@pytest.mark.parametrize("cells", [0, 10**9])
+def test_equal_rows_are_held_once(spark, cells):
+    """Six times the rows are as many rows in blocks, with weights, and grow the trees of all rows."""
+    x, y = data(150, 2)
+    many = np.concatenate([x] * 6), np.concatenate([y] * 6)
+    df = frame(spark, *many).repartition(5)
+    cuts = boosting.cuts_of(df, "features")
+    blocks = boosting.blocked(df, "features", "label", cuts, 0.0, 1, len(many[1]))
+    held = [boosting.Block.read(r.asDict(), 3, 1, False) for r in blocks.collect()]
+    different = len(np.unique(np.column_stack([x, y]), axis=0))
+    assert sum(len(b.label) for b in held) == different and sum(b.weight.sum() for b in held) == 900
+    model = NewtonBoost(classes=2, rounds=3, depth=3, taskCells=cells).fit(df)
+    margin = plain(*many, 2, 3, 3)
+    got = np.array([r["p"] for r in model.transform(df).orderBy("id").select(vector_to_array("probability").alias("p")).collect()])
+    assert np.allclose(got, Loss(2).chances(margin), atol=1e-9)
