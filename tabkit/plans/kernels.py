@@ -1,7 +1,8 @@
 """Support vector machines with a Gaussian kernel, exact, by a cascade.
 
 The dual problem is solved on parts of the rows; what each part keeps is its support vectors. Parts are merged four by
-four and solved again until one set is left. Then all rows are held against the machine: rows that break an optimality
+four and solved again, from the multipliers that they have, until one set is left. Equal rows of a class are one row
+whose multiplier may be as many times as large. Then all rows are held against the machine: rows that break an optimality
 condition, the worst ``VIOLATORS`` first, join the set, which is solved again, until no row breaks one. Every round
 raises the dual objective, so the rounds end, and they end at the solution for all rows. Several classes are a
 machine for every pair of classes, whose votes elect the class, the lower one on ties.
@@ -34,7 +35,7 @@ TOLERANCE = 1e-3
 ROUNDS = 200
 #: Rows whose whole kernel matrix is kept.
 MATRIX_ROWS = 4000
-SOLVED = "problem int, part long, id long, y double, vec array<double>, alpha double, offset double"
+SOLVED = "problem int, part long, id long, y double, vec array<double>, w long, alpha double, offset double"
 
 
 def kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
@@ -42,10 +43,11 @@ def kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(squares, 0))
 
 
-def solve(x: np.ndarray, y: np.ndarray, c: float, gamma: float, alpha: np.ndarray | None = None, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+def solve(x: np.ndarray, y: np.ndarray, c: float | np.ndarray, gamma: float, alpha: np.ndarray | None = None, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
     """Multipliers and offset of the dual problem, two multipliers at a time: the one that breaks the conditions most,
-    and the one that then gains most."""
+    and the one that then gains most. ``c`` bounds all multipliers or each of them, ``alpha`` is a feasible start."""
     n = len(y)
+    c = np.broadcast_to(np.asarray(c, float), n)
     matrix = kernel(x, x, gamma) if n <= MATRIX_ROWS else None
     rows: dict[int, np.ndarray] = {}
 
@@ -60,8 +62,10 @@ def solve(x: np.ndarray, y: np.ndarray, c: float, gamma: float, alpha: np.ndarra
 
     alpha = np.zeros(n) if alpha is None else alpha.copy()
     slope = -np.ones(n)
-    for i in np.flatnonzero(alpha):
-        slope += y[i] * alpha[i] * y * row(i)
+    held = np.flatnonzero(alpha)
+    for start in range(0, len(held), 256):
+        some = held[start:start + 256]
+        slope += y * ((matrix[:, some] if matrix is not None else kernel(x, x[some], gamma)) @ (y[some] * alpha[some]))
     for _ in range(200 * n + 10_000):
         force = -y * slope
         up = (alpha < c) & (y > 0) | (alpha > 0) & (y < 0)
@@ -79,11 +83,11 @@ def solve(x: np.ndarray, y: np.ndarray, c: float, gamma: float, alpha: np.ndarra
         there = row(j)
         step = (force[i] - force[j]) / max(2 - 2 * here[j], 1e-12)
         # y_i alpha_i grows and y_j alpha_j falls by the step, as far as the box allows
-        step = min(step, c - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else c - alpha[j])
+        step = min(step, c[i] - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else c[j] - alpha[j])
         alpha[i] += y[i] * step
         alpha[j] -= y[j] * step
         for k in (i, j):
-            alpha[k] = 0.0 if alpha[k] < 1e-12 * c else c if alpha[k] > c * (1 - 1e-12) else alpha[k]
+            alpha[k] = 0.0 if alpha[k] < 1e-12 * c[k] else c[k] if alpha[k] > c[k] * (1 - 1e-12) else alpha[k]
         slope += step * y * (here - there)
     force = -y * slope
     free = (alpha > 0) & (alpha < c)
@@ -133,7 +137,7 @@ class KernelMachine(Estimator, _KernelParams, DefaultParamsReadable, DefaultPara
         for problem, n in counts.items():
             parts = F.when(F.col("problem") == problem, -(-n // self.get("partRows"))).otherwise(parts)
         blank = (F.lit(0.0).alias("alpha"), F.lit(0.0).alias("offset"))
-        level = rows.select("problem", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("long").alias("part"), "id", "y", "vec", *blank)
+        level = rows.select("problem", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("long").alias("part"), "id", "y", "vec", "w", *blank)
         level = shared_table(self._solved(level), "cascade")
         while level.agg(F.max("part")).first()[0] or 0:
             merged = level.withColumn("part", F.floor(F.col("part") / FAN_IN))
@@ -144,23 +148,22 @@ class KernelMachine(Estimator, _KernelParams, DefaultParamsReadable, DefaultPara
             worst = model.broken(rows, level, VIOLATORS)
             if worst is None:
                 return model
-            joined = level.unionByName(worst.select("problem", F.lit(0).cast("long").alias("part"), "id", "y", "vec", *blank))
+            joined = level.unionByName(worst.select("problem", F.lit(0).cast("long").alias("part"), "id", "y", "vec", "w", *blank))
             self._bounded(joined)
             level = shared_table(self._solved(joined), "cascade")
         raise ValueError(f"the cascade did not settle in {ROUNDS} rounds")
 
     def _rows(self, dataset: DataFrame) -> DataFrame:
-        """(problem, id, y, vec): every row once for each pair of classes that it belongs to. Equal rows have numbers of
-        their own, in a stored table."""
+        """(problem, id, y, vec, w): every different row once for each pair of classes that it belongs to, with the number
+        of its copies. Rows are numbered in a stored table."""
         label, every = F.col("label").cast("int"), pairs(self.get("classes"))
         numbered = shared_table(
-            dataset.select(
-                vector_to_array(F.col(self.get("featuresCol"))).alias("vec"), F.col(self.get("labelCol")).alias("label"), F.monotonically_increasing_id().alias("id")
-            ), "cascade-rows",
+            dataset.select(vector_to_array(F.col(self.get("featuresCol"))).alias("vec"), F.col(self.get("labelCol")).alias("label"))
+            .groupBy("vec", "label").agg(F.count(F.lit(1)).alias("w")).withColumn("id", F.monotonically_increasing_id()), "cascade-rows",
         )
         entry = lambda i, a, b: F.when(label.isin(a, b), F.struct(F.lit(i).alias("problem"), F.when(label == b, 1.0).otherwise(-1.0).alias("y")))
         mine = F.filter(F.array(*[entry(i, a, b) for i, (a, b) in enumerate(every)]), lambda e: e.isNotNull())
-        return numbered.select("id", "vec", F.explode(mine).alias("e")).select("e.problem", "id", "e.y", "vec")
+        return numbered.select("id", "vec", "w", F.explode(mine).alias("e")).select("e.problem", "id", "e.y", "vec", "w")
 
     def _bounded(self, level: DataFrame) -> None:
         most = level.groupBy("problem", "part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -174,7 +177,7 @@ class KernelMachine(Estimator, _KernelParams, DefaultParamsReadable, DefaultPara
         def run(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("id", ignore_index=True).drop_duplicates("id")
             x, y = np.stack(part["vec"].to_numpy()), part["y"].to_numpy()
-            alpha, offset = solve(x, y, c, gamma)
+            alpha, offset = solve(x, y, c * part["w"].to_numpy(), gamma, part["alpha"].to_numpy())
             # a part of one class has no support vectors: its first row stands for it
             kept = alpha > 0 if (alpha > 0).any() else np.arange(len(y)) == 0
             return part.assign(alpha=alpha, offset=offset)[kept]

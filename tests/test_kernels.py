@@ -100,3 +100,17 @@ def test_support_vector_regression_follows_a_curve(spark, tmp_path):
     flat = epsilon.EpsilonRegression().fit(frame(spark, x, np.full(200, 3.0)))
     assert abs(flat.intercept - 3) <= 0.1 + 1e-6 and np.abs(flat.coefficients.toArray()).max() < 1e-6
     assert vector_to_array("features") is not None
+
+
+def test_copies_are_one_row_and_solutions_are_taken_up(spark, monkeypatch):
+    """Eight copies of every row make no more support vectors; a solved problem is not solved again from nothing."""
+    x, y = blobs(150, seed=4)
+    side = np.where(y == 1, 1.0, -1.0)
+    many, offset = kernels.solve(np.concatenate([x] * 8), np.concatenate([side] * 8), 1.0, 0.5, tolerance=1e-7)
+    once, same = kernels.solve(x, side, np.full(150, 8.0), 0.5, tolerance=1e-7)
+    assert np.abs(kernels.kernel(x, x, 0.5) @ (side * (many.reshape(8, 150).sum(axis=0) - once)) + offset - same).max() < 1e-3
+    again, _ = kernels.solve(x, side, np.full(150, 8.0), 0.5, once, tolerance=1e-7)
+    assert np.array_equal(once, again)
+    model = kernels.KernelMachine(gamma=0.5, maxSupport=150).fit(frame(spark, np.concatenate([x] * 8), np.concatenate([y] * 8)))
+    conditions(x, y, model, 0, 0, 1, 8.0, 0.5)
+    assert model.support <= 150
