@@ -6,7 +6,8 @@ rows. ``NamedEstimator`` does that at fit time, which keeps it right inside cros
 
 Kernel machines have no Spark counterpart. "Support Vector Machine (SVM)" is a linear SVM on random Fourier
 features of the RBF kernel (Rahimi & Recht, 2007), or with ``method="exact"`` the machine itself, by a cascade
-(``tabkit.plans.kernels``); "Support Vector Regression (SVR)" has the epsilon-insensitive loss on such features. "XGBoost" is boosting by gradients and hessians (``tabkit.plans.boosting``), with a softmax for
+(``tabkit.plans.kernels``); "Support Vector Regression (SVR)" has the epsilon-insensitive loss on such features
+(``tabkit.plans.fourier``). "XGBoost" is boosting by gradients and hessians (``tabkit.plans.boosting``), with a softmax for
 several classes. Scores are close in kind, not equal.
 """
 
@@ -25,6 +26,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
     MLWritable, MLWriter,
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from tabkit.operators.knn import CellIndex, elected, votes
 from tabkit.operators.target import CLASSIFICATION, REGRESSION
 from tabkit.plans.boosting import NewtonBoost
-from tabkit.plans.epsilon import EpsilonRegression
+from tabkit.plans.epsilon import EpsilonRegression, Waves
+from tabkit.plans.fourier import FourierMachine
 from tabkit.plans.kernels import KernelMachine
 from tabkit.session import shared_table
 
@@ -119,14 +122,11 @@ class FourierFeatures(Transformer, _Vectors, DefaultParamsReadable, DefaultParam
         self._setDefault(gamma=1.0, components=FOURIER_COMPONENTS, seed=SEED, outputCol="fourier")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        rng = np.random.default_rng(self.get("seed"))
-        m = self.get("components")
-        directions = rng.normal(0.0, np.sqrt(2 * self.get("gamma")), (self.get("width"), m))
-        shifts = rng.uniform(0, 2 * np.pi, m)
+        waves = Waves.drawn(self.get("gamma"), self.get("width"), self.get("components"), self.get("seed"))
 
         @F.pandas_udf("array<double>")
         def cosines(x: pd.Series) -> pd.Series:
-            return pd.Series(list(np.sqrt(2.0 / m) * np.cos(np.stack(x.to_numpy()) @ directions + shifts)))
+            return pd.Series(list(waves.of(np.stack(x.to_numpy()))) if len(x) else [])
 
         expanded = array_to_vector(cosines(vector_to_array(F.col(self.get("featuresCol")))))
         return dataset.withColumn(self.get("outputCol"), expanded)
@@ -264,11 +264,14 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
                 numTrees=self.get("n_estimators"), featureSubsetStrategy="sqrt", **self._tree(), **columns
             )
         elif name == "Support Vector Machine (SVM)":
-            if self.get("method") == "exact" and self.get("kernel") == "rbf":
-                gamma, _ = self._gamma(dataset)
-                return KernelMachine(classes=max(classes, 2), C=self.get("C"), gamma=gamma, **columns).fit(dataset)
-            svm = lambda c: LinearSVC(regParam=1.0 / (self.get("C") * n), standardization=False, tol=1e-3, **c)
-            return self._with_kernel(dataset, lambda c: svm(c) if classes <= 2 else OneVsRest(classifier=svm(c), parallelism=min(classes, 4), **c))
+            if self.get("kernel") != "linear":
+                gamma, width = self._gamma(dataset)
+                if self.get("method") == "exact" and self.get("kernel") == "rbf":
+                    return KernelMachine(classes=max(classes, 2), C=self.get("C"), gamma=gamma, **columns).fit(dataset)
+                return FourierMachine(classes=max(classes, 2), C=self.get("C"), gamma=gamma, width=width, **columns).fit(dataset)
+            estimator = LinearSVC(regParam=1.0 / (self.get("C") * n), standardization=False, tol=1e-3, **columns)
+            if classes > 2:
+                estimator = OneVsRest(classifier=estimator, parallelism=min(classes, 4), **columns)
         elif name == "K-Nearest Neighbors (KNN)":
             points = dataset.select(
                 vector_to_array(F.col(columns["featuresCol"])).alias("vec"),
@@ -301,10 +304,11 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
                 numTrees=self.get("n_estimators"), featureSubsetStrategy="all", **self._tree(), **columns
             )
         elif name == "Support Vector Regression (SVR)":
-            return self._with_kernel(
-                dataset,
-                lambda c: EpsilonRegression(C=self.get("C"), epsilon=self.get("epsilon"), **c),
-            )
+            costs = {"C": self.get("C"), "epsilon": self.get("epsilon"), **columns}
+            if self.get("kernel") != "linear":
+                gamma, width = self._gamma(dataset)
+                return FourierMachine(gamma=gamma, width=width, **costs).fit(dataset)
+            estimator = EpsilonRegression(**costs)
         else:
             estimator = NewtonBoost(**self._boost(), **columns)
         return estimator.fit(dataset)
@@ -315,27 +319,16 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
             "subsample": self.get("subsample"), "seed": SEED,
         }
 
-    def _with_kernel(self, dataset: DataFrame, machine) -> Model:
-        if self.get("kernel") == "linear":
-            return machine(self._columns()).fit(dataset)
-        features = self.get("featuresCol")
-        gamma, width = self._gamma(dataset)
-        fourier = FourierFeatures()._set(featuresCol=features, gamma=gamma, width=width)
-        expanded = fourier.transform(dataset.select(features, self.get("labelCol"))).select("fourier", self.get("labelCol"))
-        expanded = expanded.persist()
-        try:
-            return PipelineModel([fourier, machine(self._columns("fourier")).fit(expanded)])
-        finally:
-            expanded.unpersist()
-
     def _gamma(self, dataset: DataFrame) -> tuple[float, int]:
         """The kernel's width as a number, and the size of the vectors."""
         features = self.get("featuresCol")
         width = len(dataset.select(features).first()[0])
         gamma = self.get("gamma")
         if gamma == "scale":
-            value = F.explode(vector_to_array(F.col(features)))
-            variance = dataset.select(value.alias("x")).agg(F.var_pop("x")).first()[0]
+            # the variance of all entries from those of the columns
+            found = Summarizer.metrics("mean", "variance", "count").summary(F.col(features)).alias("s")
+            means, variances, n = dataset.select(found).first()["s"]
+            variance = float(np.mean(variances.toArray()) * (n - 1) / n + np.var(means.toArray()))
             gamma = 1.0 / (width * variance) if variance else 1.0
         elif gamma == "auto":
             gamma = 1.0 / width

@@ -4,10 +4,11 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from tabkit.operators.target import CLASSIFICATION, REGRESSION
-from tabkit.plans import epsilon, kernels
+from tabkit.plans import epsilon, fourier, kernels
 from tabkit.plans import models as D
 
 
@@ -114,3 +115,62 @@ def test_copies_are_one_row_and_solutions_are_taken_up(spark, monkeypatch):
     model = kernels.KernelMachine(gamma=0.5, maxSupport=150).fit(frame(spark, np.concatenate([x] * 8), np.concatenate([y] * 8)))
     conditions(x, y, model, 0, 0, 1, 8.0, 0.5)
     assert model.support <= 150
+
+
+@pytest.mark.parametrize("name, problem", [("Support Vector Machine (SVM)", CLASSIFICATION), ("Support Vector Regression (SVR)", REGRESSION)])
+def test_rows_are_stored_as_given_and_expanded_where_they_are_summed(spark, name, problem, monkeypatch):
+    stored, write = [], epsilon.shared_table
+    monkeypatch.setattr(epsilon, "shared_table", lambda df, label: stored.append(write(df, label)) or stored[-1])
+    kept = []
+    monkeypatch.setattr(epsilon, "drop_table", lambda df: kept.append(df.agg(F.sum(F.length("x"))).first()[0]))
+    x, y = blobs(300, 3)
+    model = D.get_estimator(name, problem).fit(frame(spark, x, y))
+    assert kept == [300 * 2 * 8] and len(stored) == 1
+    assert D.model_size(model) == ({"models": 3} if problem == CLASSIFICATION else {"coefficients": 128})
+
+
+@pytest.mark.parametrize("cells", [0, 10**7])
+@pytest.mark.parametrize("classes", [2, 3])
+def test_fourier_machine_is_near_its_bound(spark, classes, cells, tmp_path, monkeypatch):
+    monkeypatch.setattr(epsilon, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(epsilon, "DIRECT_TASKS", 2)
+    x, y = blobs(400, classes, 5)
+    df = frame(spark, x, y).repartition(5)
+    model = fourier.FourierMachine(classes=classes, C=0.5, gamma=0.4, width=2, components=40, taskCells=cells).fit(df)
+    z = model._waves().of(x)
+    margins = np.column_stack([z @ w[:-1] + w[-1] for w in model.models])
+    for k, w in enumerate(model.models):
+        side = np.where(y == (1 if classes == 2 else k), 1.0, -1.0)
+        value = w[:-1] @ w[:-1] / 2 + 0.5 * np.maximum(1 - side * margins[:, k], 0).sum()
+        bound = model.getOrDefault(model.bounds)[k]
+        assert abs(value - model.getOrDefault(model.objectives)[k]) < 1e-9 * value and bound <= value <= bound * 1.002
+    expected = (margins[:, 0] > 0) * 1.0 if classes == 2 else margins.argmax(axis=1)
+    model.write().overwrite().save(str(tmp_path / "machine"))
+    for scorer in (model, fourier.FourierModel.load(str(tmp_path / "machine"))):
+        rows = scorer.transform(df).orderBy("id").select("prediction", vector_to_array("rawPrediction")).collect()
+        assert [r[0] for r in rows] == expected.tolist()
+        assert np.allclose([r[1] for r in rows], margins if classes == 3 else margins @ [[-1.0, 1.0]])
+
+
+def test_cosines_of_blocks():
+    z = np.random.default_rng(1).normal(0, 50, (700, 3))
+    expected = np.cos(z)
+    epsilon._cosines(z)
+    assert np.abs(z - expected).max() < 1e-12
+
+
+def test_one_class_only_and_places_of_sparse_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    places = [sorted(rng.choice(300, rng.integers(0, 4), replace=False).tolist()) for _ in range(200)]
+    vectors = [Vectors.sparse(300, p, [float(i % 5 + 1) for i in p]) for p in places]
+    y = [float(sum(p) % 2) for p in places]
+    sparse = spark.createDataFrame(list(zip(vectors, y, strict=True)), ["features", "label"])
+    mixed = spark.createDataFrame([(v if i % 3 else Vectors.dense(v.toArray()), b) for i, (v, b) in enumerate(zip(vectors, y, strict=True))], ["features", "label"])
+    fits = []
+    for df, wide in ((sparse, 256), (sparse, 1000), (mixed, 256)):
+        monkeypatch.setattr(epsilon, "DENSE_WIDTH", wide)
+        fits.append(fourier.FourierMachine(classes=2, gamma=0.01, width=300, components=20, gap=1e-6).fit(df))
+    objectives = [m.getOrDefault(m.objectives)[0] for m in fits]
+    assert max(objectives) <= min(objectives) * (1 + 2e-6)
+    alone = fourier.FourierMachine(classes=2, gamma=0.01, width=300, components=20).fit(sparse.withColumn("label", F.lit(0.0)))
+    assert alone.transform(sparse).filter("prediction != 0").count() == 0
