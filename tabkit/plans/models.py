@@ -8,7 +8,8 @@ Kernel machines have no Spark counterpart. "Support Vector Machine (SVM)" is a l
 features of the RBF kernel (Rahimi & Recht, 2007), or with ``method="exact"`` the machine itself, by a cascade
 (``tabkit.plans.kernels``); "Support Vector Regression (SVR)" has the epsilon-insensitive loss on such features
 (``tabkit.plans.fourier``). "XGBoost" is boosting by gradients and hessians (``tabkit.plans.boosting``), with a softmax for
-several classes. Scores are close in kind, not equal.
+several classes. Forests keep Spark's rules (32 bins, Poisson draws, depth 30) but hold equal binned rows once
+(``tabkit.plans.forest``). Scores are close in kind, not equal.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
@@ -38,6 +39,7 @@ from tabkit.operators.knn import CellIndex, elected, votes
 from tabkit.operators.target import CLASSIFICATION, REGRESSION
 from tabkit.plans.boosting import NewtonBoost
 from tabkit.plans.epsilon import EpsilonRegression, Waves
+from tabkit.plans.forest import Forest
 from tabkit.plans.fourier import FourierMachine
 from tabkit.plans.kernels import KernelMachine
 from tabkit.session import shared_table
@@ -242,6 +244,10 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
             "minInstancesPerNode": self.get("min_samples_leaf"), "seed": SEED,
         }
 
+    def _forest(self) -> dict[str, Any]:
+        tree = self._tree()
+        return {"trees": self.get("n_estimators"), "depth": tree["maxDepth"], "least": tree["minInstancesPerNode"], "seed": SEED}
+
     def _fit(self, dataset: DataFrame) -> Model:
         problem, name = self.get("problemType"), self.get("name")
         columns = self._columns()
@@ -260,9 +266,7 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
         elif name == "Decision Tree":
             estimator = DecisionTreeClassifier(impurity=self.get("criterion"), **self._tree(), **columns)
         elif name == "Random Forest":
-            estimator = RandomForestClassifier(
-                numTrees=self.get("n_estimators"), featureSubsetStrategy="sqrt", **self._tree(), **columns
-            )
+            estimator = Forest(classes=max(classes, 2), subset="sqrt", **self._forest(), **columns)
         elif name == "Support Vector Machine (SVM)":
             if self.get("kernel") != "linear":
                 gamma, width = self._gamma(dataset)
@@ -300,9 +304,7 @@ class NamedEstimator(Estimator, _Vectors, DefaultParamsReadable, DefaultParamsWr
         elif name == "Decision Tree":
             estimator = DecisionTreeRegressor(**self._tree(), **columns)
         elif name == "Random Forest":
-            estimator = RandomForestRegressor(
-                numTrees=self.get("n_estimators"), featureSubsetStrategy="all", **self._tree(), **columns
-            )
+            estimator = Forest(subset="all", **self._forest(), **columns)
         elif name == "Support Vector Regression (SVR)":
             costs = {"C": self.get("C"), "epsilon": self.get("epsilon"), **columns}
             if self.get("kernel") != "linear":
