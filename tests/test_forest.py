@@ -148,3 +148,23 @@ def test_saved_forests_one_row_and_one_class(spark, tmp_path):
     assert single.transform(df).filter("abs(prediction - 5) > 1e-9").count() == 0
     same = get_estimator("Random Forest", CLASSIFICATION, n_estimators=5).fit(frame(spark, x, np.zeros(200)))
     assert same.transform(df).filter("prediction != 0").count() == 0 and same.featureImportances.toArray().sum() == 0
+
+
+def test_importance_of_deep_trees_takes_no_more_jobs(spark):
+    """A forest that fits into tasks takes as many jobs as a flat one; Spark's own took one more for every level."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 30, 3000), rng.integers(0, 30, 3000), rng.integers(0, 2, 3000)])
+    y = (x[:, 0] // 4 % 3 * (rng.random(3000) < 0.9)).astype(float)
+    df, context = frame(spark, x, y).persist(), spark.sparkContext
+    df.count()
+    jobs = []
+    for depth in (2, None):
+        context.setJobGroup(f"forest-{depth}", "fit")
+        model = get_estimator("Random Forest", CLASSIFICATION, n_estimators=10, max_depth=depth).fit(df)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"forest-{depth}")))
+    context.setJobGroup("other", "other")
+    assert jobs[0] == jobs[1] > 0 and min(len(t.left) for t in model.grown) > 100
+    shares = model.featureImportances.toArray()
+    each = [np.bincount(t.feature[t.left >= 0], t.gain[t.left >= 0], 3) for t in model.grown]
+    assert np.allclose(shares, np.mean([e / e.sum() for e in each], axis=0)) and shares.argmax() == 0
+    df.unpersist()
