@@ -168,3 +168,21 @@ def test_importance_of_deep_trees_takes_no_more_jobs(spark):
     each = [np.bincount(t.feature[t.left >= 0], t.gain[t.left >= 0], 3) for t in model.grown]
     assert np.allclose(shares, np.mean([e / e.sum() for e in each], axis=0)) and shares.argmax() == 0
     df.unpersist()
+
+
+def test_no_task_gets_more_than_it_may_hold(spark, monkeypatch):
+    """Nodes that are sent to tasks hold at most ``taskCells`` stored bins, and all rows of a tree are in one or in a finished leaf."""
+    x, y = data(400, 0)
+    sent = []
+    monkeypatch.setattr(R, "_finished", lambda blocks, plan, tops, nodes, own=R._finished: sent.append((blocks, plan, tops, nodes)) or own(blocks, plan, tops, nodes))
+    R.Forest(trees=4, depth=8, taskCells=200).fit(frame(spark, x, y))
+    (blocks, plan, tops, nodes), = sent
+    held: dict[tuple[int, int], int] = {}
+    for block in blocks.collect():
+        rows = R.Rows.read([block.asDict()])
+        for top in tops:
+            here, drawn = top.places(rows, plan), plan.drawn(top.tree, block["block"], rows.weight) > 0
+            for node, n in zip(*np.unique(here[rows.row[drawn[rows.row]]], return_counts=True), strict=True):
+                held[top.tree, int(node)] = held.get((top.tree, int(node)), 0) + int(n)
+    assert len(nodes) > 8 and all(node in nodes or node[1] in tops[node[0]].leaf for node in held)
+    assert max(held.get(node, 0) for node in nodes) <= 1.2 * 200  # sizes are counted in rows of the average length
