@@ -7,6 +7,8 @@ trains: its split, leaves, scores and metrics must be equal.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -142,14 +144,25 @@ def _conditions(spark, d):
     vectors = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
     model = KernelMachine(C=2.0, gamma=0.3).fit(vectors)
     (x, weights, offset), = model._machines()
-    entries = [F.struct(F.lit(float(p[0])).alias("a"), F.lit(float(p[1])).alias("b"), F.lit(float(w)).alias("w")) for p, w in zip(x, weights, strict=True)]
-    far = lambda s: (F.col("a") - s["a"]) ** 2 + (F.col("b") - s["b"]) ** 2
-    value = F.aggregate(F.array(*entries), F.lit(offset), lambda v, s: v + s["w"] * F.exp(-0.3 * far(s)))
-    side = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
-    own = F.aggregate(F.array(*entries), F.lit(0.0), lambda v, s: F.when((far(s) == 0), F.abs(s["w"])).otherwise(v))
-    margin, near = side * value, 5e-3
+    points, weights = np.array(x), np.array(weights)
+    multipliers = {(p[0], p[1]): abs(w) for p, w in zip(points.tolist(), weights.tolist(), strict=True)}
+
+    @F.pandas_udf("value double, own double")
+    def at(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        value, step = np.full(len(a), offset), max((1 << 18) // len(points), 1)
+        for start in range(0, len(a), step):
+            part = slice(start, start + step)
+            far = np.subtract.outer(a.to_numpy()[part], points[:, 0]) ** 2
+            far += np.subtract.outer(b.to_numpy()[part], points[:, 1]) ** 2
+            far *= -0.3
+            value[part] += np.exp(far, out=far) @ weights
+        return pd.DataFrame({"value": value, "own": [multipliers.get(p, 0.0) for p in zip(a.tolist(), b.tolist(), strict=True)]})
+
+    told = rows.repartition("c_custkey").withColumn("at", at("a", "b"))
+    side, own = F.when(F.col("label") == 1, 1.0).otherwise(-1.0), F.col("at.own")
+    margin, near = side * F.col("at.value"), 5e-3
     holds = F.when(own == 0, margin >= 1 - near).when(own >= 2.0, margin <= 1 + near).otherwise(F.abs(margin - 1) <= near)
-    return rows.select("c_custkey", holds.alias("condition_holds"))
+    return told.select("c_custkey", holds.alias("condition_holds"))
 
 
 _SIDE = "CASE WHEN (c_acctbal / 1000 - 4) * (c_acctbal / 1000 - 4) + (c_nationkey / 5 - 2) * (c_nationkey / 5 - 2) * 4 > 9 THEN 1.0 ELSE 0.0 END"

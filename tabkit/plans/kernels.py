@@ -1,7 +1,8 @@
 """Support vector machines with a Gaussian kernel, exact, by a cascade.
 
 The dual problem is solved on parts of the rows; what each part keeps is its support vectors. Parts are merged four by
-four and solved again, from the multipliers that they have, until one set is left. Equal rows of a class are one row
+four and solved again, from the multipliers that they have, until one set is left. A part that two multipliers at a time do
+not settle soon is solved by an interior point, where its kernel matrix is near one of low rank. Equal rows of a class are one row
 whose multiplier may be as many times as large. Then all rows are held against the machine: rows that break an optimality
 condition, the worst ``VIOLATORS`` first, join the set, which is solved again, until no row breaks one. Every round
 raises the dual objective, so the rounds end, and they end at the solution for all rows. Several classes are a
@@ -33,19 +34,94 @@ VIOLATORS = 500
 MAX_SUPPORT = 20_000
 TOLERANCE = 1e-3
 ROUNDS = 200
+#: Tasks over which the parts of a level are spread.
+MOST_TASKS = 256
 #: Rows whose whole kernel matrix is kept.
 MATRIX_ROWS = 4000
+#: Steps of two multipliers before an interior point is looked for; columns and cells of the factor that it needs, at most.
+FIRST_STEPS = 2000
+FACTOR_COLUMNS = 600
+FACTOR_CELLS = 1 << 23
 SOLVED = "problem int, part long, id long, y double, vec array<double>, w long, alpha double, offset double"
 
 
 def kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
-    return np.exp(-gamma * np.maximum(squares, 0))
+    squares = np.add.outer((a * a).sum(axis=1), (b * b).sum(axis=1))
+    squares -= 2 * a @ b.T
+    np.maximum(squares, 0, out=squares)
+    squares *= -gamma
+    return np.exp(squares, out=squares)
+
+
+def factor(x: np.ndarray, gamma: float, most: int, left_over: float = 1e-9) -> np.ndarray | None:
+    """Columns whose products with each other are the kernel matrix up to ``left_over`` (a pivoted Cholesky factor); None if
+    ``most`` columns are too few. Few are enough if rows lie close together for the kernel."""
+    n = len(x)
+    left, columns = np.ones(n), np.empty((min(n, most, 64), n))
+    for r in range(min(n, most)):
+        at = int(left.argmax())
+        if left[at] <= left_over:
+            return columns[:r].T
+        if r == len(columns):
+            columns = np.concatenate([columns, np.empty_like(columns)])
+        columns[r] = (kernel(x[at:at + 1], x, gamma)[0] - columns[:r, at] @ columns[:r]) / np.sqrt(left[at])
+        left -= columns[r] * columns[r]
+        left[at] = 0
+    return columns[:min(n, most)].T if left.max() <= left_over else None
+
+
+def interior(half: np.ndarray, y: np.ndarray, c: np.ndarray, gap: float = 1e-8, steps: int = 80) -> np.ndarray | None:
+    """Multipliers of the dual problem by an interior-point method (Mehrotra's steps) over a ``factor`` of the kernel matrix:
+    a step costs rows times columns squared, and the number of steps hardly depends on the rows or on ``c``."""
+    half = half * y[:, None]
+    both = [c[y > 0].sum(), c[y < 0].sum()]
+    alpha = 0.1 * c * np.where(y > 0, min(both) / both[0], min(both) / both[1])
+    room, lower, upper, offset = c - alpha, np.ones(len(y)), np.ones(len(y)), 0.0
+    longest = lambda v, dv: min(1.0, (-v[dv < 0] / dv[dv < 0]).min(initial=1.0))
+    for _ in range(steps):
+        short = half @ (half.T @ alpha) - 1 + offset * y - lower + upper
+        if np.abs(short).max() < 1e-5 and max((lower * alpha / c).max(), (upper * room / c).max()) < gap:
+            break
+        weight = lower / alpha + upper / room
+        light = half / weight[:, None]
+        try:
+            small = np.linalg.inv(np.linalg.cholesky(np.eye(half.shape[1]) + half.T @ light))
+        except np.linalg.LinAlgError:  # as near as the digits allow
+            break
+        inverse = lambda v: v / weight - light @ (small.T @ (small @ (light.T @ v)))  # noqa: B023, E731
+        across = inverse(y)
+
+        def step(low, high):
+            d = inverse(low / alpha - high / room - lower + upper - short)  # noqa: B023
+            shift = (y @ d + y @ alpha) / (y @ across)  # noqa: B023
+            d = d - shift * across  # noqa: B023
+            return d, shift, (low - lower * d) / alpha - lower, (high + upper * d) / room - upper  # noqa: B023
+
+        mean = (lower @ alpha + upper @ room) / (2 * len(y))
+        d, _, dl, du = step(0.0, 0.0)
+        p, q = min(longest(alpha, d), longest(room, -d)), min(longest(lower, dl), longest(upper, du))
+        ahead = ((alpha + p * d) @ (lower + q * dl) + (room - p * d) @ (upper + q * du)) / (2 * len(y))
+        aim = (ahead / mean) ** 3 * mean
+        d, shift, dl, du = step(aim - d * dl, aim + d * du)
+        size = 0.995 * min(longest(alpha, d), longest(room, -d), longest(lower, dl), longest(upper, du))
+        alpha, room, offset = alpha + size * d, room - size * d, offset + size * shift  # a difference of c would round to 0
+        lower, upper = lower + size * dl, upper + size * du
+    if not np.isfinite(alpha).all():
+        return None
+    alpha = np.where(alpha < 1e-6 * c, 0.0, np.where(alpha > c * (1 - 1e-6), c, alpha))
+    over = float(y @ alpha)
+    mine = np.flatnonzero((y * over > 0) & (alpha > 0))
+    mine = mine[np.argsort(alpha[mine] >= c[mine], kind="stable")]  # those at the bound stay there if they can
+    cut = np.minimum(alpha[mine], np.maximum(abs(over) - (np.cumsum(alpha[mine]) - alpha[mine]), 0))
+    alpha[mine] -= cut
+    return alpha
 
 
 def solve(x: np.ndarray, y: np.ndarray, c: float | np.ndarray, gamma: float, alpha: np.ndarray | None = None, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
     """Multipliers and offset of the dual problem, two multipliers at a time: the one that breaks the conditions most,
-    and the one that then gains most. ``c`` bounds all multipliers or each of them, ``alpha`` is a feasible start."""
+    and the one that then gains most. Wide boxes take very many such steps: if a few thousand are not enough and the kernel
+    matrix has a thin ``factor``, they go on from the ``interior`` solution. ``c`` bounds all multipliers or each of them,
+    ``alpha`` is a feasible start."""
     n = len(y)
     c = np.broadcast_to(np.asarray(c, float), n)
     matrix = kernel(x, x, gamma) if n <= MATRIX_ROWS else None
@@ -60,35 +136,51 @@ def solve(x: np.ndarray, y: np.ndarray, c: float | np.ndarray, gamma: float, alp
             rows[i] = kernel(x[i:i + 1], x, gamma)[0]
         return rows[i]
 
+    def slopes(alpha: np.ndarray) -> np.ndarray:
+        slope = -np.ones(n)
+        held = np.flatnonzero(alpha)
+        for start in range(0, len(held), 256):
+            some = held[start:start + 256]
+            slope += y * ((matrix[:, some] if matrix is not None else kernel(x, x[some], gamma)) @ (y[some] * alpha[some]))
+        return slope
+
+    def settled(steps: int) -> bool:
+        nonlocal slope
+        for _ in range(steps):
+            force = -y * slope
+            up = (alpha < c) & (y > 0) | (alpha > 0) & (y < 0)
+            down = (alpha < c) & (y < 0) | (alpha > 0) & (y > 0)
+            if not up.any() or not down.any():
+                return True
+            i = int(np.where(up, force, -np.inf).argmax())
+            low = np.where(down, force, np.inf)
+            if force[i] - low.min() < tolerance:
+                return True
+            here = row(i)
+            apart = force[i] - low
+            bend = np.maximum(2 - 2 * here, 1e-12)
+            j = int(np.where(apart > 0, apart * apart / bend, -np.inf).argmax())
+            there = row(j)
+            step = (force[i] - force[j]) / max(2 - 2 * here[j], 1e-12)
+            # y_i alpha_i grows and y_j alpha_j falls by the step, as far as the box allows
+            step = min(step, c[i] - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else c[j] - alpha[j])
+            alpha[i] += y[i] * step
+            alpha[j] -= y[j] * step
+            for k in (i, j):
+                alpha[k] = 0.0 if alpha[k] < 1e-12 * c[k] else c[k] if alpha[k] > c[k] * (1 - 1e-12) else alpha[k]
+            slope += step * y * (here - there)
+        return False
+
     alpha = np.zeros(n) if alpha is None else alpha.copy()
-    slope = -np.ones(n)
-    held = np.flatnonzero(alpha)
-    for start in range(0, len(held), 256):
-        some = held[start:start + 256]
-        slope += y * ((matrix[:, some] if matrix is not None else kernel(x, x[some], gamma)) @ (y[some] * alpha[some]))
-    for _ in range(200 * n + 10_000):
-        force = -y * slope
-        up = (alpha < c) & (y > 0) | (alpha > 0) & (y < 0)
-        down = (alpha < c) & (y < 0) | (alpha > 0) & (y > 0)
-        if not up.any() or not down.any():
-            break
-        i = int(np.where(up, force, -np.inf).argmax())
-        low = np.where(down, force, np.inf)
-        if force[i] - low.min() < tolerance:
-            break
-        here = row(i)
-        apart = force[i] - low
-        bend = np.maximum(2 - 2 * here, 1e-12)
-        j = int(np.where(apart > 0, apart * apart / bend, -np.inf).argmax())
-        there = row(j)
-        step = (force[i] - force[j]) / max(2 - 2 * here[j], 1e-12)
-        # y_i alpha_i grows and y_j alpha_j falls by the step, as far as the box allows
-        step = min(step, c[i] - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else c[j] - alpha[j])
-        alpha[i] += y[i] * step
-        alpha[j] -= y[j] * step
-        for k in (i, j):
-            alpha[k] = 0.0 if alpha[k] < 1e-12 * c[k] else c[k] if alpha[k] > c[k] * (1 - 1e-12) else alpha[k]
-        slope += step * y * (here - there)
+    slope = slopes(alpha)
+    if not settled(FIRST_STEPS):
+        half = factor(x, gamma, min(FACTOR_COLUMNS, FACTOR_CELLS // n))
+        other = interior(half, y, c) if half is not None else None
+        if other is not None:
+            steep = slopes(other)
+            if other @ steep - other.sum() < alpha @ slope - alpha.sum():  # twice the dual objective
+                alpha, slope = other, steep
+        settled(200 * n + 10_000)
     force = -y * slope
     free = (alpha > 0) & (alpha < c)
     if free.any():
@@ -145,7 +237,9 @@ class KernelMachine(Estimator, _KernelParams, DefaultParamsReadable, DefaultPara
             level = shared_table(self._solved(merged), "cascade")
         for _ in range(ROUNDS):
             model = self._model(level, counts)
-            worst = model.broken(rows, level, VIOLATORS)
+            # as many again as are in the set, so that rounds do not grow with it, while there is room
+            held = max(r["count"] for r in level.groupBy("problem").count().collect())
+            worst = model.broken(rows, level, max(VIOLATORS, min(held, self.get("maxSupport") - held)))
             if worst is None:
                 return model
             joined = level.unionByName(worst.select("problem", F.lit(0).cast("long").alias("part"), "id", "y", "vec", "w", *blank))
@@ -183,7 +277,10 @@ class KernelMachine(Estimator, _KernelParams, DefaultParamsReadable, DefaultPara
             return part.assign(alpha=alpha, offset=offset)[kept]
 
         names = [f.split()[0] for f in SOLVED.split(", ")]
-        return level.select(*names).groupBy("problem", "part").applyInPandas(run, SOLVED)
+        # by number: small parts that take long would else be put together into few tasks
+        parts = level.select("problem", "part").distinct().count()
+        spread = level.select(*names).repartition(max(min(parts, MOST_TASKS), 1), "problem", "part")
+        return spread.groupBy("problem", "part").applyInPandas(run, SOLVED)
 
     def _model(self, level: DataFrame, counts: dict[int, int]) -> KernelModel:
         found = level.orderBy("problem", "id").toPandas()  # at most max_support rows per pair
@@ -255,7 +352,7 @@ def _decided(x: np.ndarray, machine: tuple[np.ndarray, np.ndarray, float], gamma
     vectors, weights, offset = machine
     out = np.full(len(x), offset)
     if len(weights):
-        step = max((1 << 21) // len(weights), 1)
+        step = max((1 << 17) // len(weights), 1)  # a slice stays in a core's cache
         for start in range(0, len(x), step):
             out[start:start + step] += kernel(x[start:start + step], vectors, gamma) @ weights
     return out

@@ -70,6 +70,37 @@ def test_matrix_and_rows_give_one_solution(monkeypatch):
     assert np.allclose(a, c) and abs(b - d) < 1e-9
 
 
+def test_wide_boxes_do_not_take_more_steps(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1000, 2)) * 2
+    side, calls, plain = np.where(np.sin(2 * x[:, 0]) + x[:, 1] > rng.normal(size=1000) * 0.3, 1.0, -1.0), [], kernels.kernel
+    monkeypatch.setattr(kernels, "MATRIX_ROWS", 50)  # kernel rows are then computed step by step
+    monkeypatch.setattr(kernels, "kernel", lambda *a: calls.append(1) or plain(*a))
+    c = np.full(1000, 20_000.0)
+    alpha, offset = kernels.solve(x, side, c, 0.3)
+    assert len(calls) < 6000 and abs(side @ alpha) < 1e-6 and (alpha >= 0).all() and (alpha <= c).all()
+    margin = (plain(x, x, 0.3) @ (alpha * side) + offset) * side
+    assert (margin[alpha == 0] >= 1 - 2e-3).all() and (margin[alpha == c] <= 1 + 2e-3).all()
+    assert (np.abs(margin[(alpha > 0) & (alpha < c)] - 1) <= 2e-3).all()
+
+
+def test_factor_is_the_kernel_or_refused():
+    x, _ = blobs(400, seed=6)
+    half = kernels.factor(x, 0.4, 400)
+    assert half.shape[1] < 300 and np.abs(half @ half.T - kernels.kernel(x, x, 0.4)).max() < 1e-8
+    assert kernels.factor(x, 0.4, 20) is None
+    assert kernels.factor(np.arange(50.0)[:, None] * 100, 1.0, 50).shape == (50, 50)
+    assert kernels.factor(np.ones((5, 2)), 1.0, 5).shape == (5, 1)
+
+
+def test_parts_of_a_level_are_solved_in_different_tasks(spark):
+    x, y = blobs(400, seed=7)
+    machine = kernels.KernelMachine(partRows=50)
+    rows = machine._rows(frame(spark, x, y)).withColumn("part", F.pmod("id", F.lit(8))).withColumn("alpha", F.lit(0.0)).withColumn("offset", F.lit(0.0))
+    tasks = machine._solved(rows).withColumn("task", F.spark_partition_id()).agg(F.countDistinct("task")).first()[0]
+    assert tasks > 2
+
+
 def test_too_many_support_vectors_are_refused(spark):
     x, y = blobs(200, spread=5)
     with pytest.raises(ValueError, match="support vectors"):
